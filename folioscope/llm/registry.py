@@ -2,14 +2,30 @@
 
 from __future__ import annotations
 
-from . import line_dedup, mixing, quality, url_filter
+from pyspark.sql import functions as F
+
+from . import decontaminate, line_dedup, mixing, pii, quality, simhash, toxicity, url_filter
 from .common import read_table
 
 
+def op3_toxicity(spark, sf_dir):
+    docs = read_table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.fit(docs, read_table(spark, sf_dir, "labels")))
+
+
+def op4_decontaminate(spark, sf_dir):
+    found = decontaminate.scan(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+    return found.drop("spans", "items")
+
+
 def op5_url_filter(spark, sf_dir):
     return url_filter.filter_urls(read_table(spark, sf_dir, "pages"), url_filter.rule_table(spark))
 
 
+def op6_simhash(spark, sf_dir):
+    return simhash.near_duplicates(read_table(spark, sf_dir, "documents"))
+
+
 def op7_quality_rules(spark, sf_dir):
     return quality.quality_rules(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
@@ -23,11 +39,21 @@ def op9_line_dedup(spark, sf_dir):
     return line_dedup.dedup_lines(read_table(spark, sf_dir, "documents")).select("doc_id", "text", "lines_dropped")
 
 
+def op10_pii(spark, sf_dir):
+    docs = read_table(spark, sf_dir, "documents")
+    found = pii.find_pii(docs, pii.fit(docs))
+    return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2("base_spans", 256).alias("base_sha256"), "spans")
+
+
 QUERIES = {
+    "op3_toxicity": op3_toxicity,
+    "op4_decontaminate": op4_decontaminate,
     "op5_url_filter": op5_url_filter,
+    "op6_simhash": op6_simhash,
     "op7_quality_rules": op7_quality_rules,
     "op8_mix_sources": op8_mix_sources,
     "op9_line_dedup": op9_line_dedup,
+    "op10_pii": op10_pii,
 }
 
 ORACLES = {"op9_line_dedup": line_dedup.ORACLE}
