@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import decontaminate, line_dedup, mixing, pii, quality, simhash, toxicity, url_filter
+from . import decontaminate, line_dedup, lm_scoring, mixing, pii, quality, simhash, toxicity, url_filter
 from .common import read_table
 
 
+def op1_brown_lm(spark, sf_dir):
+    return lm_scoring.brown_scores(read_table(spark, sf_dir, "documents"))
+
+
 def op3_toxicity(spark, sf_dir):
     docs = read_table(spark, sf_dir, "documents")
     return toxicity.score(docs, toxicity.fit(docs, read_table(spark, sf_dir, "labels")))
@@ -46,6 +50,7 @@ def op10_pii(spark, sf_dir):
 
 
 QUERIES = {
+    "op1_brown_lm": op1_brown_lm,
     "op3_toxicity": op3_toxicity,
     "op4_decontaminate": op4_decontaminate,
     "op5_url_filter": op5_url_filter,
