@@ -6,7 +6,7 @@ are dropped from all pages of that host.  ``least`` keeps the lines of hosts wit
 
 Distribution: only (host, 16-byte line digest) pairs are shuffled, pre-aggregated; texts stay where they are.
 A host has at most (mean distinct lines of a page) / ratio such lines, so a host's list is bounded; lists go
-to the pages by a join, broadcast only if Spark finds them small.
+to the pages by a join, broadcast only if all lists together have at most ``BROADCAST_LINES`` digests.
 
 Defined cases: a null text stays null; a null host is a host of its own; lines without a word are kept
 and not counted; a line repeated on a page counts once; a text that loses all lines is the empty text; repeated
@@ -18,6 +18,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import written
+
+#: Line digests that are broadcast at most (16 bytes each); longer lists go by a shuffled join.
+BROADCAST_LINES = 1_000_000
 RATIO, LEAST = 0.05, 5
 
 
@@ -35,7 +39,10 @@ def boilerplate(pages: DataFrame, *, host: str = "source", text: str = "text", r
 
 def dedup_lines(pages: DataFrame, *, host: str = "source", text: str = "text", ratio: float = RATIO, least: int = LEAST) -> DataFrame:
     """All columns of ``pages``, the text without boilerplate lines, and ``lines_dropped``."""
-    lists = boilerplate(pages, host=host, text=text, ratio=ratio, least=least).groupBy(F.col("host").alias("__host")).agg(F.collect_set("digest").alias("__drop"))
+    bad = written(boilerplate(pages, host=host, text=text, ratio=ratio, least=least).select("host", "digest"))
+    lists = bad.groupBy(F.col("host").alias("__host")).agg(F.collect_set("digest").alias("__drop"))
+    if bad.count() <= BROADCAST_LINES:
+        lists = F.broadcast(lists)
     split = F.split(text, "\n", -1)
     kept = F.filter(split, lambda line: ~(F.array_contains("__drop", _digest(line)) & line.rlike(r"[^\x20\x09-\x0D]")))
     joined = pages.join(lists, F.col(host).eqNullSafe(F.col("__host")), "left")
