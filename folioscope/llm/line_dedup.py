@@ -37,8 +37,8 @@ def boilerplate(pages: DataFrame, *, host: str = "source", text: str = "text", r
     return seen.join(totals, F.col("host").eqNullSafe(F.col("its"))).where(F.col("n") > F.lit(ratio) * F.col("total")).drop("its")
 
 
-def dedup_lines(pages: DataFrame, *, host: str = "source", text: str = "text", ratio: float = RATIO, least: int = LEAST) -> DataFrame:
-    """All columns of ``pages``, the text without boilerplate lines, and ``lines_dropped``."""
+def dedup_lines(pages: DataFrame, *, host: str = "source", text: str = "text", ratio: float = RATIO, least: int = LEAST, report: str | None = "lines_dropped") -> DataFrame:
+    """All columns of ``pages``, the text without boilerplate lines, and their number in the column ``report``."""
     bad = written(boilerplate(pages, host=host, text=text, ratio=ratio, least=least).select("host", "digest"))
     lists = bad.groupBy(F.col("host").alias("__host")).agg(F.collect_set("digest").alias("__drop"))
     if bad.count() <= BROADCAST_LINES:
@@ -47,12 +47,10 @@ def dedup_lines(pages: DataFrame, *, host: str = "source", text: str = "text", r
     kept = F.filter(split, lambda line: ~(F.array_contains("__drop", _digest(line)) & line.rlike(r"[^\x20\x09-\x0D]")))
     joined = pages.join(lists, F.col(host).eqNullSafe(F.col("__host")), "left")
     some = F.col("__drop").isNotNull() & F.col(text).isNotNull()
-    return (
-        joined.withColumn("__kept", F.when(some, kept))
-        .withColumn("lines_dropped", F.when(some, F.size(split) - F.size("__kept")).otherwise(0))
-        .withColumn(text, F.when(some, F.array_join("__kept", "\n")).otherwise(F.col(text)))
-        .drop("__host", "__drop", "__kept")
-    )
+    out = joined.withColumn("__kept", F.when(some, kept))
+    if report:
+        out = out.withColumn(report, F.when(some, F.size(split) - F.size("__kept")).otherwise(0))
+    return out.withColumn(text, F.when(some, F.array_join("__kept", "\n")).otherwise(F.col(text))).drop("__host", "__drop", "__kept")
 
 
 ORACLE = f"""

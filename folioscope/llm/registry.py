@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import decontaminate, line_dedup, lm_scoring, mixing, pii, quality, simhash, toxicity, url_filter
+from . import decontaminate, licenses, line_dedup, lm_scoring, mixing, pii, quality, simhash, toxicity, url_filter
 from .common import read_table
 
 
@@ -12,6 +12,12 @@ def op1_brown_lm(spark, sf_dir):
     return lm_scoring.brown_scores(read_table(spark, sf_dir, "documents"))
 
 
+def op2_license_scan(spark, sf_dir):
+    found = licenses.scan_licenses(read_table(spark, sf_dir, "documents"))
+    line = F.transform("spans", lambda s: F.concat_ws(":", s["name"], s["start"], s["stop"], F.format_number(s["coverage"], 4)))
+    return found.select("doc_id", "n_words", "n_matches", F.array_join("licenses", ",").alias("licenses"), "matched_words", F.array_join(line, ",").alias("spans"))
+
+
 def op3_toxicity(spark, sf_dir):
     docs = read_table(spark, sf_dir, "documents")
     return toxicity.score(docs, toxicity.fit(docs, read_table(spark, sf_dir, "labels")))
@@ -51,6 +57,7 @@ def op10_pii(spark, sf_dir):
 
 QUERIES = {
     "op1_brown_lm": op1_brown_lm,
+    "op2_license_scan": op2_license_scan,
     "op3_toxicity": op3_toxicity,
     "op4_decontaminate": op4_decontaminate,
     "op5_url_filter": op5_url_filter,
