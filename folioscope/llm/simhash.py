@@ -74,7 +74,7 @@ def planes(fps: np.ndarray) -> np.ndarray:
     padded = np.zeros(m, dtype=np.uint64)
     padded[: len(fps)] = fps
     bits = np.unpackbits(padded.astype("<u8").view(np.uint8).reshape(m, 8), axis=1, bitorder="little")  # [fingerprint, bit]
-    return np.packbits(bits.T, axis=1, bitorder="little").view("<u8")
+    return np.ascontiguousarray(np.packbits(bits.T, axis=1, bitorder="little")).view("<u8")
 
 
 def within(fp: int, table: np.ndarray, radius: int, n: int) -> np.ndarray:
