@@ -1,14 +1,17 @@
-"""Session helpers."""
+"""Session helpers: package shipping, and tables in the shared folder that cut lineage."""
 
 from __future__ import annotations
 
+import atexit
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _shipped: set[str] = set()
+_written: list[tuple[SparkSession, str]] = []
 
 
 def ship(spark: SparkSession) -> SparkSession:
@@ -23,3 +26,39 @@ def ship(spark: SparkSession) -> SparkSession:
         sc.addPyFile(str(target))
         _shipped.add(sc.applicationId)
     return spark
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder all machines share: spark.checkpoint.dir; a temporary one only where it is unset."""
+    path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not path:
+        path = spark.sparkContext.getCheckpointDir()
+    if not path:
+        spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="folioscope-"))
+        path = spark.sparkContext.getCheckpointDir()
+    return path.rstrip("/")
+
+
+def written(df: DataFrame) -> DataFrame:
+    """Cut the lineage: write ``df`` to the shared folder and read it back.
+
+    The table is in shared storage, not in executor memory, so a lost executor costs nothing.  The
+    files are removed when the Python process ends.
+    """
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/folioscope-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    if not _written:
+        atexit.register(release)
+    _written.append((spark, path))
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def release() -> None:
+    """Delete what ``written`` has left in the shared folder."""
+    while _written:
+        spark, path = _written.pop()
+        jvm = spark.sparkContext._jvm
+        if jvm is not None and spark.sparkContext._jsc is not None:
+            target = jvm.org.apache.hadoop.fs.Path(path)
+            target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
