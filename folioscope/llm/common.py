@@ -2,64 +2,21 @@
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
-
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..runtime import ship
+from ..runtime import ship, written
+
+__all__ = ["CHUNK_BYTES", "chunks", "column", "fold", "labelled_sample", "read_table", "utf8", "written"]
 
 #: Bytes of text that the vectorised kernels take at once; a longer single text is taken alone.
 CHUNK_BYTES = 1 << 20
 
-_written: list[tuple[SparkSession, str]] = []
-
-
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return ship(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all machines share: spark.checkpoint.dir; a temporary one only where it is unset."""
-    path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not path:
-        path = spark.sparkContext.getCheckpointDir()
-    if not path:
-        path = "file://" + tempfile.mkdtemp(prefix="folioscope-")
-        spark.sparkContext.setCheckpointDir(path)
-        path = spark.sparkContext.getCheckpointDir()
-    return path.rstrip("/")
-
-
-def written(df: DataFrame) -> DataFrame:
-    """Cut the lineage: write ``df`` to the shared folder and read it back.
-
-    The table is replicated storage, not executor memory, so a lost executor costs nothing.  The
-    files are removed when the Python process ends.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/folioscope-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    if not _written:
-        atexit.register(release)
-    _written.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def release() -> None:
-    """Delete what ``written`` has left in the shared folder."""
-    while _written:
-        spark, path = _written.pop()
-        jvm = spark.sparkContext._jvm
-        if jvm is not None and spark.sparkContext._jsc is not None:
-            target = jvm.org.apache.hadoop.fs.Path(path)
-            target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
-
-
 def fold(col, modulus: int):
     """crc32 of the value as text, modulo ``modulus``; a null value gives -1, which is no fold."""
     return F.coalesce((F.crc32(F.col(col).cast("string").cast("binary")) % modulus).cast("int"), F.lit(-1))
@@ -113,6 +70,3 @@ def column(batch: pa.RecordBatch, name: str):
     """The first column of that name, in any place among others."""
     return batch.column(batch.schema.names.index(name))
 
-
-def as_float(values) -> np.ndarray:
-    return np.asarray(values, dtype=np.float64)
