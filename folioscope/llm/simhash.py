@@ -199,8 +199,8 @@ def _compare(buckets: DataFrame, radius: int) -> DataFrame:
 
         def out(k, f):
             a, b = [], []
-            cut = np.flatnonzero(np.append(True, (k[1:] != k[:-1]).any(1))) if len(k) else np.zeros(0, np.int64)
-            for s, e in zip(cut, np.append(cut[1:], len(k)), strict=True):
+            cut = np.flatnonzero(np.append(True, (k[1:] != k[:-1]).any(1)))[: len(k)]
+            for s, e in zip(cut, [*cut[1:], len(k)], strict=False):
                 own = np.unique(f[s:e].view(np.uint64))
                 for i, r in forest(own, radius):
                     a.append(own[i])
