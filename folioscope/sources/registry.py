@@ -15,6 +15,7 @@ from dataclasses import dataclass
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import text
 
@@ -138,7 +139,7 @@ def pages(count: int, size: int = PAGE) -> Iterator[tuple[int, int]]:
 
 def fetched(requests: DataFrame, fetch: Callable[[dict], str], pause: float = 0.1) -> DataFrame:
     """Add ``json`` to request rows by calling ``fetch`` on executors, ``pause`` seconds apart in each task; null where it fails."""
-    schema = requests.schema.add("json", "string")
+    schema = T.StructType([*requests.schema.fields, T.StructField("json", T.StringType())])
 
     def run(parts):
         for part in parts:
