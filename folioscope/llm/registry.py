@@ -68,4 +68,4 @@ QUERIES = {
     "op10_pii": op10_pii,
 }
 
-ORACLES = {"op9_line_dedup": line_dedup.ORACLE}
+ORACLES = {"op4_decontaminate": decontaminate.ORACLE, "op5_url_filter": url_filter.ORACLE, "op9_line_dedup": line_dedup.ORACLE}

@@ -83,3 +83,15 @@ def filter_urls(pages: DataFrame, rules: DataFrame, *, default: str = "allow", p
     judged = met.groupBy("page_id", "url", "host", "path").agg(best.alias("best"), F.count_if(F.col("e.own")).cast("int").alias("n"))
     once = judged.select("page_id", "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.verdict", F.lit(default)).alias("verdict"), "n")
     return once.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("n")))).drop("copy", "n")
+
+
+ORACLE = """
+WITH p AS (
+  SELECT page_id, coalesce(translate(regexp_extract(url, '^.*?://([^/?#]*)', 1, 's'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,
+    coalesce(regexp_extract(url, '^.*?://[^/?#]*([^?#]*)', 1, 's'), '') AS path FROM pages),
+r(verdict, h, p) AS (VALUES {rules}),
+m AS (
+  SELECT page_id, max_by(h || r.p, length(h) + length(r.p)) AS rule, max_by(verdict, length(h) + length(r.p)) AS verdict
+  FROM p JOIN r ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, r.p) GROUP BY page_id)
+SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM p LEFT JOIN m USING (page_id)
+""".format(rules=", ".join(str(r) for r in RULES))
