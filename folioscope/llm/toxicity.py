@@ -1,9 +1,9 @@
 """Toxicity: subword-bag embeddings averaged into a linear softmax, trained jointly in numpy.
 
-A word is the bag of its character n-grams (3 to 6 bytes, with word marks), hashed into ``buckets``
-embeddings, so unseen misspellings and inflections share vectors with known words.  A passage of ``width``
+A word is the bag of its character n-grams (3 to 6 bytes, with word marks), hashed into 2^BITS
+embeddings, so unseen misspellings and inflections share vectors with known words.  A passage of WIDTH
 words is the mean of its n-gram embeddings, put into a linear softmax.  A document's score is that of its worst
-passage (half-overlapping), so a few toxic words in a long text count as much as in a short one.
+passage (overlapping), so a few toxic words in a long text count as much as in a short one.
 
 Training is on a bounded sample (``max_train`` labelled documents of each class outside the held-out
 fold) of whole texts: first on whole documents, then on the worst passages under the model so far.  Embeddings and
@@ -29,10 +29,10 @@ from .common import chunks, column, fold, labelled_sample, utf8
 from .wordops import _GRAM, Words, byte_class, mix, tokenize
 
 FOLDS = 5
-BITS = 16
-WIDTH, STEP = 6, 3
+BITS = 18
+WIDTH, STEP = 3, 1
 #: A passage's mean is over this many n-grams at least, so one odd word alone is little evidence.
-LEAST = 60
+LEAST = 40
 #: Letters, digits, all that is not ASCII, and signs that stand for letters in misspellings.
 CHARS = byte_class([b for b in range(256) if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128] + [ord(c) for c in "@$*"])
 SIZES = (3, 4, 5, 6)
@@ -87,7 +87,7 @@ def collapsed(texts: list[bytes]) -> tuple[Words, np.ndarray]:
 
 
 def passages(first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(doc, start, stop) of half-overlapping passages of WIDTH words."""
+    """(doc, start, stop) of overlapping passages of WIDTH words."""
     n = np.diff(first)
     count = np.where(n > 0, np.maximum(1, -(-(n - WIDTH) // STEP) + 1), 0)
     doc = np.repeat(np.arange(len(n)), count)
@@ -145,7 +145,7 @@ class _Trainer:
         np.cumsum(self.sizes, out=self.at[1:])
         rng = np.random.default_rng(seed)
         self.rng = rng
-        self.e = rng.uniform(-1 / dim, 1 / dim, (1 << BITS, dim))
+        self.e = rng.uniform(-1 / dim, 1 / dim, (1 << BITS, dim)).astype(np.float32)
         self.w = np.zeros((2, dim))
         self.w[1] = rng.uniform(-1, 1, dim)
         self.b = np.zeros(2)
@@ -189,7 +189,7 @@ def _ranges(start: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return owner, np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(start, n)
 
 
-def train(texts: list[bytes], y: np.ndarray, *, dim: int = 8, rounds: int = 3, epochs: int = 3, rate: float = 0.3, seed: int = 7) -> Model:
+def train(texts: list[bytes], y: np.ndarray, *, dim: int = 8, rounds: int = 4, epochs: int = 3, rate: float = 0.3, seed: int = 7) -> Model:
     y = np.asarray(y, dtype=np.int64)
     if not len(y) or y.min() == y.max():
         return Model(np.zeros(1 << BITS), -3.0, -3.0)
