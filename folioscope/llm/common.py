@@ -11,7 +11,7 @@ from ..runtime import ship, written
 __all__ = ["CHUNK_BYTES", "chunks", "column", "fold", "labelled_sample", "read_table", "utf8", "written"]
 
 #: Bytes of text that the vectorised kernels take at once; a longer single text is taken alone.
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 19
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return ship(spark).read.parquet(f"{sf_dir}/{name}.parquet")
