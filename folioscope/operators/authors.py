@@ -64,6 +64,11 @@ def facet_options(counts: DataFrame, selected: list[str], most: int) -> DataFram
     return first.unionAll(rest).orderBy("place", F.desc("count"), "value").limit(max(most, len(selected))).drop("place")
 
 
+def facet_search(counts: DataFrame, part: str) -> DataFrame:
+    """Values that contain the given text, whatever the case."""
+    return counts.where(F.lower("value").contains(part.lower()))
+
+
 def works_page(works: DataFrame, sort: str = "newest", page: int = 1, limit: int = 20, filters: dict | None = None) -> DataFrame:
     """A page of works by newest, oldest or title (others: newest); the key breaks ties."""
     order = {"oldest": [F.asc_nulls_first("publication_year")], "title": [text.title_order(F.col("title")).asc_nulls_first()]}.get(sort, [F.desc_nulls_last("publication_year")])

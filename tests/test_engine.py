@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from folioscope import schemas
 from folioscope.functions import params, text
 from folioscope.operators import authors, graph, predicates, prepare, search, stats, works
+from folioscope.plans.api import Api
 from folioscope.sources import catalog, registry, sinks
 from folioscope.streaming import ingest
 
@@ -123,6 +124,24 @@ def test_network(data, people):
     assert alone["stats"]["members"] == 1 and [w["work_key"] for w in alone["works"]] == ["w5"]
 
 
+def test_api(spark, data, people):
+    ident = lambda c: F.when(c == "A", F.lit("0000-0000-0000-000X")).otherwise(c)
+    moved = data.withColumn("orcid_id", ident(F.col("orcid_id"))).withColumn("contributors", F.transform("contributors", lambda c: c.withField("orcid_id", ident(c["orcid_id"]))))
+    api, a = Api(moved, people.withColumn("orcid_id", ident(F.col("orcid_id")))), "0000-0000-0000-000X"
+    assert api.health() == {"status": "ok"} and api.authors(q="ana")["total"] == 1 and api.author(a)["stats"]["works"] == 4
+    page = api.author_works(a, limit=2, topic=["y", " "])
+    assert page["total"] == 2 and not page["has_next"] and {w["work_key"] for w in page["data"]} == {"w1", "w2"}
+    assert api.author_facets(a, oa=True)["open_access"] == {"count": 1, "total": 4}
+    assert api.works(limit=1, q="pair")["data"][0]["title"] == "Pair" and api.work_types()[0] == {"value": "article", "count": 5} and api.keywords() == []
+    assert {r["value"]: r["count"] for r in api.subjects()} == {"x": 1, "y": 2} and len(api.publications_per_year(2000, 2030)) == 3
+    assert len(api.coauthorship()["edges"]) == 3 and api.stats()["total_edges"] == 3 and api.constellation("D")["stats"]["members"] == 2
+    for call, error in ((lambda: api.author("x"), ValueError), (lambda: api.author("0000-0000-0000-0001"), LookupError), (lambda: api.stats(2026, 2020), ValueError), (lambda: api.constellation("nobody"), LookupError)):
+        with pytest.raises(error):
+            call()
+    counts = authors.breakdown(authors.author_works(moved, a), "topics", None)
+    assert authors.facet_search(counts, "X").count() == 1
+
+
 def test_components_of_a_long_path(spark):
     rel = spark.createDataFrame([(str(i), f"n{j:03d}") for i in range(120) for j in (i, i + 1)] + [("z", "zz")], "work_key string, orcid_id string")
     got = {r.orcid_id: r.component for r in graph.components(rel).collect()}
