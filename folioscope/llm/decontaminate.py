@@ -18,6 +18,8 @@ empty table gives an empty result; other columns are ignored.
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -94,20 +96,27 @@ def contaminated(n_hit: int, n_words: int) -> bool:
     return n_hit > 0 and 20 * n_hit >= n_words
 
 
-def load_blocks(benchmark: DataFrame, block_words: int = BLOCK_WORDS) -> list[list[tuple[str, bytes]]]:
-    """Test items in blocks of bounded size, read one after the other."""
-    blocks: list[list[tuple[str, bytes]]] = [[]]
+def load_blocks(benchmark: DataFrame, block_words: int = BLOCK_WORDS) -> Iterator[list[tuple[str, bytes]]]:
+    """Test items in blocks of bounded size; the driver holds one or two at a time."""
+    block: list[tuple[str, bytes]] = []
     size = 0
     rows = benchmark.where("item_id IS NOT NULL").select(F.col("item_id").cast("string").alias("i"), "text").orderBy("i", "text")
     for r in rows.toLocalIterator():
         text = (r.text or "").encode()
         n = len(text) // 2 + 1  # a word takes two bytes at least
         if size and size + n > block_words:
-            blocks.append([])
-            size = 0
-        blocks[-1].append((r.i, text))
+            yield block
+            block, size = [], 0
+        block.append((r.i, text))
         size += n
-    return blocks
+    yield block
+
+
+def _blocks(benchmark: DataFrame, block_words: int) -> tuple[list, Iterator | None]:
+    """The first block, and all of them if there are more."""
+    every = load_blocks(benchmark, block_words)
+    first, second = next(every), next(every, None)
+    return first, None if second is None else chain([first, second], every)
 
 
 def _verdict(counts, hits, names):
@@ -130,10 +139,10 @@ def scan(docs: DataFrame, benchmark: DataFrame, *, span: int = SPAN, k: int = K,
     """Per document: doc_id, n_words, n_hit, n_items, items_sha256, contaminated, spans (word intervals), items."""
     spark = docs.sparkSession
     kind = docs.schema["doc_id"].dataType.simpleString()
-    blocks = load_blocks(benchmark, block_words)
-    if len(blocks) > 1:
-        return _scan_blocks(docs, blocks, span, k)
-    index = spark.sparkContext.broadcast(Index(blocks[0], span, k))
+    first, every = _blocks(benchmark, block_words)
+    if every is not None:
+        return _scan_blocks(docs, every, span, k)
+    index = spark.sparkContext.broadcast(Index(first, span, k))
 
     def run(batches):
         known = index.value
@@ -155,7 +164,7 @@ def scan(docs: DataFrame, benchmark: DataFrame, *, span: int = SPAN, k: int = K,
     )
 
 
-def _scan_blocks(docs: DataFrame, blocks: list, span: int, k: int) -> DataFrame:
+def _scan_blocks(docs: DataFrame, blocks: Iterator, span: int, k: int) -> DataFrame:
     """Test sets beyond one block: one pass for each block, intervals merged by document."""
     spark = docs.sparkSession
     keyed = docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("rid"))
@@ -180,6 +189,7 @@ def _scan_blocks(docs: DataFrame, blocks: list, span: int, k: int) -> DataFrame:
                     )
 
         parts.append(written(keyed.mapInArrow(run, "rid long, spans array<array<bigint>>, items array<string>")))
+        index.unpersist()
     hits = parts[0]
     for part in parts[1:]:
         hits = hits.unionByName(part)
@@ -210,11 +220,11 @@ def _scan_blocks(docs: DataFrame, blocks: list, span: int, k: int) -> DataFrame:
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, *, span: int = SPAN, k: int = K, block_words: int = BLOCK_WORDS) -> DataFrame:
     """The clean documents, all columns as they are; test sets of several blocks are filtered one after the other's hits."""
-    blocks = load_blocks(benchmark, block_words)
-    if len(blocks) > 1:
-        bad = _scan_blocks(docs, blocks, span, k).where("contaminated").select("doc_id").distinct()
+    first, every = _blocks(benchmark, block_words)
+    if every is not None:
+        bad = _scan_blocks(docs, every, span, k).where("contaminated").select("doc_id").distinct()
         return docs.join(bad, docs["doc_id"].eqNullSafe(bad["doc_id"]), "left_anti")
-    index = docs.sparkSession.sparkContext.broadcast(Index(blocks[0], span, k))
+    index = docs.sparkSession.sparkContext.broadcast(Index(first, span, k))
 
     def run(batches):
         known = index.value
