@@ -5,6 +5,7 @@ import re
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 from folioscope.llm import components, mixing, url_filter
 
@@ -45,8 +46,8 @@ def test_targets():
 def test_mixing(spark, limits):
     r = random.Random(6)
     rows = [(i, " ".join(["w"] * r.choice([0, 1, 5, 40, 300])), "en", r.choice(["a", "b", "b", "c", "d", None]), 1) for i in range(400)]
-    rows += [(500, None, "en", "a", 1), rows[3], rows[3]]
-    docs = spark.createDataFrame(rows, SCHEMA).withColumn("size", __import__("pyspark.sql.functions", fromlist=["lit"]).lit("clash"))
+    rows += [(500, None, "en", "a", 1), rows[3], rows[3], (501, "", "en", "silent", 1), (502, None, "en", "silent", 1)]
+    docs = spark.createDataFrame(rows, SCHEMA).withColumn("size", F.lit("clash"))
     out = mixing.mix(docs, **limits).collect()
     assert Counter((x.doc_id, x.size) for x in out) == Counter((i, len((t or "").split())) for i, t, *_ in rows)
     sizes = Counter()
