@@ -120,27 +120,32 @@ class _Trainer:
     """Sums of n-gram embeddings, gradient steps and worst passages over the sample's distinct words."""
 
     def __init__(self, texts: list[bytes], dim: int, seed: int):
-        parts, firsts = [], []
+        parts, sizes, ids = [], [], []
         self.first = [0]
-        known: dict[int, int] = {}
-        ids = []
+        known, place = np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int32)  # sorted hashes of distinct words, their numbers
         for _, some in chunks(texts):
             words, h = collapsed(some)
             u, at, back = np.unique(h, return_index=True, return_inverse=True)
-            new = np.array([i for i, x in enumerate(u.tolist()) if x not in known], dtype=np.int64)
-            for i in new.tolist():
-                known[int(u[i])] = len(known)
-            if len(new):
+            spot = np.searchsorted(known, u)
+            new = np.ones(len(u), dtype=bool)
+            inside = spot < len(known)
+            new[inside] = known[spot[inside]] != u[inside]
+            number = np.zeros(len(u), dtype=np.int32)
+            number[~new] = place[spot[~new]]
+            number[new] = len(known) + np.arange(new.sum())
+            if new.any():
                 b, f = subwords(words.data, words.starts[at[new]], words.ends[at[new]])
-                parts.append(b)
-                firsts.append(np.diff(f))
-            lookup = np.fromiter((known[x] for x in u.tolist()), dtype=np.int64, count=len(u))
-            ids.append(lookup[back])
+                parts.append(b.astype(np.int32))
+                sizes.append(np.diff(f).astype(np.int32))
+                known, place = np.concatenate([known, u[new]]), np.concatenate([place, number[new]])
+                order = np.argsort(known)
+                known, place = known[order], place[order]
+            ids.append(number[back])
             self.first += (words.first[1:] + self.first[-1]).tolist()
         self.first = np.array(self.first)
-        self.ids = np.concatenate(ids) if ids else np.zeros(0, np.int64)
-        self.buckets = np.concatenate(parts) if parts else np.zeros(0, np.int64)
-        self.sizes = np.concatenate(firsts) if firsts else np.zeros(0, np.int64)
+        self.ids = np.concatenate(ids) if ids else np.zeros(0, np.int32)
+        self.buckets = np.concatenate(parts) if parts else np.zeros(0, np.int32)
+        self.sizes = np.concatenate(sizes) if sizes else np.zeros(0, np.int32)
         self.at = np.zeros(len(self.sizes) + 1, dtype=np.int64)
         np.cumsum(self.sizes, out=self.at[1:])
         rng = np.random.default_rng(seed)
@@ -177,6 +182,30 @@ class _Trainer:
             self.w -= rate * gw / np.sqrt(self.gw)
             self.b -= rate * gb / np.sqrt(self.gb)
 
+    def picked(self, m: Model, used: np.ndarray, y: np.ndarray, docs: int = 200) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(start, stop, doc) of the worst passage of each used document, and twice as many random ones of clean documents.
+
+        A few documents are scored at a time, so memory does not grow with their lengths.
+        """
+        value = np.add.reduceat(m.value[self.buckets].astype(np.float32), self.at[:-1]) if len(self.buckets) else np.zeros(0)
+        clean = int(np.diff(self.first)[used & (y == 0)].sum())
+        rate = min(1.0, 2 * int(used.sum()) / max(clean, 1))
+        out = []
+        for i in range(0, len(used), docs):
+            own = np.arange(i, min(i + docs, len(used)))
+            base = self.first[own[0]]
+            ids = self.ids[base : self.first[own[-1] + 1]]
+            doc, start, stop = passages(self.first[own[0] : own[-1] + 2] - base)
+            if not len(doc):
+                continue
+            cum, num = np.append(0, np.cumsum(value[ids], dtype=np.float64)), np.append(0, np.cumsum(self.sizes[ids], dtype=np.int64))
+            score = m.bias + (cum[stop] - cum[start]) / np.maximum(num[stop] - num[start], LEAST)
+            heads = np.flatnonzero(np.diff(doc, prepend=-1))
+            best = np.repeat(np.maximum.reduceat(score, heads), np.diff(np.append(heads, len(doc))))
+            keep = ((score >= best) | ((y[own[doc]] == 0) & (self.rng.random(len(doc)) < rate))) & used[own[doc]]
+            out.append((start[keep] + base, stop[keep] + base, own[doc[keep]]))
+        return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+
     def model(self) -> Model:
         w = self.w[1] - self.w[0]
         return Model(self.e @ w, float(self.b[1] - self.b[0]), 0.0)
@@ -195,7 +224,6 @@ def train(texts: list[bytes], y: np.ndarray, *, dim: int = 8, rounds: int = 4, e
         return Model(np.zeros(1 << BITS), -3.0, -3.0)
     t = _Trainer(texts, dim, seed)
     calm = np.random.default_rng(seed).random(len(y)) < 0.2  # sets the decision point
-    doc, start, stop = passages(t.first)
     used = ~calm & (np.diff(t.first) > 0)
     share = np.where(y == 1, 0.5 / max(1, (y == 1).sum()), 0.5 / max(1, (y == 0).sum())) * len(y)
     whole = np.flatnonzero(used & (np.diff(t.first) <= 4 * WIDTH))
@@ -203,21 +231,10 @@ def train(texts: list[bytes], y: np.ndarray, *, dim: int = 8, rounds: int = 4, e
         whole = np.flatnonzero(used)
     for _ in range(epochs):
         t.epoch(t.first[whole], t.first[whole + 1], y[whole], share[whole], rate)
-    heads = np.flatnonzero(np.diff(doc, prepend=-1))
     for _ in range(rounds):
-        m = t.model()
-        cum, num = np.zeros(len(t.ids) + 1), np.zeros(len(t.ids) + 1)
-        total = np.concatenate([[0.0], np.cumsum(m.value[t.buckets])])
-        np.cumsum((total[t.at[1:]] - total[t.at[:-1]])[t.ids], out=cum[1:])
-        np.cumsum(t.sizes[t.ids], out=num[1:])
-        score = m.bias + (cum[stop] - cum[start]) / np.maximum(num[stop] - num[start], LEAST)
-        best = np.repeat(np.maximum.reduceat(score, heads), np.diff(np.append(heads, len(doc))))
-        worst = np.flatnonzero((score >= best) & used[doc])
-        others = np.flatnonzero(used[doc] & (y[doc] == 0))
-        others = t.rng.choice(others, min(len(others), 2 * len(worst)), replace=False)
-        pick = np.concatenate([worst, others])
+        start, stop, doc = t.picked(t.model(), used, y)
         for _ in range(epochs):
-            t.epoch(start[pick], stop[pick], y[doc[pick]], share[doc[pick]], rate)
+            t.epoch(start, stop, y[doc], share[doc], rate)
     m = t.model()
     at = np.flatnonzero(calm) if len(np.unique(y[calm])) == 2 else np.arange(len(y))
     score = np.concatenate([log_odds(some, m) for _, some in chunks([texts[i] for i in at])])
