@@ -145,9 +145,9 @@ def works_filter_years_types(spark, d):
     return _page(search.works_page(records(spark, d), start_year=1996, end_year=1999, types=["2-HIGH", "5-LOW"]))
 
 
-@query(sql(PAGE_SQL, FILTERED, where="topic = 'SMALL' AND (title LIKE 'red %' OR title LIKE '% red') AND institution ILIKE '%an%'", rows="SELECT * FROM hits", limit=50, skip=0))
+@query(sql(PAGE_SQL, FILTERED, where="topic = 'ECONOMY' AND (title LIKE 'red %' OR title LIKE '% red') AND institution ILIKE '%n_1%'", rows="SELECT * FROM hits", limit=50, skip=0))
 def works_filter_subject_keyword_institute(spark, d):
-    return _page(search.works_page(records(spark, d), subjects=["SMALL"], keywords=["red"], institutes=["an"]))
+    return _page(search.works_page(records(spark, d), subjects=["ECONOMY"], keywords=["red"], institutes=["Ñ_1"]))
 
 
 @query(sql("SELECT count(DISTINCT work_key) AS total FROM fw WHERE type = '5-LOW'"))
