@@ -231,14 +231,16 @@ def near_duplicates(docs: DataFrame, *, radius: int = RADIUS, most: int = MOST)
 
 
 def keep_one(docs: DataFrame, *, radius: int = RADIUS, most: int = MOST) -> DataFrame:
-    """One document of each component, that of the smallest doc_id, all columns as they are.
+    """One row of each component, that of the smallest doc_id (a null one is the largest), all columns as they are.
 
-    Rows that repeat a kept doc_id are left out too; documents without a doc_id stay unless a component
-    has another one.
+    Rows are told apart by a digest of all their columns, so a null or repeated doc_id neither merges components
+    nor loses one; of rows equal in all columns one stays.
     """
-    classes = written(near_duplicates(docs, radius=radius, most=most))
-    kept = classes.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id").agg(F.count("*").alias("n")).withColumnRenamed("doc_id", "__id")
-    same = docs["doc_id"].eqNullSafe(F.col("__id"))
-    once = docs.join(kept.where("n = 1"), same, "left_semi")
-    again = docs.join(kept.where("n > 1"), same, "left_semi").dropDuplicates(["doc_id"])
-    return once.unionAll(again)
+    row = F.md5(F.to_json(F.struct(*(F.md5(F.col("text").cast("binary")).alias(c) if c == "text" else F.col(c) for c in docs.columns))))
+    keyed = docs.withColumn("__row", row)
+    named = keyed.select(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("__row").alias("row")).alias("doc_id"), "text")
+    classes = written(near_duplicates(named, radius=radius, most=most))
+    kept = classes.where(F.col("doc_id") == F.col("component_id")).groupBy(F.col("doc_id.row").alias("__row")).agg(F.count("*").alias("n"))
+    once = keyed.join(kept.where("n = 1"), "__row", "left_semi")
+    again = keyed.join(kept.where("n > 1"), "__row", "left_semi").dropDuplicates(["__row"])
+    return once.unionAll(again).select(docs.columns)

@@ -332,3 +332,10 @@ def test_line_dedup(spark, docs, none):
     all_lines = spark.createDataFrame([(i, "same", "en", "h", 1) for i in range(9)], SCHEMA)
     assert {r.text for r in line_dedup.dedup_lines(all_lines).collect()} == {""}
     assert line_dedup.dedup_lines(none).count() == 0 and line_dedup.dedup_lines(docs).count() == len(corpus())
+
+
+def test_keep_one_of_null_and_repeated_ids(spark):
+    a, b, c = sentence(40), sentence(40), sentence(40)
+    rows = [(None, a, "en", "s", 1), (None, b, "en", "s", 1), (None, b, "en", "t", 1), (7, c, "en", "s", 1), (None, c, "en", "s", 1), (7, sentence(40), "en", "s", 1), (7, c, "en", "s", 1)]
+    kept = simhash.keep_one(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert Counter((r.doc_id, r.text) for r in kept) == Counter([(None, a), (None, b), (7, c), (7, rows[5][1])])
