@@ -10,8 +10,8 @@ The fingerprints of the test set are sent to all tasks in blocks of at most ``bl
 documents for each block (one, for usual test sets), so what is sent is bounded whatever the size of
 the test set; hit intervals of several blocks are merged by document.
 
-Defined cases: a null or wordless text has no words and is clean; null items and items without words have no
-window; equal items all count; repeated rows give repeated results; an empty test set leaves all clean; an
+Defined cases: a null or wordless text has no words and is clean; items without words have no window; items without an
+item_id hit as others do, count together as one item, and have no name in ``items``; equal items all count; repeated rows give repeated results; an empty test set leaves all clean; an
 empty table gives an empty result; other columns are ignored.
 """
 
@@ -23,7 +23,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import chunks, column, utf8, written
@@ -100,7 +100,7 @@ def load_blocks(benchmark: DataFrame, block_words: int = BLOCK_WORDS) -> Iterato
     """Test items in blocks of bounded size; the driver holds one or two at a time."""
     block: list[tuple[str, bytes]] = []
     size = 0
-    rows = benchmark.where("item_id IS NOT NULL").select(F.col("item_id").cast("string").alias("i"), "text").orderBy("i", "text")
+    rows = benchmark.select(F.col("item_id").cast("string").alias("i"), "text").orderBy("i", "text")
     for r in rows.toLocalIterator():
         text = (r.text or "").encode()
         n = len(text) // 2 + 1  # a word takes two bytes at least
@@ -125,9 +125,10 @@ def _verdict(counts, hits, names):
         places, items = hits.get(i, ((), ()))
         merged = merge(places) if places else []
         total = sum(e - s for s, e in merged)
-        ids = sorted({names[x] for x in items})
+        found = {names[x] for x in items}
+        ids = sorted(found - {None})
         n_hit.append(total)
-        n_items.append(len(ids))
+        n_items.append(len(found))
         digests.append(hashlib.sha256(",".join(ids).encode()).hexdigest())
         flags.append(contaminated(total, n))
         spans.append(merged)
@@ -141,7 +142,7 @@ def scan(docs: DataFrame, benchmark: DataFrame, *, span: int = SPAN, k: int = K,
     kind = docs.schema["doc_id"].dataType.simpleString()
     first, every = _blocks(benchmark, block_words)
     if every is not None:
-        return _scan_blocks(docs, every, span, k)
+        return _scan_blocks(docs, every, span, k).drop("rid")
     index = spark.sparkContext.broadcast(Index(first, span, k))
 
     def run(batches):
@@ -164,10 +165,15 @@ def scan(docs: DataFrame, benchmark: DataFrame, *, span: int = SPAN, k: int = K,
     )
 
 
+def _rid() -> Column:
+    """Row key: documents of one id and text have one verdict."""
+    return F.xxhash64("doc_id", F.col("doc_id").isNull(), "text")
+
+
 def _scan_blocks(docs: DataFrame, blocks: Iterator, span: int, k: int) -> DataFrame:
-    """Test sets beyond one block: one pass for each block, intervals merged by document."""
+    """Test sets beyond one block: one pass for each block, intervals merged by row key ``rid``."""
     spark = docs.sparkSession
-    keyed = docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("rid"))
+    keyed = docs.select("doc_id", "text", _rid().alias("rid"))
     parts = []
     for block in blocks:
         index = spark.sparkContext.broadcast(Index(block, span, k))
@@ -201,20 +207,21 @@ def _scan_blocks(docs: DataFrame, blocks: Iterator, span: int, k: int) -> DataFr
     def finish(batches):
         for batch in batches:
             spans = [merge(x) if x else [] for x in column(batch, "spans").to_pylist()]
-            items = [x or [] for x in column(batch, "items").to_pylist()]
+            found = [x or [] for x in column(batch, "items").to_pylist()]
+            items = [[i for i in x if i is not None] for x in found]
             n = [x or 0 for x in column(batch, "n_words").to_pylist()]
             total = [sum(e - s for s, e in x) for x in spans]
             yield pa.RecordBatch.from_arrays(
                 [
-                    column(batch, "doc_id"), pa.array(n, pa.int64()), pa.array(total, pa.int64()), pa.array([len(x) for x in items], pa.int64()),
+                    column(batch, "rid"), column(batch, "doc_id"), pa.array(n, pa.int64()), pa.array(total, pa.int64()), pa.array([len(x) for x in found], pa.int64()),
                     pa.array([hashlib.sha256(",".join(x).encode()).hexdigest() for x in items], pa.string()), pa.array([contaminated(a, b) for a, b in zip(total, n, strict=True)], pa.bool_()),
                     pa.array(spans, pa.list_(pa.list_(pa.int64()))), pa.array(items, pa.list_(pa.string())),
                 ],
-                ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "spans", "items"],
+                ["rid", "doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "spans", "items"],
             )
 
     return joined.mapInArrow(
-        finish, f"doc_id {kind}, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, spans array<array<bigint>>, items array<string>"
+        finish, f"rid long, doc_id {kind}, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, spans array<array<bigint>>, items array<string>"
     )
 
 
@@ -222,8 +229,8 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, *, span: int = SPAN
     """The clean documents, all columns as they are; test sets of several blocks are filtered one after the other's hits."""
     first, every = _blocks(benchmark, block_words)
     if every is not None:
-        bad = _scan_blocks(docs, every, span, k).where("contaminated").select("doc_id").distinct()
-        return docs.join(bad, docs["doc_id"].eqNullSafe(bad["doc_id"]), "left_anti")
+        bad = _scan_blocks(docs, every, span, k).where("contaminated").select("rid").distinct()
+        return docs.withColumn("__rid", _rid()).join(bad, F.col("__rid") == bad["rid"], "left_anti").select(docs.columns)
     index = docs.sparkSession.sparkContext.broadcast(Index(first, span, k))
 
     def run(batches):

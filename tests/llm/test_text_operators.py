@@ -339,3 +339,15 @@ def test_keep_one_of_null_and_repeated_ids(spark):
     rows = [(None, a, "en", "s", 1), (None, b, "en", "s", 1), (None, b, "en", "t", 1), (7, c, "en", "s", 1), (None, c, "en", "s", 1), (7, sentence(40), "en", "s", 1), (7, c, "en", "s", 1)]
     kept = simhash.keep_one(spark.createDataFrame(rows, SCHEMA)).collect()
     assert Counter((r.doc_id, r.text) for r in kept) == Counter([(None, a), (None, b), (7, c), (7, rows[5][1])])
+
+
+@pytest.mark.parametrize("block", [2_000_000, 20])
+def test_decontamination_of_null_ids(spark, block):
+    items = [(1, sentence(30)), (None, sentence(30)), (2, sentence(30))]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    rows = [(None, items[0][1], "en", "s", 1), (None, sentence(40), "en", "s", 1), (5, sentence(40), "en", "s", 1), (5, items[2][1], "en", "s", 1), (6, items[1][1], "en", "s", 1)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    kept = decontaminate.drop_contaminated(docs, bench, block_words=block)
+    assert kept.columns == docs.columns and Counter(r.text for r in kept.collect()) == Counter([rows[1][1], rows[2][1]])
+    found = {r.text: r for r in decontaminate.scan(docs, bench, block_words=block).join(docs.select("doc_id", "text").where("doc_id = 6"), "doc_id").collect()}
+    assert [(r.n_items, r["items"], r.contaminated) for r in found.values()] == [(1, [], True)]
