@@ -1,6 +1,7 @@
 """Corpus pipeline: STAGES are applied to ``documents`` one after the other, each written before the next.
 
-toxicity: documents that the classifier rejects go.  line_dedup: site boilerplate lines go, documents stay.
+toxicity: documents that the classifier rejects go.  line_dedup: site boilerplate lines go, documents stay; one that
+would lose all its lines is a copied document, so it stays whole and near_dedup keeps one of its copies.
 near_dedup: of each SimHash component one document stays.  decontaminate: documents that hold benchmark passages
 go.  mix: the documents of the weighted mix, with the words and copies taken of each.
 """
@@ -22,7 +23,8 @@ def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    out = line_dedup.dedup_lines(docs, report=None)
+    out = line_dedup.dedup_lines(docs.withColumn("__whole", F.col("text")), report=None)
+    out = out.withColumn("text", F.when(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.col("text")).otherwise(F.col("__whole")))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType))
     return out.select(docs.columns)

@@ -351,3 +351,20 @@ def test_decontamination_of_null_ids(spark, block):
     assert kept.columns == docs.columns and Counter(r.text for r in kept.collect()) == Counter([rows[1][1], rows[2][1]])
     found = {r.text: r for r in decontaminate.scan(docs, bench, block_words=block).join(docs.select("doc_id", "text").where("doc_id = 6"), "doc_id").collect()}
     assert [(r.n_items, r["items"], r.contaminated) for r in found.values()] == [(1, [], True)]
+
+
+def test_line_dedup_of_passages_in_large_hosts(spark):
+    passage = sentence(60)
+    rows = [(i, f"page {i}\n{passage if i < 6 else 'rest %d' % i}\n{'chance' if i < 4 else ''}", "en", "hot", 1) for i in range(2000)]
+    rows += [(9000 + i, passage, "en", "other", 1) for i in range(4)]
+    out = {r.doc_id: r for r in line_dedup.dedup_lines(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert [out[i].lines_dropped for i in range(6)] == [1] * 6 and out[0].text == "page 0\nchance"
+    assert sum(r.lines_dropped for r in out.values()) == 6 and out[9000].text == passage
+
+
+def test_pipeline_keeps_one_of_copied_documents(spark):
+    import corpus_pipeline
+
+    rows = [(i, "one passage\nof a copied document" if i < 6 else f"page {i}\nof a copied document", "en", "s", 1) for i in range(40)]
+    out = {r.doc_id: r for r in corpus_pipeline.drop_boilerplate(spark, spark.createDataFrame(rows, SCHEMA), "").collect()}
+    assert out[0].text == rows[0][1] and out[0].n_chars == len(rows[0][1]) and out[9].text == "page 9"
