@@ -508,6 +508,12 @@ def identifier_components(spark, d):
     return graph.components(rel).select("orcid_id", F.col("component").isNotNull().alias("labelled"))
 
 
+@query(None)  # whole relation; held against union-find in the tests
+def identifier_components_all(spark, d):
+    rel = read(spark, d, "lineitem").select(F.col("l_partkey").cast("string").alias("work_key"), F.col("l_orderkey").cast("string").alias("orcid_id")).distinct()
+    return graph.components(rel)
+
+
 @query(None)
 def work_keys(spark, d):
     return identity.work_keys(_corpus(spark, d))

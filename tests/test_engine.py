@@ -261,3 +261,26 @@ def test_entry(spark):
     import __spark_entry__ as e
 
     assert e.entry(spark).count() > 0 and set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_components_of_whole_relation(spark, tmp_path):
+    from folioscope.plans import queries as plans
+
+    rows = [(o, o * 7 % 97 if o % 3 else o) for o in range(1, 400)] + [(o, (o - 1) * 7 % 97) for o in range(20, 60)] + [(None, 5), (401, None)]
+    (tmp_path / "t").mkdir()
+    spark.createDataFrame(rows, "l_orderkey long, l_partkey long").write.parquet(str(tmp_path / "t" / "lineitem.parquet"))
+    parent = {}
+
+    def root(x):
+        while parent.setdefault(x, x) != x:
+            x = parent[x]
+        return x
+
+    pairs = [(str(o), ("part", p)) for o, p in rows if o is not None and p is not None]
+    for o, p in pairs:
+        parent[root(o)] = root(p)
+    least = {}
+    for o, _ in pairs:
+        least[root(o)] = min(least.get(root(o), o), o)
+    got = {(r.orcid_id, r.component) for r in plans.QUERIES["identifier_components_all"](spark, str(tmp_path / "t")).collect()}
+    assert {x for x in got if x[0] not in (None, "401")} == {(o, least[root(o)]) for o, _ in pairs} and len({c for _, c in got}) > 50
