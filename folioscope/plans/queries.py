@@ -495,6 +495,11 @@ def title_block_pairs(spark, d):
     return blocks.groupBy("title").agg(F.count("*").alias("records")).where("records > 1")
 
 
+@query(None)  # every document: SQL cannot fold Unicode as the normaliser does
+def title_blocks_all(spark, d):
+    return _corpus(spark, d).select(text.normalized_title("title").alias("title")).groupBy("title").agg(F.count("*").alias("records"))
+
+
 @query(None)
 def typo_pairs(spark, d):
     return identity.typo_pairs(identity.prepared(_corpus(spark, d)))
@@ -533,6 +538,11 @@ def person_names(spark, d):
     return docs.select("doc_id", F.length(F.replace(text.normalized_person("text"), F.lit(" "), F.lit(""))).cast("long").alias("letters"))
 
 
+@query(None)  # every document: SQL cannot fold Unicode as the normaliser does
+def person_names_all(spark, d):
+    return read(spark, d, "documents").select("doc_id", text.normalized_person("text").alias("name"))
+
+
 @query("SELECT s_suppkey AS id, s_suppkey % 2 = 0 AS valid FROM supplier")
 def identifier_syntax(spark, d):
     s, k = read(spark, d, "supplier"), F.lpad(F.col("s_suppkey").cast("string"), 4, "0")
