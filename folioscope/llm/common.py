@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..runtime import ship, written
@@ -12,6 +12,9 @@ __all__ = ["CHUNK_BYTES", "chunks", "column", "fold", "labelled_sample", "read_t
 
 #: Bytes of text that the vectorised kernels take at once; a longer single text is taken alone.
 CHUNK_BYTES = 1 << 19
+#: Bytes of labelled text that a classifier is trained on at most.
+SAMPLE_BYTES = 64 << 20
+
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return ship(spark).read.parquet(f"{sf_dir}/{name}.parquet")
@@ -22,11 +25,12 @@ def fold(col, modulus: int):
     return F.coalesce((F.crc32(F.col(col).cast("string").cast("binary")) % modulus).cast("int"), F.lit(-1))
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, max_rows: int, folds: int = 0) -> DataFrame:
-    """At most ``max_rows`` labelled documents of each class, in hash order: (doc_id, y, text).
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, max_rows: int, folds: int = 0, max_bytes: int = SAMPLE_BYTES) -> DataFrame:
+    """At most ``max_rows`` labelled documents of each class, in hash order, ``max_bytes`` of text in all: (doc_id, y, text).
 
-    Repeated labels of one document count once (their maximum); labels without a document, and
-    null labels, are left out.  ``folds`` > 0 leaves out the documents of fold 0.
+    Repeated labels of one document count once (their maximum); labels without a document, and null labels, are
+    left out.  Of rows that share a doc_id one stands for all, the largest text, so the bounds are on rows.
+    ``folds`` > 0 leaves out the documents of fold 0.
     """
     ids = docs.select("doc_id").where(F.col("doc_id").isNotNull())
     if folds:
@@ -38,13 +42,19 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, max_rows: in
         .agg(F.max("y").alias("y"))
         .join(ids.distinct(), "doc_id", "left_semi")
     )
-    parts = [
-        known.where(F.col("y") == y).orderBy(F.xxhash64("doc_id", F.lit("sample")), "doc_id").limit(max_rows)
-        for y in (0, 1)
-    ]
+    turn = F.xxhash64("doc_id", F.lit("sample"))
+    parts = [known.where(F.col("y") == y).orderBy(turn, "doc_id").limit(max_rows) for y in (0, 1)]
     # Bounded by 2 * max_rows rows of two numbers, hence safe to broadcast.
     chosen = F.broadcast(parts[0].unionByName(parts[1]))
-    return docs.select("doc_id", "text").join(chosen, "doc_id")
+    rows = written(docs.select("doc_id", "text").join(chosen, "doc_id").groupBy("doc_id").agg(F.first("y").alias("y"), F.max("text").alias("text")))
+    size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long")
+    if (rows.agg(F.sum(size)).first()[0] or 0) <= max_bytes:
+        return rows
+    # Both classes by turns, in hash order, up to the budget; numbers of at most 2 * max_rows rows.
+    one, every = Window.partitionBy("y").orderBy("turn", "doc_id"), Window.orderBy("place", "y")
+    sizes = rows.select("doc_id", "y", size.alias("size"), turn.alias("turn")).withColumn("place", F.row_number().over(one))
+    fits = sizes.withColumn("upto", F.sum("size").over(every.rowsBetween(Window.unboundedPreceding, 0))).where(F.col("upto") <= max_bytes)
+    return rows.join(F.broadcast(fits.select("doc_id")), "doc_id")
 
 
 def utf8(column: pa.Array) -> list[bytes]:

@@ -1,14 +1,14 @@
 """Benchmark decontamination by winnowing: window-minimum k-gram hashes, met with the test set's, then extended.
 
 For spans of ``span`` words, the k-grams (k words) of every span have a minimum hash; documents and test
-items select the same one, so each shared span of ``span`` words is found whatever surrounds it.  Found places
-are extended to all windows around them and confirmed on the words themselves, so hash collisions never
-count.  Items shorter than a span are single windows; their whole-window hashes are met for each of
-their lengths.
+items select the same one, so each shared span of ``span`` words is found whatever surrounds it.  Items shorter than a
+span are single windows, met by their whole-window hashes for each of their lengths.
 
-The fingerprints of the test set are sent to all tasks in blocks of at most ``block_words`` words, one pass over the
-documents for each block (one, for usual test sets), so what is sent is bounded whatever the size of
-the test set; hit intervals of several blocks are merged by document.
+Distribution.  The test set's fingerprints are put into a Bloom filter of bounded size (``FILTER_BITS``), which all
+tasks hold.  A pass over the documents extends each fingerprint in the filter to the spans that selected it and gives
+their words as candidates; these are joined with the test set's windows, by the words themselves, so hash collisions
+and the filter's errors never count.  A larger test set makes larger joins, never another pass, and nothing of it
+is collected but the filter.  Candidates are dealt by their words and a salt, as many documents may share a passage.
 
 Defined cases: a null or wordless text has no words and is clean; items without words have no window; items without an
 item_id hit as others do, count together as one item, and have no name in ``items``; equal items all count; repeated rows give repeated results; an empty test set leaves all clean; an
@@ -18,8 +18,6 @@ empty table gives an empty result; other columns are ignored.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -27,59 +25,88 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import chunks, column, utf8, written
-from .wordops import ALNUM, HashSet, grams, tokenize, window_min
+from .wordops import ALNUM, grams, mix, tokenize, window_min
 
 SPAN, K = 13, 8
-#: Words of test items in one broadcast block.
-BLOCK_WORDS = 2_000_000
-
-
-class Index:
-    """Windows of some test items: by bytes for confirmation, by winnowed hash for search."""
-
-    def __init__(self, items: list[tuple[str, bytes]], span: int = SPAN, k: int = K):
-        self.span, self.k = span, min(k, span)
-        self.names = [name for name, _ in items]
-        self.windows: dict[bytes, list[int]] = {}
-        found: list[np.ndarray] = []
-        short: dict[int, list[np.ndarray]] = {}
-        for i, (_, text) in enumerate(items):
-            words = tokenize([text], ALNUM)
-            n = len(words)
-            if not n:
-                continue
-            h = words.hashes()
-            if n < span:
-                short.setdefault(n, []).append(grams(h, n))
-            else:
-                found.append(window_min(grams(h, self.k), span - self.k + 1))
-            size = min(n, span)
-            for s in range(n - size + 1):
-                owners = self.windows.setdefault(words.text(s, s + size), [])
-                if not owners or owners[-1] != i:
-                    owners.append(i)
-        empty = np.zeros(0, dtype=np.uint64)
-        self.fingerprints = HashSet(np.concatenate(found) if found else empty)
-        self.short = {n: HashSet(np.concatenate(v)) for n, v in sorted(short.items())}
-
-    def hits(self, texts: list[bytes]):
-        """(n_words of each text, {text: (intervals [[start, stop]], items)}) for the texts with hits."""
-        words = tokenize(texts, ALNUM)
-        h, doc, first = words.hashes(), words.doc, words.first
-        out: dict[int, tuple[list[list[int]], set[int]]] = {}
-        searches = [(self.span, window_min(grams(h, self.k), self.span - self.k + 1), self.fingerprints)] if len(self.fingerprints.values) else []
-        searches += [(n, grams(h, n), known) for n, known in self.short.items()]
-        for size, values, known in searches:
-            at = known.find(values)
-            at = at[doc[at] == doc[at + size - 1]] if len(at) else at  # windows of one text only
-            for s in at.tolist():
-                owners = self.windows.get(words.text(s, s + size))
-                if owners:
-                    d = int(doc[s])
-                    spans, items = out.setdefault(d, ([], set()))
-                    spans.append([s - int(first[d]), s - int(first[d]) + size])
-                    items.update(owners)
-        return words.counts(), out
+#: Bits of the filter at most (32 MB); beyond 8 million fingerprints it lets more candidates through, and the join drops them.
+FILTER_BITS = 1 << 28
+#: Distinct windows of the test set that are broadcast at most; more are joined by shuffle.
+BROADCAST_WINDOWS = 100_000
+SALTS = 16
+
+
+class Filter:
+    """A Bloom filter of 64-bit values with three positions for each."""
+
+    def __init__(self, words: np.ndarray):
+        self.words = words
+        self.mask = np.uint64(64 * len(words) - 1)
+
+    @staticmethod
+    def places(values: np.ndarray, bits: int) -> list[np.ndarray]:
+        out, v = [], values
+        for _ in range(3):
+            v = mix(v + np.uint64(0x9E3779B97F4A7C15))
+            out.append(v & np.uint64(bits - 1))
+        return out
+
+    def find(self, values: np.ndarray) -> np.ndarray:
+        """Positions of values that may be members."""
+        at = np.arange(len(values))
+        v = values
+        for _ in range(3):
+            v = mix(v + np.uint64(0x9E3779B97F4A7C15))
+            p = v & self.mask
+            hit = (self.words[(p >> np.uint64(6)).astype(np.int64)] >> (p & np.uint64(63))) & np.uint64(1) == 1
+            at, v = at[hit], v[hit]
+        return at
+
+
+def selected(h: np.ndarray, size: int, span: int, k: int) -> np.ndarray:
+    """The fingerprint of each window of ``size`` words: its minimum k-gram, or the whole window if shorter than a span."""
+    if size < span:
+        return mix(grams(h, size) + np.uint64(size))
+    k = min(k, span)
+    return window_min(grams(h, k), span - k + 1)
+
+
+def test_windows(benchmark: DataFrame, *, span: int = SPAN, k: int = K) -> DataFrame:
+    """(win, item, size, fp): distinct windows of each item, their words and fingerprints."""
+
+    def run(batches):
+        for batch in batches:
+            names = column(batch, "item").to_pylist()
+            for name, text in zip(names, utf8(column(batch, "text")), strict=True):
+                words = tokenize([text], ALNUM)
+                n = len(words)
+                if not n:
+                    continue
+                size = min(n, span)
+                fps = selected(words.hashes(), size, span, k).view(np.int64).tolist()
+                mine = {words.text(s, s + size): fp for s, fp in enumerate(fps)}
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([w.decode("utf-8", "replace") for w in mine], pa.string()), pa.array([name] * len(mine), pa.string()), pa.array([size] * len(mine), pa.int32()), pa.array(list(mine.values()), pa.int64())],
+                    ["win", "item", "size", "fp"],
+                )
+
+    return benchmark.select(F.col("item_id").cast("string").alias("item"), "text").mapInArrow(run, "win string, item string, size int, fp long")
+
+
+def bloom(windows: DataFrame) -> Filter:
+    """The filter of all fingerprints: its 64-bit words are made by the cluster, and come to the driver within FILTER_BITS."""
+    n = windows.agg(F.approx_count_distinct("fp")).first()[0]
+    bits = 1 << min(max(16, (32 * max(n, 1)).bit_length()), FILTER_BITS.bit_length() - 1)
+
+    def run(batches):
+        for batch in batches:
+            values = np.unique(column(batch, "fp").to_numpy()).view(np.uint64)
+            place = np.concatenate(Filter.places(values, bits)) if len(values) else values
+            yield pa.RecordBatch.from_arrays([pa.array((place >> np.uint64(6)).astype(np.int64)), pa.array((np.uint64(1) << (place & np.uint64(63))).view(np.int64))], ["word", "bit"])
+
+    got = windows.select("fp").mapInArrow(run, "word long, bit long").groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
+    words = np.zeros(bits // 64, dtype=np.uint64)
+    words[got["word"].to_numpy()] = got["bits"].to_numpy().view(np.uint64)
+    return Filter(words)
 
 
 def merge(spans: list[list[int]]) -> list[list[int]]:
@@ -96,120 +123,69 @@ def contaminated(n_hit: int, n_words: int) -> bool:
     return n_hit > 0 and 20 * n_hit >= n_words
 
 
-def load_blocks(benchmark: DataFrame, block_words: int = BLOCK_WORDS) -> Iterator[list[tuple[str, bytes]]]:
-    """Test items in blocks of bounded size; the driver holds one or two at a time."""
-    block: list[tuple[str, bytes]] = []
-    size = 0
-    rows = benchmark.select(F.col("item_id").cast("string").alias("i"), "text").orderBy("i", "text")
-    for r in rows.toLocalIterator():
-        text = (r.text or "").encode()
-        n = len(text) // 2 + 1  # a word takes two bytes at least
-        if size and size + n > block_words:
-            yield block
-            block, size = [], 0
-        block.append((r.i, text))
-        size += n
-    yield block
-
-
-def _blocks(benchmark: DataFrame, block_words: int) -> tuple[list, Iterator | None]:
-    """The first block, and all of them if there are more."""
-    every = load_blocks(benchmark, block_words)
-    first, second = next(every), next(every, None)
-    return first, None if second is None else chain([first, second], every)
-
-
-def _verdict(counts, hits, names):
-    n_hit, n_items, digests, flags, spans, owners = [], [], [], [], [], []
-    for i, n in enumerate(counts.tolist()):
-        places, items = hits.get(i, ((), ()))
-        merged = merge(places) if places else []
-        total = sum(e - s for s, e in merged)
-        found = {names[x] for x in items}
-        ids = sorted(found - {None})
-        n_hit.append(total)
-        n_items.append(len(found))
-        digests.append(hashlib.sha256(",".join(ids).encode()).hexdigest())
-        flags.append(contaminated(total, n))
-        spans.append(merged)
-        owners.append(ids)
-    return n_hit, n_items, digests, flags, spans, owners
-
-
-def scan(docs: DataFrame, benchmark: DataFrame, *, span: int = SPAN, k: int = K, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """Per document: doc_id, n_words, n_hit, n_items, items_sha256, contaminated, spans (word intervals), items."""
-    spark = docs.sparkSession
+def _rid() -> Column:
+    """Row key: documents of one id and text have one verdict."""
+    return F.xxhash64("doc_id", F.col("doc_id").isNull(), "text")
+
+
+def candidates(docs: DataFrame, known: Filter, sizes: list[int], *, span: int = SPAN, k: int = K) -> DataFrame:
+    """(rid, doc_id, n_words, pos, win): a row for each document, with null pos and win, and one for each window in the filter."""
     kind = docs.schema["doc_id"].dataType.simpleString()
-    first, every = _blocks(benchmark, block_words)
-    if every is not None:
-        return _scan_blocks(docs, every, span, k).drop("rid")
-    index = spark.sparkContext.broadcast(Index(first, span, k))
+    shared = docs.sparkSession.sparkContext.broadcast(known)
 
     def run(batches):
-        known = index.value
         for batch in batches:
-            ids = column(batch, "doc_id")
+            ids, rids = column(batch, "doc_id"), column(batch, "rid")
             for start, texts in chunks(utf8(column(batch, "text"))):
-                counts, hits = known.hits(texts)
-                n_hit, n_items, digests, flags, spans, owners = _verdict(counts, hits, known.names)
+                words = tokenize(texts, ALNUM)
+                h, doc, n = words.hashes(), words.doc, len(texts)
+                owner, pos, win = [], [], []
+                for size in sizes:
+                    at = shared.value.find(selected(h, size, span, k))
+                    at = at[doc[at] == doc[at + size - 1]]  # windows of one text only
+                    owner.append(doc[at])
+                    pos.append(at - words.first[doc[at]])
+                    win += [words.text(s, s + size).decode("utf-8", "replace") for s in at.tolist()]
+                owner = np.concatenate([np.arange(n), *owner])
+                row = pa.array(start + owner)
                 yield pa.RecordBatch.from_arrays(
                     [
-                        ids.slice(start, len(texts)), pa.array(counts, pa.int64()), pa.array(n_hit, pa.int64()), pa.array(n_items, pa.int64()), pa.array(digests),
-                        pa.array(flags), pa.array(spans, pa.list_(pa.list_(pa.int64()))), pa.array(owners, pa.list_(pa.string())),
+                        rids.take(row), ids.take(row), pa.concat_arrays([pa.array(words.counts(), pa.int64()), pa.nulls(len(win), pa.int64())]),
+                        pa.concat_arrays([pa.nulls(n, pa.int64()), pa.array(np.concatenate([np.zeros(0, np.int64), *pos]), pa.int64())]), pa.concat_arrays([pa.nulls(n, pa.string()), pa.array(win, pa.string())]),
                     ],
-                    ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "spans", "items"],
+                    ["rid", "doc_id", "n_words", "pos", "win"],
                 )
 
-    return docs.select("doc_id", "text").mapInArrow(
-        run, f"doc_id {kind}, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, spans array<array<bigint>>, items array<string>"
-    )
+    return docs.select(_rid().alias("rid"), "doc_id", "text").mapInArrow(run, f"rid long, doc_id {kind}, n_words long, pos long, win string")
 
 
-def _rid() -> Column:
-    """Row key: documents of one id and text have one verdict."""
-    return F.xxhash64("doc_id", F.col("doc_id").isNull(), "text")
+def _met(found: DataFrame, windows: DataFrame, sizes: DataFrame) -> DataFrame:
+    """Candidates whose words are a test window."""
+    if sizes.count() <= BROADCAST_WINDOWS:
+        return found.join(F.broadcast(windows), "win")
+    salted = windows.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return found.withColumn("salt", F.pmod(F.col("rid"), F.lit(SALTS)).cast("int")).join(salted, ["win", "salt"]).drop("salt")
 
 
-def _scan_blocks(docs: DataFrame, blocks: Iterator, span: int, k: int) -> DataFrame:
-    """Test sets beyond one block: one pass for each block, intervals merged by row key ``rid``."""
-    spark = docs.sparkSession
-    keyed = docs.select("doc_id", "text", _rid().alias("rid"))
-    parts = []
-    for block in blocks:
-        index = spark.sparkContext.broadcast(Index(block, span, k))
-
-        def run(batches, index=index):
-            known = index.value
-            for batch in batches:
-                rids = column(batch, "rid")
-                for start, texts in chunks(utf8(column(batch, "text"))):
-                    _, hits = known.hits(texts)
-                    at = sorted(hits)
-                    yield pa.RecordBatch.from_arrays(
-                        [
-                            rids.slice(start, len(texts)).take(pa.array(at, pa.int64())),
-                            pa.array([merge(hits[i][0]) for i in at], pa.list_(pa.list_(pa.int64()))),
-                            pa.array([[known.names[x] for x in sorted(hits[i][1])] for i in at], pa.list_(pa.string())),
-                        ],
-                        ["rid", "spans", "items"],
-                    )
-
-        parts.append(written(keyed.mapInArrow(run, "rid long, spans array<array<bigint>>, items array<string>")))
-        index.unpersist()
-    hits = parts[0]
-    for part in parts[1:]:
-        hits = hits.unionByName(part)
-    hits = hits.groupBy("rid").agg(F.flatten(F.collect_list("spans")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
-    counted = keyed.select("doc_id", "rid", F.regexp_count(F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), F.lit(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")).cast("long").alias("n_words"))
-    joined = counted.join(hits, "rid", "left")
+def _scan(docs: DataFrame, benchmark: DataFrame, span: int, k: int) -> DataFrame:
+    """``scan`` with the row key ``rid``."""
+    windows = written(test_windows(benchmark, span=span, k=k))
+    sizes = sorted(r.size for r in windows.select(F.col("size").alias("size")).distinct().collect())  # at most ``span``
+    found = written(candidates(docs, bloom(windows), sizes, span=span, k=k))
+    distinct = written(windows.groupBy("win").agg(F.first("size").alias("size")))
+    met = written(_met(found.where("win IS NOT NULL").select("rid", "pos", "win"), distinct, distinct))
+    spans = met.groupBy("rid").agg(F.collect_set(F.struct("pos", "size")).alias("places"))
+    owners = _met(met.select("rid", "win").distinct(), windows.select("win", "item").distinct(), distinct)
+    items = owners.select("rid", F.struct("item").alias("item")).groupBy("rid").agg(F.collect_set("item").alias("items"))
+    hits = spans.join(items, "rid")
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def finish(batches):
         for batch in batches:
-            spans = [merge(x) if x else [] for x in column(batch, "spans").to_pylist()]
-            found = [x or [] for x in column(batch, "items").to_pylist()]
-            items = [[i for i in x if i is not None] for x in found]
-            n = [x or 0 for x in column(batch, "n_words").to_pylist()]
+            spans = [merge([[p["pos"], p["pos"] + p["size"]] for p in x]) if x else [] for x in column(batch, "places").to_pylist()]
+            found = [[i["item"] for i in x] if x else [] for x in column(batch, "items").to_pylist()]
+            items = [sorted(i for i in x if i is not None) for x in found]
+            n = column(batch, "n_words").to_pylist()
             total = [sum(e - s for s, e in x) for x in spans]
             yield pa.RecordBatch.from_arrays(
                 [
@@ -220,30 +196,21 @@ def _scan_blocks(docs: DataFrame, blocks: Iterator, span: int, k: int) -> DataFr
                 ["rid", "doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "spans", "items"],
             )
 
-    return joined.mapInArrow(
+    base = found.where("win IS NULL").select("rid", "doc_id", "n_words")
+    return base.join(hits, "rid", "left").mapInArrow(
         finish, f"rid long, doc_id {kind}, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, spans array<array<bigint>>, items array<string>"
     )
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, *, span: int = SPAN, k: int = K, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """The clean documents, all columns as they are; test sets of several blocks are filtered one after the other's hits."""
-    first, every = _blocks(benchmark, block_words)
-    if every is not None:
-        bad = _scan_blocks(docs, every, span, k).where("contaminated").select("rid").distinct()
-        return docs.withColumn("__rid", _rid()).join(bad, F.col("__rid") == bad["rid"], "left_anti").select(docs.columns)
-    index = docs.sparkSession.sparkContext.broadcast(Index(first, span, k))
+def scan(docs: DataFrame, benchmark: DataFrame, *, span: int = SPAN, k: int = K) -> DataFrame:
+    """Per document: doc_id, n_words, n_hit, n_items, items_sha256, contaminated, spans (word intervals), items."""
+    return _scan(docs, benchmark, span, k).drop("rid")
 
-    def run(batches):
-        known = index.value
-        for batch in batches:
-            keep = np.ones(batch.num_rows, dtype=bool)
-            for start, texts in chunks(utf8(column(batch, "text"))):
-                counts, hits = known.hits(texts)
-                for i, (places, _) in hits.items():
-                    keep[start + i] = not contaminated(sum(e - s for s, e in merge(places)), int(counts[i]))
-            yield batch.filter(pa.array(keep))
 
-    return docs.mapInArrow(run, docs.schema)
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, *, span: int = SPAN, k: int = K) -> DataFrame:
+    """The clean documents, all columns as they are; rows are told apart by id and text, so neither null nor repeated ids matter."""
+    bad = _scan(docs, benchmark, span, k).where("contaminated").select(F.col("rid").alias("__bad"), F.col("doc_id").alias("__id")).distinct()
+    return docs.withColumn("__rid", _rid()).join(bad, (F.col("__rid") == F.col("__bad")) & F.col("doc_id").eqNullSafe(F.col("__id")), "left_anti").select(docs.columns)
 
 
 _WORDS = "regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"

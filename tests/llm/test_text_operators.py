@@ -134,23 +134,26 @@ def brute_overlap(text, items, span=13):
         for i in range(len(w) - size + 1):
             if tuple(w[i : i + size]) in windows:
                 hit.update(range(i, i + size))
-                found.add(str(name))
-    digest = hashlib.sha256(",".join(sorted(found)).encode()).hexdigest()
+                found.add(name)
+    digest = hashlib.sha256(",".join(sorted(str(x) for x in found if x is not None)).encode()).hexdigest()
     return len(w), len(hit), len(found), digest, bool(hit) and 20 * len(hit) >= len(w)
 
 
-@pytest.mark.parametrize("block", [2_000_000, 60])
-def test_decontamination(spark, docs, none, block):
+@pytest.mark.parametrize("windows, bits", [(100_000, 1 << 28), (0, 1 << 8)])
+def test_decontamination(spark, docs, none, monkeypatch, windows, bits):
+    monkeypatch.setattr(decontaminate, "BROADCAST_WINDOWS", windows)
+    monkeypatch.setattr(decontaminate, "FILTER_BITS", bits)  # an overfull filter changes nothing
     rows = corpus()
     items = [(1, sentence(30)), (2, rows[20][1]), (10, " ".join((rows[-5][1] or "x").split()[:9])), (3, None), (4, "..."), (5, sentence(12)), (6, rows[20][1]), (7, VOCAB[0])]
     items += [(20 + i, " ".join(r[1].split()[3:22]).upper()) for i, r in enumerate(rows[30:40])]
-    bench = spark.createDataFrame(items, "item_id long, text string")
+    items.append((None, " ".join(rows[45][1].split()[:9])))
+    bench = spark.createDataFrame([(*x, "clash", 1) for x in items], "item_id long, text string, win string, size int")
     planted = [(1000 + i, sentence(40) + " " + items[0][1][:k] + "; " + sentence(5), "en", "s", 1) for i, k in enumerate((40, 80, 200))]
     all_docs = spark.createDataFrame(rows + planted, SCHEMA)
-    out = decontaminate.scan(all_docs, bench, block_words=block).drop("spans", "items")
+    out = decontaminate.scan(all_docs, bench).drop("spans", "items")
     got = Counter(tuple(r) for r in out.collect())
     assert got == Counter((r[0], *brute_overlap(r[1], items)) for r in rows + planted)
-    kept = Counter(r.doc_id for r in decontaminate.drop_contaminated(all_docs, bench, block_words=block).collect())
+    kept = Counter(r.doc_id for r in decontaminate.drop_contaminated(all_docs, bench).collect())
     assert kept == Counter(r[0] for r in rows + planted if not brute_overlap(r[1], items)[-1])
     assert decontaminate.scan(none, bench).count() == 0
     assert not decontaminate.scan(docs, bench.limit(0)).where("contaminated").count()
@@ -341,15 +344,16 @@ def test_keep_one_of_null_and_repeated_ids(spark):
     assert Counter((r.doc_id, r.text) for r in kept) == Counter([(None, a), (None, b), (7, c), (7, rows[5][1])])
 
 
-@pytest.mark.parametrize("block", [2_000_000, 20])
-def test_decontamination_of_null_ids(spark, block):
+@pytest.mark.parametrize("windows", [100_000, 0])
+def test_decontamination_of_null_ids(spark, monkeypatch, windows):
+    monkeypatch.setattr(decontaminate, "BROADCAST_WINDOWS", windows)
     items = [(1, sentence(30)), (None, sentence(30)), (2, sentence(30))]
     bench = spark.createDataFrame(items, "item_id long, text string")
     rows = [(None, items[0][1], "en", "s", 1), (None, sentence(40), "en", "s", 1), (5, sentence(40), "en", "s", 1), (5, items[2][1], "en", "s", 1), (6, items[1][1], "en", "s", 1)]
     docs = spark.createDataFrame(rows, SCHEMA)
-    kept = decontaminate.drop_contaminated(docs, bench, block_words=block)
+    kept = decontaminate.drop_contaminated(docs, bench)
     assert kept.columns == docs.columns and Counter(r.text for r in kept.collect()) == Counter([rows[1][1], rows[2][1]])
-    found = {r.text: r for r in decontaminate.scan(docs, bench, block_words=block).join(docs.select("doc_id", "text").where("doc_id = 6"), "doc_id").collect()}
+    found = {r.text: r for r in decontaminate.scan(docs, bench).join(docs.select("doc_id", "text").where("doc_id = 6"), "doc_id").collect()}
     assert [(r.n_items, r["items"], r.contaminated) for r in found.values()] == [(1, [], True)]
 
 
