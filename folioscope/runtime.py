@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
 import zipfile
@@ -10,6 +11,9 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Bytes of one Arrow batch between the JVM and Python, unless the application sets its own: whole texts travel in them.
+ARROW_BYTES = "4m"
+
 _shipped: set[str] = set()
 _written: list[tuple[SparkSession, str]] = []
 
@@ -24,16 +28,21 @@ def ship(spark: SparkSession) -> SparkSession:
             for source in sorted(root.rglob("*.py")):
                 archive.write(source, source.relative_to(root.parent))
         sc.addPyFile(str(target))
+        for limit in ("maxBytesPerBatch", "maxBytesPerOutputBatch"):
+            if not sc.getConf().contains(f"spark.sql.execution.arrow.{limit}"):
+                spark.conf.set(f"spark.sql.execution.arrow.{limit}", ARROW_BYTES)
         _shipped.add(sc.applicationId)
     return spark
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all machines share: spark.checkpoint.dir; a temporary one only where it is unset."""
+    """The folder all machines share: spark.checkpoint.dir; a temporary one only where it is unset and there is one machine."""
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not path:
         path = spark.sparkContext.getCheckpointDir()
     if not path:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all machines of the cluster share")
         spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="folioscope-"))
         path = spark.sparkContext.getCheckpointDir()
     return path.rstrip("/")
