@@ -33,6 +33,8 @@ FILTER_BITS = 1 << 28
 #: Distinct windows of the test set that are broadcast at most; more are joined by shuffle.
 BROADCAST_WINDOWS = 100_000
 SALTS = 16
+#: Keys of contaminated documents that are broadcast at most (16 bytes each); more are met by shuffle.
+BROADCAST_ROWS = 1_000_000
 
 
 class Filter:
@@ -209,7 +211,9 @@ def scan(docs: DataFrame, benchmark: DataFrame, *, span: int = SPAN, k: int = K)
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, *, span: int = SPAN, k: int = K) -> DataFrame:
     """The clean documents, all columns as they are; rows are told apart by id and text, so neither null nor repeated ids matter."""
-    bad = _scan(docs, benchmark, span, k).where("contaminated").select(F.col("rid").alias("__bad"), F.col("doc_id").alias("__id")).distinct()
+    bad = written(_scan(docs, benchmark, span, k).where("contaminated").select(F.col("rid").alias("__bad"), F.col("doc_id").alias("__id")).distinct())
+    if bad.count() <= BROADCAST_ROWS:
+        bad = F.broadcast(bad)
     return docs.withColumn("__rid", _rid()).join(bad, (F.col("__rid") == F.col("__bad")) & F.col("doc_id").eqNullSafe(F.col("__id")), "left_anti").select(docs.columns)
 
 

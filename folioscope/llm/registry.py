@@ -52,7 +52,7 @@ def op9_line_dedup(spark, sf_dir):
 def op10_pii(spark, sf_dir):
     docs = read_table(spark, sf_dir, "documents")
     found = pii.find_pii(docs, pii.fit(docs))
-    return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2("base_spans", 256).alias("base_sha256"), "spans")
+    return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2("base_spans", 256).alias("base_sha256"), "spans", *(c for c in found.columns if c.startswith("added_")))
 
 
 QUERIES = {
