@@ -364,7 +364,7 @@ def classed(docs: DataFrame, known: Vocabulary, table: DataFrame, held=None) ->
                 d, w = doc[order], back[order]
                 new = np.flatnonzero(np.append(True, (d[1:] != d[:-1]) | (w[1:] != w[:-1]))) if len(order) else order
                 place = (order - words.first[d]).astype("<u4")
-                stop = np.append(new[1:], len(order))
+                stop = np.append(new[1:], len(order)) if len(order) else new
                 rows = len(new)
                 mine = pa.array(np.concatenate([np.arange(start, start + n), start + d[new]]))
                 yield pa.RecordBatch.from_arrays(

@@ -49,8 +49,9 @@ def words(text):
     return [w.decode() for w in (text or "").encode().lower().split()]
 
 
-def test_lm_base_scores_and_probabilities(spark, docs, none):
-    out = lm_scoring.brown_scores(docs, heads=20, groups=16, hot=30, classes=8)
+@pytest.mark.parametrize("hot", [30, 1 << 18])
+def test_lm_base_scores_and_probabilities(spark, docs, none, hot):
+    out = lm_scoring.brown_scores(docs, heads=20, groups=16, hot=hot, classes=8)
     got = Counter((r.doc_id, r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6)) for r in out.collect())
     held = lambda i: i is not None and zlib.crc32(str(i).encode()) % 7 == 2
     c = Counter()
