@@ -1,10 +1,12 @@
 """URL filters: host-suffix and path-prefix expressions, joined to rules on short digest prefixes.
 
 Each URL is expanded into the expressions that a rule could have: the last k labels of its host, for each
-number of labels k that a rule has, with the first n characters of its path, for each path length n that a
-rule has.  This is exact for rules that are plain string prefixes, and the expansion does not grow with the
-URL.  Expressions meet rules on the first bytes of their SHA-256; full digests and texts confirm; the longest
-rule wins (ties: the longer host, then block before allow).
+number of labels k that a rule has, with the first n characters of its path, for each length n that the paths of such
+rules have.  This is exact for rules that are plain string prefixes; a URL has at most as many expressions as it has host labels
+times path characters, and the plan holds the lengths as one array for each k.  Expressions meet rules on the first
+bytes of their SHA-256; full digests and texts confirm; the longest rule wins (ties: the longer host, then block before allow).
+
+Rules are broadcast up to ``BROADCAST_RULES``; more are joined by shuffle, with a salt, as one rule may fit a third of all pages.
 
 Defined cases: a null URL or one without ``://`` has an empty host and path and fits no rule; repeated
 rows give repeated results; no rules leave every verdict to ``default``; other columns are ignored.
@@ -20,6 +22,7 @@ RULES = (("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "exa
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Rules up to this many are broadcast; more are joined by shuffle.
 BROADCAST_RULES = 100_000
+SALTS = 16
 
 
 def host_of(url: Column) -> Column:
@@ -45,42 +48,37 @@ def filter_urls(pages: DataFrame, rules: DataFrame, *, default: str = "allow", p
         digest.alias("rule_digest"),
         F.substring(digest, 1, 2 * prefix_bytes).alias("short"),
     )
-    # The shapes of rules: bounded by rule host depth times rule path length, not by pages.
-    shapes = [
-        (r.k, r.n) for r in rules.select(F.size(F.split("host", r"\.")).alias("k"), F.length("path").alias("n")).distinct().orderBy("k", "n").collect()
-    ]
-    small = rules.count() <= BROADCAST_RULES
     parts = pages.select("page_id", "url").withColumns({"host": host_of(F.col("url")), "path": path_of(F.col("url"))})
+    # Path lengths by the number of host labels: bounded by the lengths of hosts and paths, not by rules or pages.
+    shapes: dict[int, list[int]] = {}
+    for r in rules.select(F.size(F.split("host", r"\.")).alias("k"), F.length("path").alias("n")).where("n IS NOT NULL AND k > 0").distinct().orderBy("k", "n").collect():
+        shapes.setdefault(r.k, []).append(r.n)
     labels = F.split("host", r"\.")
-    expressions = [F.struct(F.lit(None).cast("string").alias("h"), F.lit(None).cast("string").alias("p"), F.lit(True).alias("own"))]
-    for k, n in shapes:
-        fits = (F.size(labels) >= k) & (F.length("path") >= n)
+
+    def expanded(k: int, lengths: list[int]) -> Column:
         suffix = F.array_join(F.slice(labels, -k, k), ".")
-        expressions.append(
-            F.struct(
-                F.when(fits, suffix).alias("h"), F.when(fits, F.substring("path", 1, n)).alias("p"), F.lit(False).alias("own")
-            )
-        )
-    wide = parts.select("page_id", "url", "host", "path", F.explode(F.array(*expressions)).alias("e")).where("e.own OR e.h IS NOT NULL")
-    full = F.sha2(F.concat_ws("\n", F.col("e.h"), F.col("e.p")), 256)
-    wide = wide.withColumn("digest", F.when(~F.col("e.own"), full)).withColumn("short", F.substring("digest", 1, 2 * prefix_bytes))
-    met = wide.join(F.broadcast(table) if small else table, "short", "left")
-    sure = (F.col("digest") == F.col("rule_digest")) & (F.col("e.h") == F.col("rule_host")) & (F.col("e.p") == F.col("rule_path"))
-    best = F.max(
-        F.when(
-            sure,
-            F.struct(
-                (F.length("rule_host") + F.length("rule_path")).alias("size"),
-                F.length("rule_host").alias("host_size"),
-                F.when(F.col("rule_verdict") == "block", 1).otherwise(0).alias("blocks"),
-                F.concat("rule_host", "rule_path").alias("rule"),
-                F.col("rule_verdict").alias("verdict"),
-            ),
-        )
-    )
-    # Equal rows are judged once and counted; the count brings them back.  A short digest may meet
-    # several rules, but the row's own marker has no digest and meets none.
-    judged = met.groupBy("page_id", "url", "host", "path").agg(best.alias("best"), F.count_if(F.col("e.own")).cast("int").alias("n"))
+        fits = F.filter(F.array(*map(F.lit, lengths)), lambda n: n <= F.length("path"))
+        return F.when(F.size(labels) >= k, F.transform(fits, lambda n: F.struct(suffix.alias("h"), F.substring(F.col("path"), F.lit(1), n).alias("p"))))
+
+    best = "struct<size: int, host_size: int, blocks: int, rule: string, verdict: string>"
+    own = parts.select("page_id", "url", "host", "path", F.lit(True).alias("own"), F.lit(None).cast(best).alias("best"))
+    if shapes:
+        every = F.flatten(F.filter(F.array(*(expanded(k, n) for k, n in shapes.items())), lambda x: x.isNotNull()))
+        wide = parts.select("page_id", "url", "host", "path", F.explode(every).alias("e"))
+        wide = wide.withColumn("digest", F.sha2(F.concat_ws("\n", F.col("e.h"), F.col("e.p")), 256)).withColumn("short", F.substring("digest", 1, 2 * prefix_bytes))
+        if rules.count() <= BROADCAST_RULES:
+            met = wide.join(F.broadcast(table), "short")
+        else:
+            salted = table.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+            met = wide.withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)).cast("int")).join(salted, ["short", "salt"])
+        sure = met.where((F.col("digest") == F.col("rule_digest")) & (F.col("e.h") == F.col("rule_host")) & (F.col("e.p") == F.col("rule_path")))
+        found = F.struct(
+            (F.length("rule_host") + F.length("rule_path")).alias("size"), F.length("rule_host").alias("host_size"), F.when(F.col("rule_verdict") == "block", 1).otherwise(0).alias("blocks"),
+            F.concat("rule_host", "rule_path").alias("rule"), F.col("rule_verdict").alias("verdict"),
+        )
+        own = own.unionAll(sure.select("page_id", "url", "host", "path", F.lit(False), found.cast(best)))
+    # Equal rows are judged once and counted; the count brings them back.
+    judged = own.groupBy("page_id", "url", "host", "path").agg(F.max("best").alias("best"), F.count_if("own").cast("int").alias("n"))
     once = judged.select("page_id", "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.verdict", F.lit(default)).alias("verdict"), "n")
     return once.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("n")))).drop("copy", "n")
 
