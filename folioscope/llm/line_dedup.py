@@ -1,13 +1,14 @@
 """Line dedup by site-relative frequency: lines on too large a share of a host's pages are dropped.
 
 Pages are grouped by host (``source`` for documents).  A line's share is the number of the host's pages that
-contain it, divided by the number of the host's pages.  Lines above ``ratio``, on at least ``least`` pages,
-are dropped from all pages of that host.  ``least`` keeps the lines of hosts with very few pages.
+contain it, divided by the number of the host's pages and ``prior`` pages more, which stand for what a host has not
+shown: in a host of few pages a line's plain share is large by chance (in a host of one page it is 1), so
+shares of small hosts shrink.  Lines above ``ratio`` are dropped from all pages of that host.
 
-Distribution: only (host, 16-byte line digest) pairs are shuffled, pre-aggregated; texts stay where they are.
-A host has at most (mean distinct lines of a page) / ratio such lines, so a host's list is bounded, though long for a
-small ratio: it is cut into 256 cells by the digest's first byte, so a line meets a 256th of it.  Lists go
-to the pages by a join, broadcast only if all lists together have at most ``BROADCAST_LINES`` digests.
+Distribution: only (host, 16-byte line digest) pairs are shuffled, pre-aggregated.  The digests to drop go to the pages by
+host, broadcast, if all of them together are at most ``BROADCAST_LINES``; else (row key, digest) pairs of the pages
+are joined with them by (host, digest) and a salt, and each page gets its own digests by its row key, so no host is a hot key.  A
+list is cut into 256 cells by the digest's first byte, so a line meets a 256th of it.
 
 Defined cases: a null text stays null; a null host is a host of its own; lines without a word are kept
 and not counted; a line repeated on a page counts once; a text that loses all lines is the empty text; repeated
@@ -21,11 +22,15 @@ from pyspark.sql import functions as F
 
 from .common import written
 
-#: Line digests that are broadcast at most (16 bytes each); longer lists go by a shuffled join.
+#: Line digests that are broadcast at most (16 bytes each).
 BROADCAST_LINES = 1_000_000
-#: Lines of four and more words on 5 pages of one host are hardly chance, and of those this ratio finds nearly all in hosts of 500 to
-#: 93,000 pages; 0.05 found 13 to 28 % of their occurrences (README).
-RATIO, LEAST = 0.0001, 5
+SALTS = 16
+#: A line goes from 5 pages on in small hosts, from 7 in a host of 93,000 pages, from 105 in one of 5 million.  Lines of four and more
+#: words on 5 pages of one host are hardly chance (README).
+RATIO, PRIOR = 0.00002, 225_000
+
+
+WORD = r"[^\x20\x09-\x0D]"
 
 
 def _digest(line: Column) -> Column:
@@ -40,29 +45,48 @@ def _listed(lists: Column, digest: Column) -> Column:
     return F.coalesce(F.array_contains(F.try_element_at(lists, _cell(digest)), digest), F.lit(False))
 
 
-def boilerplate(pages: DataFrame, *, host: str = "source", text: str = "text", ratio: float = RATIO, least: int = LEAST) -> DataFrame:
+def boilerplate(pages: DataFrame, *, host: str = "source", text: str = "text", ratio: float = RATIO, prior: float = PRIOR) -> DataFrame:
     """(host, line digest, n pages, n host pages) of the lines to drop."""
-    lines = pages.select(F.col(host).alias("host"), F.explode(F.array_distinct(F.split(text, "\n", -1))).alias("line")).where(F.col("line").rlike(r"[^\x20\x09-\x0D]"))
-    seen = lines.select("host", _digest(F.col("line")).alias("digest")).groupBy("host", "digest").agg(F.count("*").alias("n")).where(F.col("n") >= least)
+    lines = pages.select(F.col(host).alias("host"), F.explode(F.array_distinct(F.split(text, "\n", -1))).alias("line")).where(F.col("line").rlike(WORD))
+    seen = lines.select("host", _digest(F.col("line")).alias("digest")).groupBy("host", "digest").agg(F.count("*").alias("n")).where(F.col("n") > ratio * prior)
     totals = pages.groupBy(F.col(host).alias("its")).agg(F.count("*").alias("total"))
-    return seen.join(totals, F.col("host").eqNullSafe(F.col("its"))).where(F.col("n") > F.lit(ratio) * F.col("total")).drop("its")
+    return seen.join(totals, F.col("host").eqNullSafe(F.col("its"))).where(F.col("n") > F.lit(ratio) * (F.col("total") + F.lit(prior))).drop("its")
+
+
+def _cells(digests: DataFrame, key: str) -> DataFrame:
+    """(__key, __drop): the digests of a key as a map from their first byte."""
+    cells = digests.groupBy(key, _cell(F.col("digest")).alias("cell")).agg(F.collect_set("digest").alias("part"))
+    return cells.groupBy(F.col(key).alias("__key")).agg(F.map_from_entries(F.collect_list(F.struct("cell", "part"))).alias("__drop"))
+
+
+def _by_row(pages: DataFrame, bad: DataFrame, host: str, text: str) -> DataFrame:
+    """``pages`` with the column __drop, by way of their own lines: rows of one host and text have one key."""
+    keyed = pages.withColumn("__row", F.xxhash64(host, F.col(host).isNull(), text))
+    lines = keyed.select("__row", F.col(host).alias("host"), F.explode(F.array_distinct(F.split(text, "\n", -1))).alias("line")).where(F.col("line").rlike(WORD))
+    own = lines.select("__row", "host", _digest(F.col("line")).alias("digest"), F.pmod("__row", F.lit(SALTS)).cast("int").alias("salt")).distinct()
+    salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
+    salted = bad.select(F.col("host").alias("__host"), F.col("digest").alias("__digest"), salts.alias("__salt"))
+    hits = own.join(salted, (F.col("digest") == F.col("__digest")) & (F.col("salt") == F.col("__salt")) & F.col("host").eqNullSafe(F.col("__host")))
+    lists = _cells(hits.select("__row", "digest"), "__row").withColumn("__turn", salts)
+    # Copies of one page share a key; any salt is right, as every salt has the list.
+    dealt = keyed.withColumn("__salt", F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int"))
+    return dealt.join(lists, (F.col("__row") == F.col("__key")) & (F.col("__salt") == F.col("__turn")), "left").drop("__row", "__salt", "__turn", "__key")
 
 
-def dedup_lines(pages: DataFrame, *, host: str = "source", text: str = "text", ratio: float = RATIO, least: int = LEAST, report: str | None = "lines_dropped") -> DataFrame:
+def dedup_lines(pages: DataFrame, *, host: str = "source", text: str = "text", ratio: float = RATIO, prior: float = PRIOR, report: str | None = "lines_dropped") -> DataFrame:
     """All columns of ``pages``, the text without boilerplate lines, and their number in the column ``report``."""
-    bad = written(boilerplate(pages, host=host, text=text, ratio=ratio, least=least).select("host", "digest"))
-    cells = bad.groupBy("host", _cell(F.col("digest")).alias("cell")).agg(F.collect_set("digest").alias("part"))
-    lists = cells.groupBy(F.col("host").alias("__host")).agg(F.map_from_entries(F.collect_list(F.struct("cell", "part"))).alias("__drop"))
+    bad = written(boilerplate(pages, host=host, text=text, ratio=ratio, prior=prior).select("host", "digest"))
     if bad.count() <= BROADCAST_LINES:
-        lists = F.broadcast(lists)
+        joined = pages.join(F.broadcast(_cells(bad, "host")), F.col(host).eqNullSafe(F.col("__key")), "left").drop("__key")
+    else:
+        joined = _by_row(pages, bad, host, text)
     split = F.split(text, "\n", -1)
-    kept = F.filter(split, lambda line: ~(_listed(F.col("__drop"), _digest(line)) & line.rlike(r"[^\x20\x09-\x0D]")))
-    joined = pages.join(lists, F.col(host).eqNullSafe(F.col("__host")), "left")
+    kept = F.filter(split, lambda line: ~(_listed(F.col("__drop"), _digest(line)) & line.rlike(WORD)))
     some = F.col("__drop").isNotNull() & F.col(text).isNotNull()
     out = joined.withColumn("__kept", F.when(some, kept))
     if report:
         out = out.withColumn(report, F.when(some, F.size(split) - F.size("__kept")).otherwise(0))
-    return out.withColumn(text, F.when(some, F.array_join("__kept", "\n")).otherwise(F.col(text))).drop("__host", "__drop", "__kept")
+    return out.withColumn(text, F.when(some, F.array_join("__kept", "\n")).otherwise(F.col(text))).drop("__drop", "__kept")
 
 
 ORACLE = f"""
@@ -74,7 +98,7 @@ seen AS (
 totals AS (SELECT source, count(*) AS total FROM documents GROUP BY source),
 bad AS (
   SELECT seen.source, seen.line FROM seen JOIN totals ON seen.source IS NOT DISTINCT FROM totals.source
-  WHERE n >= {LEAST} AND n > {RATIO} * total),
+  WHERE n > {RATIO} * (total + {PRIOR})),
 numbered AS (
   SELECT d.doc_id, d.source, g.i, string_split(d.text, chr(10))[g.i] AS line
   FROM documents d, LATERAL (SELECT unnest(range(1, len(string_split(d.text, chr(10))) + 1)) AS i) g),
