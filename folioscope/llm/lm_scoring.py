@@ -43,7 +43,7 @@ FOLDS, HELD = 7, 2
 HEADS, GROUPS, HOT = 1024, 1024, 1 << 18
 CLASSES, SWEEPS, PRIOR = 64, 30, 20.0  # at most 256 classes
 #: Context counts that a task sums up before it gives them out.
-WINDOW = 1_500_000
+WINDOW = 800_000
 END = np.uint64(0x5851F42D4C957F2D)  # stands for the end mark
 
 
@@ -90,10 +90,10 @@ def _counted(docs: DataFrame) -> DataFrame:
                 keys += [u, np.array([END])]
                 counts += [c, np.array([len(texts)])]
                 held += len(u)
-                if held > 3_000_000:  # bounded memory: what is merged goes out when it stays large
+                if held > 1_500_000:  # bounded memory: what is merged goes out when it stays large
                     u, c = merged()
                     keys, counts, held = [u], [c], len(u)
-                    if held > 1_500_000:
+                    if held > 750_000:
                         yield from out(u, c)
                         keys, counts, held = [], [], 0
         if keys:
@@ -117,7 +117,7 @@ def _bigrams(docs: DataFrame, heads: np.ndarray, groups: int) -> tuple[np.ndarra
                 before = np.concatenate([[size - 1], line[:-1]])
                 codes.append(before * size + line)
                 held += len(line)
-                if held > 2_000_000:
+                if held > 1_000_000:
                     table += np.bincount(np.concatenate(codes), minlength=size * size)
                     codes, held = [], 0
         if codes:

@@ -24,7 +24,9 @@ def brute_url(url, rules):
     return host, path, best[3] if best else None, best[4] if best else "allow"
 
 
-def test_url_filter(spark):
+@pytest.mark.parametrize("broadcast", [100_000, 0])
+def test_url_filter(spark, monkeypatch, broadcast):
+    monkeypatch.setattr(url_filter, "BROADCAST_RULES", broadcast)
     r = random.Random(3)
     urls = [None, "", "no scheme.org/x", "http://", "https://org/", "http://ORG/es/", "ftp://a.example.org", "x://b.Example.ORG/es/q?z#y", "http://example.org?u=http://com/de/", "http://notexample.org/es/", "http://a.com/fr", "http://a.com/fr/\nq", "y" * 20_000 + "://com/de/" + "z" * 20_000]
     urls += [f"http://{r.choice(['www.', '', 'm.a.'])}{r.choice(['example', 'x'])}.{r.choice(['org', 'com', 'net'])}{r.choice(['', '/', '/es/1', '/en/1x', '/en/2', '/fr/a', '/de/'])}" for _ in range(200)]
@@ -42,8 +44,29 @@ def test_targets():
     assert mixing.targets({}) == {} and mixing.targets({"a": 0}) == {"a": 0}
 
 
-@pytest.mark.parametrize("limits", [{}, {"bucket_rows": 8, "bins": 4, "exact": 3}])
-def test_mixing(spark, limits):
+def brute_mix(rows, goal, hashes):
+    """Each source's rows in hash order, twice over; the finish times of all, in order, up to the sum of the targets."""
+    queue = []
+    for s in goal:
+        mine = sorted((hashes[i], i) for i, r in enumerate(rows) if r[3] == s and len((r[1] or "").split()))
+        upto = 0
+        for turn in range(2):
+            for h, i in mine:
+                upto += len(rows[i][1].split())
+                queue.append((upto / goal[s], h, turn, i))
+    taken, left = Counter(), sum(goal.values()) * (1 + 1e-12)
+    for _, _, _, i in sorted(queue):
+        size = len(rows[i][1].split())
+        if size > left:
+            break
+        left -= size
+        taken[i] += size
+    return taken
+
+
+@pytest.mark.parametrize("limits, sources", [({}, 20_000), ({"bucket_rows": 8, "bins": 4, "exact": 3}, 20_000), ({}, 0)])
+def test_mixing(spark, monkeypatch, limits, sources):
+    monkeypatch.setattr(mixing, "BROADCAST_SOURCES", sources)
     r = random.Random(6)
     rows = [(i, " ".join(["w"] * r.choice([0, 1, 5, 40, 300])), "en", r.choice(["a", "b", "b", "c", "d", None]), 1) for i in range(400)]
     rows += [(500, None, "en", "a", 1), rows[3], rows[3], (501, "", "en", "silent", 1), (502, None, "en", "silent", 1)]
@@ -61,6 +84,11 @@ def test_mixing(spark, limits):
         assert 0 <= x.taken <= 2 * x.size and (x.size == 0 or x.taken % x.size == 0)
         taken[source[x.doc_id]] += x.taken
     assert all(abs(taken[s] - goal[s]) <= 300 for s in goal) and sum(taken.values()) <= sum(goal.values()) + 1
+    hashes = [x.h for x in spark.createDataFrame([(n, *r) for n, r in enumerate(rows)], "n long, " + SCHEMA).select("n", F.xxhash64(F.lit("mix"), "doc_id", "text", "source").alias("h")).orderBy("n").collect()]
+    want, chosen = Counter(), brute_mix(rows, goal, hashes)
+    for i, row in enumerate(rows):
+        want[(row[0], chosen[i])] += 1
+    assert Counter((x.doc_id, x.taken) for x in out) == want
     again = mixing.mix(docs.repartition(7), **limits).collect()
     assert Counter((x.doc_id, x.taken) for x in again) == Counter((x.doc_id, x.taken) for x in out)
     assert mixing.mix(docs.limit(0)).count() == 0
@@ -109,3 +137,12 @@ def test_pipeline(spark, tmp_path):
         elif name == "decontaminate":
             assert rows.count() == decontaminate.scan(before, spark.read.parquet(f"{sf}/benchmark.parquet")).where("NOT contaminated").count()
     assert rows.where("mix_taken > 0").count() == rows.count() > 0
+
+
+def test_targets_of_many_sources(spark):
+    r = random.Random(7)
+    sizes = {f"s{i}": int(r.paretovariate(0.7) * 10) for i in range(500)} | {None: 77, "": 5, "é": 0}
+    got = {x.source: x.target for x in mixing.goals(spark.createDataFrame(list(sizes.items()), "source string, s long")).collect()}
+    want = mixing.targets(sizes)
+    assert got.keys() == want.keys() and all(got[s] == pytest.approx(want[s], rel=1e-12) for s in want)
+    assert mixing.goals(spark.createDataFrame([], "source string, s long")).count() == 0

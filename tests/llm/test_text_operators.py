@@ -387,10 +387,12 @@ def test_pii_added_spans_against_plain_greedy(spark, docs):
 
 
 
-def test_line_dedup(spark, docs, none):
+@pytest.mark.parametrize("broadcast", [1_000_000, 0])
+def test_line_dedup(spark, docs, none, monkeypatch, broadcast):
+    monkeypatch.setattr(line_dedup, "BROADCAST_LINES", broadcast)
     rows = [(i, f"menu home\nunique {i}\n\nfooter" if i < 8 else f"unique {i}\nfooter\n ", "en", "h" if i < 12 else None, 1) for i in range(24)]
     rows += [(100, None, "en", "h", 1), (101, "", "en", "h", 1), (102, "footer\nfooter", "en", "tiny", 1)]
-    out = {r.doc_id: r for r in line_dedup.dedup_lines(spark.createDataFrame(rows, SCHEMA), ratio=0.4, least=5).collect()}
+    out = {r.doc_id: r for r in line_dedup.dedup_lines(spark.createDataFrame(rows, SCHEMA), ratio=0.4, prior=4).collect()}
     assert out[0].text == "unique 0\n" and out[0].lines_dropped == 2
     assert out[9].text == "unique 9\n " and out[20].text == "unique 20\n "
     assert out[100].text is None and out[101].text == "" and out[102].text == "footer\nfooter"
@@ -419,7 +421,9 @@ def test_decontamination_of_null_ids(spark, monkeypatch, windows):
     assert [(r.n_items, r["items"], r.contaminated) for r in found.values()] == [(1, [], True)]
 
 
-def test_line_dedup_of_passages_in_large_hosts(spark):
+@pytest.mark.parametrize("broadcast", [1_000_000, 0])
+def test_line_dedup_of_passages_in_large_hosts(spark, monkeypatch, broadcast):
+    monkeypatch.setattr(line_dedup, "BROADCAST_LINES", broadcast)
     passage = sentence(60)
     rows = [(i, f"page {i}\n{passage if i < 6 else 'rest %d' % i}\n{'chance' if i < 4 else ''}", "en", "hot", 1) for i in range(2000)]
     rows += [(9000 + i, passage, "en", "other", 1) for i in range(4)]
