@@ -8,7 +8,8 @@ bucket for each choice of that many ranges, and every link is inside some bucket
 Comparison in a bucket is bit-sliced: bit j of all fingerprints is stored as one plane of 64-bit words.  One
 fingerprint meets a block of 64 others at a time: the planes, inverted where its own bit is set, are summed
 into vertical carry-save counters that saturate above the radius, and a block is abandoned once all its counters are
-above.  A bucket gives a spanning forest of its links, not all pairs.
+above.  A bucket gives a spanning forest of its links, not all pairs.  The pairs of small buckets (``SMALL``) are packed
+together: the bit planes of their differences are summed in the same way, 64 pairs at a time.
 
 Buckets above ``most`` fingerprints are not compared: their fingerprints are cut anew by the pigeonhole rule on the
 bits not shared yet, into smaller buckets, again and again.  No bucket is dropped or truncated, and what a
@@ -34,6 +35,7 @@ from .components import components
 
 SHINGLE, SEED, RADIUS = 3, 42, 3
 MOST = 4096
+SMALL, PACKED = 24, 1 << 18
 
 
 def fingerprint(text: bytes, shingle: int = SHINGLE, seed: int = SEED) -> int:
@@ -111,21 +113,9 @@ def within(fp: int, table: np.ndarray, radius: int, n: int) -> np.ndarray:
 def forest(fps: np.ndarray, radius: int = RADIUS) -> list[tuple[int, int]]:
     """(larger, smallest) links of a bucket's components, by index into fps."""
     n = len(fps)
-    if n <= 24:  # a few: plain distances
-        d = np.bitwise_count(fps[:, None] ^ fps[None, :])
-        a, b = np.nonzero(np.triu(d <= radius, 1))
-        pairs = zip(a.tolist(), b.tolist(), strict=True)
-    else:
-        table = planes(fps)
-        values = fps.tolist()
-
-        def links():
-            for i in range(n):
-                for j in within(values[i], table, radius, n).tolist():
-                    if j > i:
-                        yield i, j
-
-        pairs = links()
+    table = planes(fps)
+    values = fps.tolist()
+    pairs = ((i, j) for i in range(n) for j in within(values[i], table, radius, n).tolist() if j > i)
     parent = list(range(n))
 
     def root(x):
@@ -141,6 +131,19 @@ def forest(fps: np.ndarray, radius: int = RADIUS) -> list[tuple[int, int]]:
     return [(i, root(i)) for i in range(n) if root(i) != i]
 
 
+def packed(fps: np.ndarray, starts: np.ndarray, sizes: np.ndarray, radius: int = RADIUS):
+    """(a, b) fingerprints within ``radius`` bits inside each bucket of a few; buckets are runs of ``fps``."""
+    for n in np.unique(sizes).tolist():
+        i, j = np.triu_indices(n, 1)
+        own = starts[sizes == n]
+        some = max(1, PACKED // max(1, len(i)))
+        for k in range(0, len(own), some):
+            first = own[k : k + some, None]
+            a, b = fps[(first + i).ravel()], fps[(first + j).ravel()]
+            at = within(0, planes(a ^ b), radius, len(a))
+            yield a[at], b[at]
+
+
 def ranges(mask: int, parts: int) -> list[int]:
     """The bits outside ``mask`` in ``parts`` masks of about equal size."""
     free = [j for j in range(64) if not mask >> j & 1]
@@ -198,14 +201,20 @@ def _compare(buckets: DataFrame, radius: int) -> DataFrame:
         rest_k, rest_f = np.zeros((0, 2), dtype=np.int64), np.zeros(0, dtype=np.int64)
 
         def out(k, f):
-            a, b = [], []
-            cut = np.flatnonzero(np.append(True, (k[1:] != k[:-1]).any(1)))[: len(k)]
-            for s, e in zip(cut, [*cut[1:], len(k)], strict=False):
-                own = np.unique(f[s:e].view(np.uint64))
-                for i, r in forest(own, radius):
-                    a.append(own[i])
-                    b.append(own[r])
-            return pa.RecordBatch.from_arrays([pa.array(np.array(a, dtype=np.uint64).view(np.int64)), pa.array(np.array(b, dtype=np.uint64).view(np.int64))], ["a", "b"])
+            f = f.view(np.uint64)
+            starts = np.flatnonzero(np.append(True, (k[1:] != k[:-1]).any(1)))[: len(k)]
+            sizes = np.diff(np.append(starts, len(k)))
+            few = (sizes > 1) & (sizes <= SMALL)
+            a, b = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)]
+            for x, y in packed(f, starts[few], sizes[few], radius):
+                a.append(x)
+                b.append(y)
+            for s, n in zip(starts[sizes > SMALL].tolist(), sizes[sizes > SMALL].tolist(), strict=True):
+                own = np.unique(f[s : s + n])
+                tree = np.array(forest(own, radius), dtype=np.int64).reshape(-1, 2)
+                a.append(own[tree[:, 0]])
+                b.append(own[tree[:, 1]])
+            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).view(np.int64)) for x in (a, b)], ["a", "b"])
 
         for batch in batches:
             k = np.stack([column(batch, "mask").to_numpy(), column(batch, "key").to_numpy()], axis=1)

@@ -7,7 +7,8 @@ passage (overlapping), so a few toxic words in a long text count as much as in a
 
 Training is on a bounded sample (``max_train`` labelled documents of each class outside the held-out
 fold) of whole texts: first on whole documents, then on the worst passages under the model so far.  Embeddings and
-softmax are learned together by minibatch AdaGrad.  The decision point is set on a part of the sample.
+softmax are learned together by minibatch AdaGrad; n-grams of few documents have none.  A few models from different starts are
+averaged, and the decision point is set on a part of the sample that none of them has seen.
 
 A trained model is linear in n-grams, so scoring needs one number for each bucket: a passage's log-odds is
 the mean of its n-grams' numbers plus a bias.
@@ -30,9 +31,11 @@ from .wordops import _GRAM, Words, byte_class, mix, tokenize
 
 FOLDS = 5
 BITS = 18
-WIDTH, STEP = 3, 1
+WIDTH, STEP = 2, 1
 #: A passage's mean is over this many n-grams at least, so one odd word alone is little evidence.
 LEAST = 40
+#: An n-gram has an embedding if this share of the sample's documents have it; others are evidence of nothing.
+FEWEST = 0.01
 #: Letters, digits, all that is not ASCII, and signs that stand for letters in misspellings.
 CHARS = byte_class([b for b in range(256) if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128] + [ord(c) for c in "@$*"])
 SIZES = (3, 4, 5, 6)
@@ -119,7 +122,7 @@ def log_odds(texts: list[bytes], model: Model) -> np.ndarray:
 class _Trainer:
     """Sums of n-gram embeddings, gradient steps and worst passages over the sample's distinct words."""
 
-    def __init__(self, texts: list[bytes], dim: int, seed: int):
+    def __init__(self, texts: list[bytes]):
         parts, sizes, ids = [], [], []
         self.first = [0]
         known, place = np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int32)  # sorted hashes of distinct words, their numbers
@@ -148,9 +151,13 @@ class _Trainer:
         self.sizes = np.concatenate(sizes) if sizes else np.zeros(0, np.int32)
         self.at = np.zeros(len(self.sizes) + 1, dtype=np.int64)
         np.cumsum(self.sizes, out=self.at[1:])
-        rng = np.random.default_rng(seed)
-        self.rng = rng
-        self.e = rng.uniform(-1 / dim, 1 / dim, (1 << BITS, dim)).astype(np.float32)
+        pairs = np.unique(np.repeat(np.arange(len(texts)), np.diff(self.first)) * max(1, len(self.sizes)) + self.ids)
+        spread = np.bincount(pairs % max(1, len(self.sizes)), minlength=len(self.sizes))  # documents of each word
+        self.common = np.bincount(self.buckets, np.repeat(spread, self.sizes), 1 << BITS) >= FEWEST * len(texts)
+
+    def start(self, dim: int, seed: int) -> None:
+        rng = self.rng = np.random.default_rng(seed)
+        self.e = rng.uniform(-1 / dim, 1 / dim, (1 << BITS, dim)).astype(np.float32) * self.common[:, None]
         self.w = np.zeros((2, dim))
         self.w[1] = rng.uniform(-1, 1, dim)
         self.b = np.zeros(2)
@@ -175,6 +182,7 @@ class _Trainer:
             gw, gb, gx = p.T @ x, p.sum(0), (p @ self.w) / n[:, None]
             touched, back = np.unique(bucket, return_inverse=True)
             ge = np.stack([np.bincount(back, gx[owner, d], len(touched)) for d in range(dim)], axis=1)
+            ge *= self.common[touched][:, None]
             self.ge[touched] += ge * ge
             self.gw += gw * gw
             self.gb += gb * gb
@@ -218,39 +226,49 @@ def _ranges(start: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return owner, np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(start, n)
 
 
-def train(texts: list[bytes], y: np.ndarray, *, dim: int = 8, rounds: int = 4, epochs: int = 3, rate: float = 0.3, seed: int = 7) -> Model:
+def train(texts: list[bytes], y: np.ndarray, *, dim: int = 8, rounds: int = 6, epochs: int = 3, rate: float = 0.3, members: int = 4, seed: int = 8) -> Model:
+    """The mean of ``members`` models that start from different embeddings: each is linear in n-grams, so their mean is one too.
+
+    The decision point is set on a fifth of the sample that none of them has seen.
+    """
     y = np.asarray(y, dtype=np.int64)
     if not len(y) or y.min() == y.max():
         return Model(np.zeros(1 << BITS), -3.0, -3.0)
-    t = _Trainer(texts, dim, seed)
-    calm = np.random.default_rng(seed).random(len(y)) < 0.2  # sets the decision point
-    used = ~calm & (np.diff(t.first) > 0)
+    calm = np.random.default_rng(seed).random(len(y)) < 0.2
     share = np.where(y == 1, 0.5 / max(1, (y == 1).sum()), 0.5 / max(1, (y == 0).sum())) * len(y)
+    t = _Trainer(texts)
+    some = np.diff(t.first) > 0
+    used = ~calm & some
     whole = np.flatnonzero(used & (np.diff(t.first) <= 4 * WIDTH))
     if len(np.unique(y[whole])) < 2:
         whole = np.flatnonzero(used)
-    for _ in range(epochs):
-        t.epoch(t.first[whole], t.first[whole + 1], y[whole], share[whole], rate)
-    for _ in range(rounds):
-        start, stop, doc = t.picked(t.model(), used, y)
+    value, bias = np.zeros(1 << BITS), 0.0
+    for member in range(members):
+        t.start(dim, seed + member)
         for _ in range(epochs):
-            t.epoch(start, stop, y[doc], share[doc], rate)
-    m = t.model()
-    at = np.flatnonzero(calm) if len(np.unique(y[calm])) == 2 else np.arange(len(y))
-    score = np.concatenate([log_odds(some, m) for _, some in chunks([texts[i] for i in at])])
-    real = np.isin(at, np.flatnonzero(np.diff(t.first) > 0))
-    m.bias -= _cut(score[real], y[at][real])
+            t.epoch(t.first[whole], t.first[whole + 1], y[whole], share[whole], rate)
+        for _ in range(rounds):
+            start, stop, doc = t.picked(t.model(), used, y)
+            for _ in range(epochs):
+                t.epoch(start, stop, y[doc], share[doc], rate)
+        m = t.model()
+        value += m.value / members
+        bias += m.bias / members
+    m = Model(value, bias, 0.0)
+    at = np.flatnonzero(calm & some) if len(np.unique(y[calm & some])) == 2 else np.flatnonzero(some)
+    if len(at):
+        m.bias -= _cut(np.concatenate([log_odds(x, m) for _, x in chunks([texts[i] for i in at])]), y[at])
     m.empty = min(-1.0, float(np.log(max(y.mean(), 1e-3) / max(1 - y.mean(), 1e-3))) - 2.0)
     return m
 
 
-def _cut(score: np.ndarray, y: np.ndarray) -> float:
-    """The middle of the gap at which most of F1 is reached."""
+def _cut(score: np.ndarray, y: np.ndarray, recall_weight: float = 1.25) -> float:
+    """The middle of the gap at which most of F-beta is reached (beta: ``recall_weight``)."""
     order = np.argsort(-score, kind="stable")
     s, t = score[order], y[order]
-    hit = np.cumsum(t)
-    f1 = 2 * hit / (np.arange(1, len(t) + 1) + t.sum())
-    i = int(np.argmax(f1))
+    hit, beta = np.cumsum(t), recall_weight**2
+    f = (1 + beta) * hit / (np.arange(1, len(t) + 1) + beta * t.sum())
+    i = int(np.argmax(f))
     return float((s[i] + s[i + 1]) / 2) if i + 1 < len(s) else float(s[i])
 
 

@@ -161,6 +161,61 @@ def test_licenses(spark, none):
     assert licenses.scan_licenses(none).count() == 0
 
 
+def plain_matches(template, text, offset, band):
+    """Most matches of the best-scoring alignment in the band, cell by cell: 2 a match, -1 a substitution or gap, free ends in the text."""
+    best = {}
+    for j in range(offset - band, offset + band + 1):
+        best[j - 1] = (0, 0)
+    for i, w in enumerate(template):
+        new = {}
+        for b in range(2 * band + 1):
+            j = i + offset - band + b
+            options = []
+            if j - 1 in best and 0 <= j < len(text):
+                options.append((best[j - 1][0] + (2 if text[j] == w else -1), best[j - 1][1] + (text[j] == w)))
+            if j in best:
+                options.append((best[j][0] - 1, best[j][1]))
+            if j - 1 in new and 0 <= j < len(text):
+                options.append((new[j - 1][0] - 1, new[j - 1][1]))
+            if options:
+                new[j] = max(options)
+        best = new
+    return max(best.values())
+
+
+def test_banded_alignment_against_cells():
+    r = random.Random(21)
+    for _ in range(200):
+        template = [r.randrange(12) for _ in range(r.randint(4, 30))]
+        middle = [x for x in template if r.random() > 0.15]
+        for _ in range(r.randint(0, 3)):
+            middle.insert(r.randrange(len(middle) + 1), r.randrange(12))
+        lead = [r.randrange(12, 15) for _ in range(r.randint(0, 20))]
+        text = lead + middle + [r.randrange(12, 15) for _ in range(10)]
+        m, s, e = licenses.align(np.array(template), np.array(text), len(lead), 5)
+        score, most = plain_matches(template, text, len(lead), 5)
+        assert 0 <= s <= e <= len(text) and m <= most and score <= 2 * m
+
+
+def test_licenses_against_brute_force(spark):
+    r = random.Random(22)
+    names = sorted(licenses.TEMPLATES)
+    low = lambda s: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", s.lower())
+    texts = []
+    for _ in range(60):
+        parts = [sentence(r.randint(0, 30), r)]
+        for _ in range(r.randint(0, 2)):
+            parts += [licenses.TEMPLATES[r.choice(names)].upper() if r.random() < 0.3 else licenses.TEMPLATES[r.choice(names)], sentence(r.randint(1, 30), r)]
+        texts.append(" ".join(parts))
+    texts.append("All rights reserved. " * 400 + sentence(20_000, r))
+    size = {n: len(low(licenses.TEMPLATES[n])) for n in names}
+    got = {x.doc_id: {(p["name"], p.start, p.stop) for p in x.spans if p.coverage == 1 and p.stop - p.start == size[p["name"]]} for x in licenses.scan_licenses(spark.createDataFrame([(i, t, "en", "s", 1) for i, t in enumerate(texts)], SCHEMA)).collect()}
+    for i, t in enumerate(texts):
+        w = low(t)
+        want = {(n, s, s + len(x)) for n in names for x in [low(licenses.TEMPLATES[n])] for s in range(len(w) - len(x) + 1) if w[s : s + len(x)] == x}
+        assert got[i] == want
+
+
 def brute_overlap(text, items, span=13):
     low = lambda s: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in s or ""))
     w, hit, found = low(text), set(), set()
@@ -291,6 +346,32 @@ def test_quality(spark, docs, none):
     assert quality.quality_rules(none, labels).count() == 0
 
 
+def test_flat_trees_against_a_plain_walk():
+    r = np.random.default_rng(6)
+    x = np.round(r.normal(size=(500, 3)), 1)
+    f = boosting.fit(x, (x[:, 0] * x[:, 1] + 0.3 * r.normal(size=500) > 0), trees=12, depth=3)
+
+    def walk(row):
+        total = f.bias
+        for feature, cut, leaf in zip(f.feature, f.threshold, f.leaf, strict=True):
+            node = 0
+            while node < 7:
+                node = 2 * node + (2 if row[feature[node]] > cut[node] else 1)
+            total += leaf[node - 7]
+        return total
+
+    assert np.allclose(f.margin(x), [walk(row) for row in x])
+
+
+def test_quality_on_held_out_labels(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    model = quality.fit(docs, labels.where("doc_id % 3 > 0"))
+    out = quality.judge(docs, model).join(labels.where("doc_id % 3 = 0"), "doc_id").collect()
+    good = [x.score for x in out if x.quality == 1]
+    bad = [x.score for x in out if x.quality == 0]
+    assert sum(a > b for a in good for b in bad) / (len(good) * len(bad)) > 0.75
+
+
 def test_boosting_is_monotonic_and_learns():
     r = np.random.default_rng(1)
     x = r.normal(size=(2000, 4))
@@ -333,6 +414,31 @@ def test_toxicity(spark, none):
     assert toxicity.score(none, model).count() == 0
 
 
+def test_toxicity_scores_against_plain_passages():
+    """Embeddings averaged over each passage of words, the softmax of the average, the worst passage of the text."""
+    r = random.Random(14)
+    texts = [sentence(r.choice([0, 1, 2, 3, 30]), r) + r.choice(["", " scum", " Scum scum"]) for _ in range(60)] + ["", "...", "é" * 3000, sentence(6000, r)]
+    y = np.array([int("scum" in t.lower()) for t in texts])
+    m = toxicity.train([t.encode() for t in texts], y, members=1, rounds=1)
+
+    def buckets(word):
+        out, b = [], np.frombuffer(word, dtype=np.uint8)
+        got, _ = toxicity.subwords(b, np.array([0]), np.array([len(b)]))
+        out += got.tolist()
+        assert len(out) == sum(max(0, len(word) + 2 - n + 1) for n in toxicity.SIZES)
+        return out
+
+    for t in texts:
+        w = [x for x in re.findall(rb"[0-9a-z@$*\x80-\xff]+", t.encode().lower())]
+        w = [x for i, x in enumerate(w) if not i or x != w[i - 1]]
+        every = [buckets(x) for x in w]
+        want = m.empty
+        if w:
+            passages = [sum(every[i : i + toxicity.WIDTH], []) for i in range(max(1, len(w) - toxicity.WIDTH + 1))]
+            want = max(m.bias + m.value[p].sum() / max(len(p), toxicity.LEAST) for p in passages)
+        assert toxicity.log_odds([t.encode()], m)[0] == pytest.approx(want, abs=1e-6)
+
+
 BASE = {
     "email": (r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", lambda s: True),
     "ip": (r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", lambda s: all(int(p) <= 255 for p in s.split("."))),
