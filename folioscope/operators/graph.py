@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text
 from ..functions.params import year_range
 from ..runtime import written
+from . import components as stars
 from . import authors, predicates
 from .works import authorship, collapse
 
@@ -51,25 +52,25 @@ def network_stats(node_table: DataFrame, edge_table: DataFrame) -> DataFrame:
     return n.crossJoin(F.broadcast(e)).crossJoin(F.broadcast(s))  # one row each
 
 
-def components(people: DataFrame, most_rounds: int = 60) -> DataFrame:
+def components(people: DataFrame) -> DataFrame:
     """(orcid_id, component): the smallest identifier that works of two and more researchers connect to.
 
-    Labels spread over the bipartite relation, so no pairs are made: each work takes its smallest label and gives it to
-    its researchers, and a researcher's label is looked up once more to halve path lengths.  Rounds are written tables.
+    Each work links its researchers to its smallest one, so no pairs are made; links are then contracted to stars.
     """
-    base = written(people.select("work_key", "orcid_id"))
-    labels = written(base.select("orcid_id").distinct().withColumn("label", F.col("orcid_id")))
-    for _ in range(most_rounds):
-        of_work = base.join(labels, "orcid_id").groupBy("work_key").agg(F.min("label").alias("w"))
-        offer = base.join(of_work, "work_key").groupBy("orcid_id").agg(F.min("w").alias("w"))
-        near = labels.join(offer, "orcid_id").select("orcid_id", F.least("label", "w").alias("label"), F.col("label").alias("old"))
-        # The label's own label is never larger.
-        jump = labels.select(F.col("orcid_id").alias("label"), F.col("label").alias("next"))
-        new = written(near.join(jump, "label").select("orcid_id", F.least("label", "next").alias("label"), "old"))
-        labels = new.select("orcid_id", "label")
-        if new.where("label <> old").isEmpty():
-            return labels.withColumnRenamed("label", "component")
-    raise RuntimeError("components did not settle")
+    base = written(people.select("work_key", "orcid_id").distinct())
+    first = base.groupBy("work_key").agg(F.min("orcid_id").alias("first"))
+    labels = stars.components(base.join(first, "work_key").select(F.col("orcid_id").alias("a"), F.col("first").alias("b")))
+    known = labels.select(F.col("node").alias("orcid_id"), F.col("root").alias("component"))
+    alone = base.select("orcid_id").distinct().join(known, "orcid_id", "left_anti")
+    return known.unionAll(alone.select("orcid_id", F.col("orcid_id").alias("component")))
+
+
+def listed_works(own: DataFrame, years: DataFrame, seed: str, most: int = MAX_WORKS) -> DataFrame:
+    """(work_key, members, year): all works of the seed and the ``most`` newest others of its component."""
+    scope = shared(own)
+    scope = own if scope.isEmpty() else scope
+    keys = scope.groupBy("work_key").agg(F.array_sort(F.collect_set("orcid_id")).alias("members")).join(years, "work_key", "left")
+    return focus_first(keys, F.array_contains("members", seed), [F.desc_nulls_last("year"), F.asc("work_key")], most)
 
 
 def members(people: DataFrame, seed: str) -> DataFrame:

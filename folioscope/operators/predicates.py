@@ -8,7 +8,7 @@ from operator import and_, or_
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..functions.params import accent_pattern, plain, terms
+from ..functions.params import holds, plain, terms
 from ..functions.text import any_match
 
 
@@ -26,19 +26,18 @@ def text_search(query: str | None) -> Column:
     """Every term in the title (accents aside), a contributor's normalised name or the DOI."""
 
     def term(t: str) -> Column:
-        pattern = accent_pattern(t)
         name = " ".join(plain(t).replace("-", " ").split()) if plain(t).strip("-") else plain(t)
         in_name = any_match(F.col("contributors"), lambda c: F.contains(F.coalesce(c["normalized_name"], F.lit("")), F.lit(name)))
-        return F.coalesce(F.col("title").rlike(pattern), F.lit(False)) | in_name | F.coalesce(F.col("doi").rlike(pattern), F.lit(False))
+        return holds(F.col("title"), t) | in_name | holds(F.col("doi"), t)
 
     return _all([term(t) for t in terms(query)])
 
 
 def any_institute(names: list[str], array: str = "institutions", field: str | None = "name") -> Column:
-    def one(pattern: str) -> Column:
-        return any_match(F.col(array), lambda x: (x[field] if field else x).rlike(pattern))
+    def one(name: str) -> Column:
+        return any_match(F.col(array), lambda x: holds(x[field] if field else x, name))
 
-    return reduce(or_, [one(accent_pattern(n)) for n in names])
+    return reduce(or_, [one(n) for n in names])
 
 
 def works(query=None, start_year=None, end_year=None, types=None, subjects=None, keywords=None, institutes=None) -> Column:
@@ -59,8 +58,7 @@ def researchers(query=None, institutes=None) -> Column:
     """Focal researchers: every term in a name or the identifier; any of the institutes."""
     parts = [F.col("focal_author")]
     for t in terms(query):
-        p = accent_pattern(t)
-        parts.append(reduce(or_, [F.coalesce(F.col(c).rlike(p), F.lit(False)) for c in ("given_names", "family_names", "credit_name", "orcid_id")]))
+        parts.append(reduce(or_, [holds(F.col(c), t) for c in ("given_names", "family_names", "credit_name", "orcid_id")]))
     if institutes:
         parts.append(any_institute(institutes, "institution_names", None))
     return _all(parts)

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text
+from ..runtime import written
 
 
 def changed(old: DataFrame, new: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
@@ -124,6 +125,17 @@ def registry_groups(works: DataFrame, summaries: DataFrame) -> DataFrame:
     )
 
 
+def add_affiliations(profiles: DataFrame, found: DataFrame) -> DataFrame:
+    """Profiles after a check of (orcid_id, institution) rows: new names are appended if absent, and whoever has one is focal."""
+    names = found.groupBy(F.col("orcid_id").alias("__id")).agg(F.array_sort(F.collect_set("institution")).alias("__found"))
+    joined = profiles.join(names, F.col("orcid_id") == F.col("__id"), "left")
+    old = F.coalesce("institution_names", F.array().cast("array<string>"))
+    return joined.withColumns({
+        "institution_names": F.when(F.col("__found").isNull(), F.col("institution_names")).otherwise(F.concat(old, F.array_except("__found", old))),
+        "focal_author": F.coalesce(F.col("focal_author"), F.lit(False)) | F.col("__found").isNotNull(),
+    }).select(profiles.columns)
+
+
 def unique_counts(works: DataFrame, ids: DataFrame | None = None) -> DataFrame:
     """(orcid_id, unique_works_count): keyed works that a researcher owns or is linked on."""
     people = F.array_union(F.array("orcid_id"), F.coalesce(F.transform("contributors", lambda c: c["orcid_id"]), F.array().cast("array<string>")))
@@ -163,15 +175,16 @@ def distinct_dois(works: DataFrame) -> DataFrame:
 
 
 def run_steps(tables: dict[str, DataFrame], steps: list[tuple[str, str, Callable]]) -> tuple[dict[str, DataFrame], list[dict]]:
-    """Apply (name, table, function of all tables) in order; a step that fails is recorded and leaves its table as it was."""
+    """Apply (name, table, function of all tables) in order; a step that fails is recorded and leaves its table as it was.
+
+    Each result is written to the shared folder, so what fails while it runs fails in its own step, and later steps start short.
+    """
     report = []
     tables = dict(tables)
     for name, target, step in steps:
         began = time.time()
         try:
-            out = step(tables)
-            out.schema  # noqa: B018  analysis errors belong to this step
-            tables[target] = out
+            tables[target] = written(step(tables))
             report.append({"step": name, "status": "success", "seconds": time.time() - began})
         except Exception as error:  # noqa: BLE001  the report names it, later steps go on
             report.append({"step": name, "status": "failed", "error": str(error).splitlines()[0] if str(error) else type(error).__name__, "seconds": time.time() - began})

@@ -109,3 +109,25 @@ def histogram(counts: DataFrame, year_from=None, year_to=None) -> DataFrame:
     """Zero-filled years with their height against the highest, and whether they are in the chosen range."""
     top = F.max("count").over(Window.partitionBy())
     return zero_filled(counts).select("year", "count", (100.0 * F.col("count") / top).alias("height"), F.coalesce(years(year_from, year_to, "year"), F.lit(True)).alias("in_range"))
+
+
+def ranked(rows: DataFrame, *order) -> DataFrame:
+    """Rows of a short list with their place in it, from 1."""
+    return rows.withColumn("rank", F.row_number().over(Window.orderBy(*order)))
+
+
+def open_access_share(works: DataFrame) -> DataFrame:
+    """One row: works, open ones and their share in whole percent (halves up); 0 without works."""
+    counts = works.agg(F.count("*").alias("total"), F.count_if("is_oa").alias("open_access"))
+    return counts.withColumn("percent", F.when(F.col("total") > 0, F.floor(100.0 * F.col("open_access") / F.col("total") + 0.5)).otherwise(F.lit(0)).cast("int"))
+
+
+def with_computed_at(rows: DataFrame) -> DataFrame:
+    """Rows with the time of the computation as ISO text in UTC."""
+    return rows.withColumn("computed_at", F.date_format(F.to_utc_timestamp(F.current_timestamp(), F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'"))
+
+
+def institute_options(profiles: DataFrame) -> DataFrame:
+    """(value, count): the institutions that focal researchers can be filtered by."""
+    each = profiles.where("focal_author").select(F.explode(F.array_distinct("institution_names")).alias("value")).where("value <> ''")
+    return each.groupBy("value").agg(F.count("*").alias("count")).orderBy("value")

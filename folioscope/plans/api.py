@@ -17,6 +17,10 @@ def _rows(df: DataFrame) -> list[dict]:
     return [r.asDict(recursive=True) for r in df.collect()]
 
 
+#: Nodes or edges of one answer at most.
+MOST_ROWS = 100_000
+
+
 class Api:
     def __init__(self, records: DataFrame, profiles: DataFrame):
         self.records, self.profiles = records, profiles
@@ -89,9 +93,13 @@ class Api:
         return authorship(graph.network_records(self.records, start, end, **self._network(**filters)))
 
     def coauthorship(self, startYear: int = 2020, endYear: int = 2026, **filters) -> dict:
-        """The network itself: as many nodes and edges as there are, so meant for filtered networks."""
+        """The network itself; ValueError if it has more than MOST_ROWS nodes or edges: filters must make it smaller."""
         people = self._people(startYear, endYear, filters)
-        return {"nodes": _rows(graph.nodes(people).orderBy("orcid_id")), "edges": _rows(graph.edges(people).orderBy("source", "target"))}
+        found = {"nodes": graph.nodes(people).orderBy("orcid_id"), "edges": graph.edges(people).orderBy("source", "target")}
+        got = {k: df.limit(MOST_ROWS + 1).collect() for k, df in found.items()}
+        if any(len(v) > MOST_ROWS for v in got.values()):
+            raise ValueError(f"the network has more than {MOST_ROWS} nodes or edges")
+        return {k: [r.asDict(recursive=True) for r in v] for k, v in got.items()}
 
     def constellation(self, orcid: str, startYear: int = 2020, endYear: int = 2026, **filters) -> dict:
         found = graph.constellation(self.records, self.profiles, orcid, startYear, endYear, **self._network(**filters))

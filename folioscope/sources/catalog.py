@@ -2,18 +2,25 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import re
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .. import schemas
 from ..operators.prepare import latest
+from ..runtime import written
 
 TABLES = {"works": schemas.WORKS, "profiles": schemas.PROFILES, "works_metadata": schemas.METADATA, "metadata_queue": schemas.QUEUE, "partitions": schemas.PARTITIONS}
 KEYS = {"works": ["orcid_id", "put_code"], "profiles": ["orcid_id"], "works_metadata": ["doi", "source"], "metadata_queue": ["doi", "source"], "partitions": ["base_query", "prefix"]}
 
 
+#: Sort order of files, so that readers skip row groups by these columns.
+LAYOUT = {"works": ["publication_year", "work_key"], "profiles": ["orcid_id"], "works_metadata": ["doi"], "metadata_queue": ["status", "doi"], "partitions": ["status", "depth"]}
+
+
 class Catalog:
-    """Tables under ``root``.  Each write makes a new version folder; readers take the newest complete one."""
+    """Tables under ``root``.  A full write makes a new version folder, an insert adds a part (``v3.1``) to it; readers take the newest complete version with its complete parts."""
 
     def __init__(self, spark: SparkSession, root: str | None):
         if not root:
@@ -24,31 +31,54 @@ class Catalog:
         path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.root)
         return path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path
 
-    def versions(self, name: str) -> list[int]:
+    def _complete(self, name: str) -> list[tuple[int, int]]:
         fs, path = self._fs()
         folder = path(f"{self.root}/{name}")
         if not fs.exists(folder):
             return []
-        found = [s.getPath().getName() for s in fs.listStatus(folder)]
-        return sorted(int(v[1:]) for v in found if v[:1] == "v" and v[1:].isdigit() and fs.exists(path(f"{self.root}/{name}/{v}/_SUCCESS")))
+        found = [re.fullmatch(r"v([0-9]+)(?:\.([0-9]+))?", s.getPath().getName()) for s in fs.listStatus(folder)]
+        return sorted((int(m[1]), int(m[2] or 0)) for m in found if m and fs.exists(path(f"{self.root}/{name}/{m[0]}/_SUCCESS")))
+
+    def versions(self, name: str) -> list[int]:
+        return sorted({v for v, part in self._complete(name) if not part})
+
+    def _folder(self, name: str, version: int, part: int = 0) -> str:
+        return f"{self.root}/{name}/v{version}" + (f".{part}" if part else "")
 
     def read(self, name: str) -> DataFrame:
-        have = self.versions(name)
+        have = self._complete(name)
         if have:
-            return self.spark.read.parquet(f"{self.root}/{name}/v{have[-1]}")
+            return self.spark.read.schema(self.spark.read.parquet(self._folder(name, have[-1][0])).schema).parquet(*(self._folder(name, v, p) for v, p in have if v == have[-1][0]))
         return self.spark.createDataFrame([], TABLES[name])
 
+    def _put(self, rows: DataFrame, folder: str, name: str) -> None:
+        order = [c for c in LAYOUT.get(name, []) if c in rows.columns]
+        (rows.sortWithinPartitions(*order) if order else rows).write.parquet(folder)
+
     def write(self, name: str, rows: DataFrame) -> DataFrame:
         have = self.versions(name)
-        rows.write.mode("overwrite").parquet(f"{self.root}/{name}/v{have[-1] + 1 if have else 0}")
+        self._put(rows, self._folder(name, have[-1] + 1 if have else 0), name)
         return self.read(name)
 
+    def compact(self, name: str) -> DataFrame:
+        """Parts of many inserts as one new version."""
+        return self.write(name, self.read(name))
+
     def insert_new(self, name: str, rows: DataFrame) -> int:
-        """Append rows whose key is not there yet, once each; returns their number."""
+        """Append rows whose key is not there yet, once each; returns their number.  Only new rows are written.
+
+        Of several rows of one key that with the smallest hash of all its values stays, so that a repeated run takes the same.
+        """
         old, keys = self.read(name), KEYS[name]
-        new = rows.select(old.columns).dropDuplicates(keys).join(old.select(keys), keys, "left_anti").select(old.columns)
-        before = old.count()
-        return self.write(name, old.unionByName(new)).count() - before
+        some = rows.select(old.columns)
+        turn = F.row_number().over(Window.partitionBy(*keys).orderBy(F.xxhash64(F.to_json(F.struct(*some.columns)))))
+        new = written(some.join(old.select(keys), keys, "left_anti").select(old.columns).withColumn("__turn", turn).where("__turn = 1").drop("__turn"))
+        n, have = new.count(), self._complete(name)
+        if not have:
+            self.write(name, new)
+        elif n:
+            self._put(new, self._folder(name, have[-1][0], have[-1][1] + 1), name)
+        return n
 
     def upsert(self, name: str, rows: DataFrame) -> DataFrame:
         """Rows replace those of the same key; of several new ones the last harvested."""

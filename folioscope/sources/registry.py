@@ -11,6 +11,9 @@ import time
 from collections import deque
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import reduce
+from operator import and_
+from urllib.parse import quote
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -18,6 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import text
+from ..runtime import written
 
 _ID = "struct<`external-id-type`: string, `external-id-value`: string, `external-id-relationship`: string>"
 _IDS = f"struct<`external-id`: array<{_ID}>>"
@@ -33,6 +37,7 @@ ENRICHMENT_JSON = (
     "struct<id: string, doi: string, best_oa_location: struct<pdf_url: string>, open_access: struct<is_oa: boolean, oa_url: string>, "
     f"topics: array<{TOPIC}>, keywords: array<struct<display_name: string>>, concepts: array<struct<display_name: string, score: double>>, abstract_inverted_index: map<string, array<int>>>"
 )
+#: Sections of a record that hold affiliations.
 SECTIONS = ("employments", "educations", "qualifications", "invited-positions", "distinctions", "memberships", "services")
 _SUMMARY = "map<string, struct<organization: struct<name: string>, `department-name`: string>>"
 ACTIVITIES_JSON = "struct<" + ", ".join(f"`{s}`: struct<`affiliation-group`: array<struct<summaries: array<{_SUMMARY}>>>>" for s in SECTIONS) + ">"
@@ -179,3 +184,108 @@ def settle(queue: DataFrame, results: DataFrame) -> DataFrame:
         "attempts": F.when(open_ & ~ok, F.col("attempts") + 1).otherwise(F.col("attempts")),
         "status": F.when(open_ & ok, "done").when(open_, "failed").otherwise(F.col("status")),
     }).select(queue.columns)
+
+
+def claim(queue: DataFrame, keys: list[str], order: list[str], size: int = BATCH) -> tuple[DataFrame, DataFrame]:
+    """(claimed rows, queue in which they are ``processing``): the first ``size`` pending rows.
+
+    Only pending rows are claimed, so rows whose worker was lost stay ``processing`` until ``release`` gives them back.
+    """
+    own = written(queue.where("status = 'pending'").orderBy(*order, *keys).limit(size))  # at most ``size`` rows
+    return own, mark(queue, own, keys, "processing")
+
+
+def mark(queue: DataFrame, rows: DataFrame, keys: list[str], status: str, attempt: bool = False) -> DataFrame:
+    """The queue with a new status for the given rows; ``attempt`` counts one more."""
+    chosen = rows.select(*(F.col(k).alias(f"__{k}") for k in keys)).distinct()
+    same = reduce(and_, [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys])
+    joined = queue.join(chosen.withColumn("__hit", F.lit(True)), same, "left")
+    new = {"status": F.when(F.col("__hit"), F.lit(status)).otherwise(F.col("status"))}
+    if attempt:
+        new["attempts"] = F.when(F.col("__hit"), F.col("attempts") + 1).otherwise(F.col("attempts"))
+    return joined.withColumns(new).select(queue.columns)
+
+
+def release(queue: DataFrame) -> DataFrame:
+    """Rows left ``processing`` are pending again."""
+    return queue.withColumn("status", F.when(F.col("status") == "processing", "pending").otherwise(F.col("status")))
+
+
+def paired(tasks: DataFrame, results: DataFrame) -> DataFrame:
+    """(doi, source, side): tasks and results by normalised DOI; side: both, task (no result) or result (nobody asked)."""
+    asked = tasks.select(text.lookup_doi(F.col("doi")).alias("a"), F.col("source").alias("s")).distinct()
+    got = results.where("doi IS NOT NULL").select(text.lookup_doi(F.col("doi")).alias("b"), F.col("source").alias("t")).distinct()
+    side = F.when(F.col("b").isNull(), "task").when(F.col("a").isNull(), "result").otherwise("both")
+    return asked.join(got, (F.col("a") == F.col("b")) & (F.col("s") == F.col("t")), "full_outer").select(F.coalesce("a", "b").alias("doi"), F.coalesce("s", "t").alias("source"), side.alias("side"))
+
+
+def batch_url(base: str, dois: list[str]) -> str:
+    """One request for several DOIs: percent-encoded, joined by bars."""
+    return f"{base}?filter=doi:{'|'.join(quote(d, safe='') for d in dois)}&per-page={len(dois)}"
+
+
+class Discovery:
+    """Breadth-first search of a registry by name prefixes, with its state in the catalog's ``partitions`` table."""
+
+    KEYS = ["base_query", "prefix"]
+
+    def __init__(self, catalog, count: Callable[[Partition], int], save: Callable[[Partition], None], most: int = SPLIT):
+        self.catalog, self.count, self.save, self.most = catalog, count, save, most
+
+    def _add(self, partitions: list[Partition]) -> None:
+        rows = [(p.base, p.prefix, p.depth, "pending") for p in partitions]
+        self.catalog.insert_new("partitions", self.catalog.spark.createDataFrame(rows, self.catalog.read("partitions").schema))
+
+    def seed(self, base: str) -> None:
+        self._add([Partition(base, c) for c in string.ascii_lowercase])
+
+    def run(self) -> int:
+        """Work until nothing is pending; returns how many partitions were saved.  A claimed one that fails stays ``processing``."""
+        saved = 0
+        while True:
+            own, queue = claim(self.catalog.read("partitions"), self.KEYS, ["depth"], 1)
+            row = own.first()
+            if row is None:
+                return saved
+            self.catalog.write("partitions", queue)
+            part = Partition(row.base_query, row.prefix, row.depth)
+            n = self.count(part)
+            if n > self.most:
+                self._add(part.split())
+            elif n:
+                self.save(part)
+                saved += 1
+            self.catalog.write("partitions", mark(self.catalog.read("partitions"), own, self.KEYS, "done"))
+
+
+def enrich(catalog, source: str, fetch: Callable[[list[str]], DataFrame], size: int = BATCH) -> dict:
+    """Claim batches until nothing is pending: results make their tasks done, absent ones failed; an answer that fails fails its batch.
+
+    ``fetch`` takes DOIs and returns (json) rows of results.
+    """
+    keys, done, failed = ["doi", "source"], 0, 0
+    while True:
+        own, queue = claim(catalog.read("metadata_queue").where(F.col("source") == source), keys, ["created_at"], size)
+        dois = [r.doi for r in own.select("doi").collect()]  # at most ``size``
+        if not dois:
+            return {"done": done, "failed": failed}
+        others = catalog.read("metadata_queue").where(~F.col("source").eqNullSafe(F.lit(source)))
+        catalog.write("metadata_queue", others.unionByName(queue))
+        try:
+            rows = written(metadata(fetch(dois), source))
+            met = written(paired(own, rows))
+        except Exception:  # noqa: BLE001  the batch failed, the next one is tried
+            rows, met = None, own.select("doi", "source", F.lit("task").alias("side"))
+        if rows is not None:
+            catalog.upsert("works_metadata", rows.where("doi IS NOT NULL"))
+        good = own.join(met.where("side = 'both'").select(F.col("doi").alias("__d")), text.lookup_doi(F.col("doi")) == F.col("__d"), "left_semi")
+        n = good.count()
+        state = mark(catalog.read("metadata_queue"), good, keys, "done")
+        catalog.write("metadata_queue", mark(state, own.join(good.select("doi"), "doi", "left_anti"), keys, "failed", attempt=True))
+        done, failed = done + n, failed + len(dois) - n
+
+
+def enrich_new(catalog, works: DataFrame, source: str, fetch: Callable[[list[str]], DataFrame]) -> dict:
+    """Queue the DOIs of new works, then enrich; without a new one nothing is processed, even if older tasks are pending."""
+    added = catalog.insert_new("metadata_queue", new_tasks(works, catalog.read("metadata_queue"), source))
+    return {"queued": added} | (enrich(catalog, source, fetch) if added else {"done": 0, "failed": 0})
