@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import params, text
 from ..operators import authors, graph, identity, predicates, prepare, search, stats
+from ..operators.works import collapse
 from ..sources import adapters, registry
 from .oracles import AUTHOR, COMPONENT, NETWORK, sql
 
@@ -343,6 +344,41 @@ def component_topics(spark, d):
     return graph.group_values(records(spark, d), graph.shared(_own(spark, d)), "topics")
 
 
+SCOPE = ", scope AS (SELECT * FROM common UNION ALL SELECT * FROM own WHERE NOT EXISTS (SELECT 1 FROM common))"
+
+
+@query(sql("""SELECT work_key, year, members FROM (SELECT *, row_number() OVER (PARTITION BY focus ORDER BY year DESC NULLS LAST, work_key) AS r FROM (
+  SELECT s.work_key, any_value(year) AS year, string_agg(orcid_id, ';' ORDER BY orcid_id) AS members, bool_or(orcid_id = '{seed}') AS focus FROM scope s LEFT JOIN years y ON s.work_key = y.work_key GROUP BY s.work_key))
+WHERE focus OR r <= 200""", NETWORK, COMPONENT, SCOPE, **NET))
+def component_listed_works(spark, d):
+    listed = graph.listed_works(_own(spark, d), graph.first_years(_network(spark, d)), IDENT)
+    return listed.select("work_key", "year", F.array_join("members", ";").alias("members"))
+
+
+@query(sql("""SELECT source, target, string_agg(topic, ';' ORDER BY r) AS topics FROM (SELECT source, target, topic, row_number() OVER (PARTITION BY source, target ORDER BY count(*) DESC, topic) AS r
+  FROM (SELECT a.work_key, a.orcid_id AS source, b.orcid_id AS target FROM common a JOIN common b ON a.work_key = b.work_key AND a.orcid_id < b.orcid_id)
+  JOIN (SELECT work_key, topic FROM works QUALIFY row_number() OVER (PARTITION BY work_key ORDER BY orcid_id, put_code) = 1) USING (work_key) GROUP BY source, target, topic) WHERE r <= 3 GROUP BY ALL""", NETWORK, COMPONENT, **NET))
+def component_pair_topics(spark, d):
+    common = graph.shared(_own(spark, d))
+    keyed = records(spark, d).join(common.select("work_key").distinct(), "work_key", "left_semi")
+    return graph.pair_topics(common, collapse(keyed)).select("source", "target", F.array_join("topics", ";").alias("topics"))
+
+
+@query(sql("""SELECT count(*) AS total, count(*) FILTER (is_oa) AS open_access, CAST(CASE WHEN count(*) > 0 THEN floor(100.0 * count(*) FILTER (is_oa) / count(*) + 0.5) ELSE 0 END AS INTEGER) AS percent FROM mine""", AUTHOR, ident=IDENT))
+def open_access_share(spark, d):
+    return stats.open_access_share(authors.author_works(records(spark, d), IDENT))
+
+
+@query(sql("""SELECT *, row_number() OVER (ORDER BY count DESC, orcid_id) AS rank FROM (SELECT orcid_id, count(DISTINCT work_key) AS count FROM fw JOIN people ON orcid_id = id WHERE focal GROUP BY orcid_id ORDER BY count DESC, orcid_id LIMIT 10)"""))
+def top_authors_ranked(spark, d):
+    return stats.ranked(stats.top_authors(records(spark, d), profiles(spark, d)), F.desc("count"), "orcid_id")
+
+
+@query(sql("SELECT n_name AS value, count(*) AS count FROM people WHERE focal GROUP BY n_name"))
+def institute_options(spark, d):
+    return stats.institute_options(profiles(spark, d))
+
+
 # --- preparation ------------------------------------------------------------------------------------------
 
 
@@ -360,6 +396,53 @@ def _metadata(spark, d) -> DataFrame:
     )
 
 
+@query("""SELECT p_partkey AS put_code, CASE WHEN p_partkey % 3 <> 0 THEN p_brand || ':' || p_partkey END AS orcid_group, CASE WHEN p_partkey % 3 <> 0 THEN CASE WHEN p_partkey % 2 = 0 THEN 'part-of' ELSE 'self' END END AS relationship FROM part""")
+def registry_groups_join(spark, d):
+    p = read(spark, d, "part")
+    ident = lambda kind, prefix, rel: F.array(F.struct(F.lit(kind).alias("type"), F.concat(F.lit(prefix), F.col("p_partkey").cast("string")).alias("value"), rel.alias("relationship")))
+    works = p.select(F.col("p_brand").alias("orcid_id"), F.col("p_partkey").cast("long").alias("put_code"), ident("doi", "10.1/P", F.lit(None).cast("string")).alias("external_ids"), F.lit(None).cast("string").alias("orcid_group"))
+    found = p.where("p_partkey % 3 <> 0").select(
+        F.col("p_brand").alias("orcid_id"), F.col("p_partkey").cast("long").alias("put_code"), text.group_id(F.col("p_brand"), F.array(F.col("p_partkey").cast("long"), F.col("p_partkey").cast("long") + 5)).alias("orcid_group"),
+        ident("DOI", "10.1/p", F.when(F.col("p_partkey") % 2 == 0, "part-of").otherwise("self")).alias("external_ids"),
+    )
+    return prepare.registry_groups(works, found).select("put_code", "orcid_group", F.col("external_ids")[0]["relationship"].alias("relationship"))
+
+
+@query("""WITH f AS (SELECT s_suppkey, [x FOR x IN [CASE WHEN s_suppkey % 5 = 0 THEN 'Lab, ' || n_name END, CASE WHEN s_suppkey % 7 = 0 THEN n_name END] IF x IS NOT NULL] AS found, n_name, n_regionkey FROM supplier JOIN nation ON s_nationkey = n_nationkey)
+SELECT CAST(s_suppkey AS VARCHAR) AS orcid_id, n_name || CASE WHEN s_suppkey % 5 = 0 THEN ';Lab, ' || n_name ELSE '' END AS names, n_regionkey = 1 OR len(found) > 0 AS focal FROM f""")
+def add_affiliations(spark, d):
+    known = profiles(spark, d)
+    own = F.col("institution_names")[0]
+    found = known.select("orcid_id", F.explode(F.array(F.when(F.col("orcid_id").cast("int") % 5 == 0, F.concat(F.lit("Lab, "), own)), F.when(F.col("orcid_id").cast("int") % 7 == 0, own))).alias("institution")).where("institution IS NOT NULL")
+    return prepare.add_affiliations(known, found).select("orcid_id", F.array_join("institution_names", ";").alias("names"), F.col("focal_author").alias("focal"))
+
+
+def _tasks(spark, d) -> DataFrame:
+    c = read(spark, d, "customer")
+    status = F.when(F.col("c_custkey") % 4 == 3, "done").otherwise("pending")
+    return c.select(F.concat(F.lit("10.3/"), F.col("c_custkey").cast("string")).alias("doi"), F.lit("e").alias("source"), status.alias("status"), F.lit(0).alias("attempts"), F.lit("2020-01-01").cast("timestamp").alias("created_at"))
+
+
+@query("""SELECT '10.3/' || c_custkey AS doi, CASE WHEN c_custkey % 4 = 3 THEN 'done' WHEN row_number() OVER (PARTITION BY c_custkey % 4 = 3 ORDER BY '10.3/' || c_custkey) <= 25 THEN 'processing' ELSE 'pending' END AS status FROM customer""")
+def claimed_tasks(spark, d):
+    return registry.claim(_tasks(spark, d), ["doi", "source"], ["created_at"])[1].select("doi", "status")
+
+
+@query("""SELECT '10.3/' || c_custkey AS doi, CASE WHEN c_custkey % 4 = 3 THEN 'done' WHEN c_custkey % 3 = 0 THEN 'done' ELSE 'failed' END AS status, CASE WHEN c_custkey % 4 <> 3 AND c_custkey % 3 <> 0 THEN 1 ELSE 0 END AS attempts FROM customer""")
+def settled_tasks(spark, d):
+    return registry.settle(_tasks(spark, d), _results(spark, d)).select("doi", "status", "attempts")
+
+
+def _results(spark, d) -> DataFrame:
+    return read(spark, d, "customer").where("c_custkey % 3 = 0").select(F.concat(F.lit("https://DOI.org/10.3/"), F.col("c_custkey").cast("string")).alias("doi"), F.lit("e").alias("source"))
+
+
+@query("""SELECT '10.3/' || c_custkey AS doi, CASE WHEN c_custkey % 2 = 0 AND c_custkey % 3 = 0 THEN 'both' WHEN c_custkey % 2 = 0 THEN 'task' ELSE 'result' END AS side FROM customer WHERE c_custkey % 2 = 0 OR c_custkey % 3 = 0""")
+def paired_results(spark, d):
+    asked = _tasks(spark, d).where("CAST(substring(doi, 6) AS INT) % 2 = 0")
+    return registry.paired(asked, _results(spark, d)).select("doi", "side")
+
+
 @query(sql("""SELECT w.orcid_id, w.put_code, CASE WHEN p_size > 10 THEN p_name ELSE w.topic END AS topic, coalesce(p_type || 'a', string_split(title, ' ')[1]) AS keyword FROM works w LEFT JOIN part ON k = p_partkey"""))
 def merge_metadata_join(spark, d):
     works = records(spark, d).withColumn("concepts", F.array().cast("array<struct<display_name: string, score: double>>"))
@@ -487,30 +570,46 @@ def _corpus(spark, d) -> DataFrame:
     )
 
 
-@query("""WITH t AS (SELECT source, doc_id, lower(trim(regexp_replace(regexp_replace(string_split(text, chr(10))[1], '[^A-Za-z]+', ' ', 'g'), ' +', ' ', 'g'))) AS title FROM documents WHERE NOT regexp_matches(string_split(text, chr(10))[1], '[^ -~]|<|&'))
-SELECT title, count(*) AS records FROM (SELECT source, doc_id, title FROM t WHERE title <> '' AND NOT regexp_matches(title, '[0-9]')) GROUP BY title HAVING count(*) > 1""")
-def title_block_pairs(spark, d):
-    plain = _corpus(spark, d).where("NOT title RLIKE '[^ -~]|<|&'").select(F.regexp_replace("title", "[^A-Za-z]+", " ").alias("title"))
-    blocks = plain.select(text.normalized_title("title").alias("title")).where("title <> '' AND NOT title RLIKE '[0-9]'")
-    return blocks.groupBy("title").agg(F.count("*").alias("records")).where("records > 1")
+@query(r"""SELECT title, count(*) AS records FROM (
+  SELECT trim(regexp_replace(replace(lower(strip_accents(regexp_replace(string_split(text, chr(10))[1], '<[^>]+>', '', 'g'))), 'ß', 'ss'), '[^\pL\pN]+', ' ', 'g')) AS title FROM documents)
+GROUP BY title""")
+def title_blocks(spark, d):
+    titles = _corpus(spark, d).select(F.coalesce(text.normalized_title("title"), F.lit("")).alias("title"))
+    return titles.groupBy("title").agg(F.count("*").alias("records"))
 
 
-@query(None)  # every document: SQL cannot fold Unicode as the normaliser does
-def title_blocks_all(spark, d):
-    return _corpus(spark, d).select(text.normalized_title("title").alias("title")).groupBy("title").agg(F.count("*").alias("records"))
+def _named_parts(spark, d) -> DataFrame:
+    """Part names, and each again without its fifth letter, as the titles of a brand."""
+    p = read(spark, d, "part")
+    other = F.concat(F.substring("p_name", 1, 4), F.expr("substring(p_name, 6)"))
+    titles = F.transform(F.array(F.col("p_name"), other), lambda t: F.concat(t, F.lit(" and other notes")))
+    each = p.select("p_brand", "p_partkey", F.posexplode(titles).alias("n", "title"))
+    none = F.lit(None)
+    return each.select(
+        F.concat_ws(":", "p_partkey", "n").alias("record_id"), F.col("p_brand").alias("orcid_id"), F.col("p_partkey").cast("long").alias("put_code"), none.cast("int").alias("publication_year"), "title",
+        none.cast("string").alias("doi"), none.cast("array<struct<type: string, value: string, relationship: string>>").alias("external_ids"), none.cast("string").alias("orcid_group"),
+    )
 
 
-@query(None)
+@query("""WITH t AS (SELECT DISTINCT p_brand AS owner, lower(replace(title, ' ', '')) AS c, [x FOR x IN string_split(lower(title), ' ') IF regexp_full_match(x, '[ivxlcdm]+')] AS sig
+  FROM (SELECT p_brand, p_name || ' and other notes' AS title FROM part UNION ALL SELECT p_brand, substr(p_name, 1, 4) || substr(p_name, 6) || ' and other notes' FROM part))
+SELECT l.owner AS orcid_id, l.c AS a, r.c AS b FROM t l JOIN t r ON l.owner = r.owner AND l.sig = r.sig AND (len(l.c) < len(r.c) OR (len(l.c) = len(r.c) AND l.c < r.c)) AND len(r.c) - len(l.c) <= greatest(2, len(l.c) // 30)
+WHERE len(l.c) >= 20 AND levenshtein(l.c, r.c) <= greatest(2, len(l.c) // 30)""")
 def typo_pairs(spark, d):
-    return identity.typo_pairs(identity.prepared(_corpus(spark, d)))
+    return identity.typo_pairs(identity.prepared(_named_parts(spark, d))).select("orcid_id", "a", "b").distinct()
+
+
+@query(None)  # whole documents' titles; held against all pairs in the tests
+def typo_pairs_of_documents(spark, d):
+    return identity.typo_pairs(identity.prepared(_corpus(spark, d))).select("orcid_id", "a", "b")
 
 
-@query(sql(""", same AS (SELECT l_partkey % 50 AS hub, CAST(l_orderkey AS VARCHAR) AS id FROM lineitem WHERE l_orderkey % 40 = 0)
-SELECT DISTINCT id AS orcid_id, (SELECT min(s2.id) FROM same s2 WHERE s2.hub IN (SELECT hub FROM same s3 WHERE s3.id = same.id)) IS NOT NULL AS labelled FROM same"""))
+@query("SELECT CAST(c_custkey AS VARCHAR) AS orcid_id, min(CAST(c_custkey AS VARCHAR)) OVER (PARTITION BY c_custkey // 37) AS component FROM customer")
 def identifier_components(spark, d):
-    line = read(spark, d, "lineitem").where("l_orderkey % 40 = 0")
-    rel = line.select((F.col("l_partkey") % 50).cast("string").alias("work_key"), F.col("l_orderkey").cast("string").alias("orcid_id")).distinct()
-    return graph.components(rel).select("orcid_id", F.col("component").isNotNull().alias("labelled"))
+    """Chains of 37 customers: each work has two neighbours."""
+    c = read(spark, d, "customer").select(F.col("c_custkey").alias("n"))
+    both = c.select(F.explode(F.array(F.col("n"), F.when(F.col("n") % 37 != 0, F.col("n") - 1))).alias("hub"), "n").where("hub IS NOT NULL")
+    return graph.components(both.select(F.col("hub").cast("string").alias("work_key"), F.col("n").cast("string").alias("orcid_id")))
 
 
 @query(None)  # whole relation; held against union-find in the tests
@@ -519,6 +618,28 @@ def identifier_components_all(spark, d):
     return graph.components(rel)
 
 
+def _order_records(spark, d, title, doi) -> DataFrame:
+    o = read(spark, d, "orders")
+    none = F.lit(None)
+    return o.select(
+        F.col("o_orderkey").cast("string").alias("record_id"), F.lit("A").alias("orcid_id"), F.col("o_orderkey").cast("long").alias("put_code"), F.year("o_orderdate").alias("publication_year"), title.alias("title"), doi.alias("doi"),
+        none.cast("array<struct<type: string, value: string, relationship: string>>").alias("external_ids"), none.cast("string").alias("orcid_group"),
+    )
+
+
+@query("SELECT CAST(o_orderkey AS VARCHAR) AS record_id, 'doi:10.2/c' || o_custkey AS work_key FROM orders")
+def work_keys_by_identifier(spark, d):
+    return identity.work_keys(_order_records(spark, d, F.lit(None).cast("string"), F.concat(F.lit("https://doi.org/10.2/C"), F.col("o_custkey").cast("string"))))
+
+
+@query("""WITH y AS (SELECT DISTINCT o_custkey AS c, CAST(year(o_orderdate) AS INTEGER) AS y FROM orders), i AS (SELECT c, y, y - row_number() OVER (PARTITION BY c ORDER BY y) AS island FROM y),
+n AS (SELECT c, y, y - (row_number() OVER (PARTITION BY c, island ORDER BY y) - 1) % 2 AS anchor FROM i)
+SELECT CAST(o_orderkey AS VARCHAR) AS record_id, 'title:A:report ' || o_custkey || '|' || anchor AS work_key FROM orders JOIN n ON o_custkey = c AND year(o_orderdate) = y""")
+def work_keys_by_years(spark, d):
+    """One title a customer, without identifiers: runs of two years."""
+    return identity.work_keys(_order_records(spark, d, F.concat(F.lit("Report "), F.col("o_custkey").cast("string")), F.lit(None).cast("string")))
+
+
 @query(None)
 def work_keys(spark, d):
     return identity.work_keys(_corpus(spark, d))
@@ -532,14 +653,8 @@ def abstract_reconstruction(spark, d):
     return p.select(F.col("p_partkey").alias("id"), text.abstract(index).alias("abstract"))
 
 
-@query("SELECT doc_id, length(regexp_replace(lower(text), '[^a-z]+', '', 'g')) AS letters FROM documents WHERE NOT regexp_matches(text, '[^ -~' || chr(10) || ']')")
+@query(r"""SELECT doc_id, trim(regexp_replace(regexp_replace(regexp_replace(lower(strip_accents(text)), '[,–—-]', ' ', 'g'), '[^a-z\s]', '', 'g'), '\s+', ' ', 'g')) AS name FROM documents""")
 def person_names(spark, d):
-    docs = read(spark, d, "documents").where("NOT text RLIKE '[^ -~\\n]'")
-    return docs.select("doc_id", F.length(F.replace(text.normalized_person("text"), F.lit(" "), F.lit(""))).cast("long").alias("letters"))
-
-
-@query(None)  # every document: SQL cannot fold Unicode as the normaliser does
-def person_names_all(spark, d):
     return read(spark, d, "documents").select("doc_id", text.normalized_person("text").alias("name"))
 
 
@@ -547,4 +662,4 @@ def person_names_all(spark, d):
 def identifier_syntax(spark, d):
     s, k = read(spark, d, "supplier"), F.lpad(F.col("s_suppkey").cast("string"), 4, "0")
     ident = F.concat_ws("-", F.lit("0000"), k, F.lit("1111"), F.when(F.col("s_suppkey") % 2 == 0, F.lit("123X")).otherwise(F.lit("12X3")))
-    return s.select(F.col("s_suppkey").alias("id"), ident.rlike(params.ID_PATTERN).alias("valid"))
+    return s.select(F.col("s_suppkey").alias("id"), text.valid_id(ident).alias("valid"))

@@ -296,3 +296,87 @@ def test_normalisers_on_all_documents(spark, tmp_path):
     assert names == {0: "eva nandu oneil", 1: "a bstraeb amp union", 2: "a strasse union", 3: "", 4: "", 5: "mega"}
     blocks = {r.title: r.records for r in plans.QUERIES["title_blocks_all"](spark, str(tmp_path)).collect()}
     assert blocks == {"eva nandu o neil": 1, "a strasse union 2": 2, "": 2, "ωmega": 1}
+
+
+def test_discovery_states(spark, tmp_path):
+    from folioscope.sources import registry
+    from folioscope.sources.catalog import Catalog
+
+    catalog, asked, saved = Catalog(spark, str(tmp_path / "c")), [], []
+    sizes = {"a": 5, "b": 30, "ba": 7, "bq": 2}
+
+    def count(p):
+        asked.append(p.prefix)
+        if p.prefix == "c" and asked.count("c") == 1:
+            raise RuntimeError("lost")
+        return sizes.get(p.prefix, 0)
+
+    found = registry.Discovery(catalog, count, lambda p: saved.append(p.query()), most=10)
+    found.seed("q")
+    found.seed("q")  # adds nothing
+    assert catalog.read("partitions").count() == 26
+    with pytest.raises(RuntimeError):
+        found.run()
+    assert [r.prefix for r in catalog.read("partitions").where("status = 'processing'").collect()] == ["c"]
+    # A lost partition is not claimed again until it is released; the rest is finished without it.
+    small = catalog.read("partitions").where("prefix IN ('a', 'b', 'c') OR prefix LIKE 'ba%'")
+    catalog.write("partitions", registry.release(small))
+    sizes["b"] = 0
+    assert found.run() == 1 and asked.count("c") == 2
+    assert [r.status for r in catalog.read("partitions").select("status").distinct().collect()] == ["done"] and saved == ["q AND family-name:a*", "q AND family-name:ba*"]
+
+
+def test_enrichment_states(spark, tmp_path):
+    import datetime
+
+    from folioscope.sources import registry
+    from folioscope.sources.catalog import Catalog
+
+    catalog = Catalog(spark, str(tmp_path / "c"))
+    now = datetime.datetime(2020, 1, 1)
+    rows = [(f"10.1/{i:02d}", "e", "pending", 0, now) for i in range(7)] + [("10.1/99", "e", "processing", 0, now), ("10.1/00", "other", "pending", 0, now)]
+    catalog.write("metadata_queue", spark.createDataFrame(rows, catalog.read("metadata_queue").schema))
+
+    def fetch(dois):
+        if "10.1/03" in dois:
+            raise OSError("down")
+        return spark.createDataFrame([(f'{{"id": "W", "doi": "https://doi.org/{d.upper()}"}}',) for d in dois if d != "10.1/01"] + [('{"id": "X", "doi": null}',)], "json string")
+
+    assert registry.enrich(catalog, "e", fetch, size=3) == {"done": 3, "failed": 4}
+    state = {(r.doi, r.source): (r.status, r.attempts) for r in catalog.read("metadata_queue").collect()}
+    assert state == {("10.1/00", "e"): ("done", 0), ("10.1/01", "e"): ("failed", 1), ("10.1/02", "e"): ("done", 0), **{(f"10.1/0{i}", "e"): ("failed", 1) for i in (3, 4, 5)}, ("10.1/06", "e"): ("done", 0), ("10.1/99", "e"): ("processing", 0), ("10.1/00", "other"): ("pending", 0)}
+    assert {r.doi for r in catalog.read("works_metadata").collect()} == {"10.1/00", "10.1/02", "10.1/06"}
+    works = spark.createDataFrame([([("doi", "10.1/00", "self")],)], "external_ids array<struct<type: string, value: string, relationship: string>>")
+    assert registry.enrich_new(catalog, works, "e", fetch) == {"queued": 0, "done": 0, "failed": 0}
+    assert registry.batch_url("http://x/works", ["10.1/a b", "10.2/c"]) == "http://x/works?filter=doi:10.1%2Fa%20b|10.2%2Fc&per-page=2"
+
+
+def test_json_pages(spark, tmp_path):
+    import json
+
+    from folioscope.sources import http
+
+    for i, n in enumerate([2, 2, 1]):
+        (tmp_path / f"a{2 * i}").write_text(json.dumps({"items": list(range(n))}))
+    (tmp_path / "b0").write_text(json.dumps({"items": None, "num-found": 41}))
+    got = http.pages(spark, {k: f"file://{tmp_path}/{k}{{start}}" for k in "ab"}, rows=2, items="items", pause=0).collect()
+    assert sorted((r.key, r.page, len(json.loads(r.json)["items"] or [])) for r in got) == [("a", 0, 2), ("a", 1, 2), ("a", 2, 1), ("b", 0, 0)]
+    assert http.estimate(spark, f"file://{tmp_path}/b{{rows}}") == 41
+
+
+def test_steps_fail_where_they_run(spark):
+    from folioscope.operators import prepare
+
+    base = spark.range(3).withColumn("x", F.lit("a"))
+    tables, report = prepare.run_steps({"t": base}, [("ok", "t", lambda t: t["t"].withColumn("y", F.lit(1))), ("bad", "t", lambda t: t["t"].withColumn("z", F.expr("assert_true(id < 2)"))), ("missing", "t", lambda t: t["t"].select("no")), ("last", "t", lambda t: t["t"].withColumn("w", F.lit(2)))])
+    assert [r["status"] for r in report] == ["success", "failed", "failed", "success"] and tables["t"].columns == ["id", "x", "y", "w"] and tables["t"].count() == 3
+
+
+def test_links_and_times(spark):
+    from folioscope.functions import params
+    from folioscope.operators import stats
+
+    assert params.filter_link("/a/works", ["x y", ""], ["t"], 2001, None) == "/a/works?topic=x+y&type=t&year_from=2001" and params.filter_link("/a") == "/a"
+    stamp = stats.with_computed_at(spark.range(1)).first().computed_at
+    assert len(stamp) == 27 and stamp[10] == "T" and stamp.endswith("Z")
+    assert stats.open_access_share(spark.createDataFrame([], "is_oa boolean")).first().percent == 0
