@@ -1,38 +1,7 @@
-"""Connected components by minimum labels, as DataFrame joins with tables in the shared folder between rounds."""
+"""Connected components: those of the engine."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+from ..operators.components import components
 
-from .common import written
-
-
-def components(edges: DataFrame, *, most_rounds: int = 60) -> DataFrame:
-    """(node, root): every node that has an edge, with the smallest node of its component.
-
-    Each round contracts to stars: a node's larger neighbours are linked to its smallest neighbour, then its
-    smaller ones.  Links are kept distinct, so their number does not grow; the number of rounds
-    grows with the logarithm of the longest path.  Round results are written tables: a lost executor
-    costs a round at most.
-    """
-    links = written(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
-    seen = None
-    for _ in range(most_rounds):
-        # Large star: for each node, neighbours above it go to the smallest of its neighbourhood.
-        both = links.select("u", "v").unionAll(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        # Small star: for each node, its smaller neighbours and itself go to the smallest of them.
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e")).select("e.*")
-        links = written(small.where("u <> v").distinct())
-        # Unchanged links are stars: a root has no root of its own.
-        state = links.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if state == seen:
-            break
-        seen = state
-    else:
-        raise RuntimeError("components did not settle")
-    roots = links.select(F.col("v").alias("node")).distinct().select("node", F.col("node").alias("root"))
-    return links.select(F.col("u").alias("node"), F.col("v").alias("root")).unionAll(roots)
+__all__ = ["components"]
