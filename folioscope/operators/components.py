@@ -16,7 +16,7 @@ def components(edges: DataFrame, *, most_rounds: int = 200) -> DataFrame:
     grows with the logarithm of the longest path.  Round results are written tables: a lost executor
     costs a round at most.  ``most_rounds`` only guards against an endless loop: it is far above what 2^64 nodes take.
     """
-    links = written(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
+    links = written(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), few=True)
     for _ in range(most_rounds):
         # Stars: a node with a smaller neighbour has one only, and is nobody's smaller neighbour.
         ends = links.select(F.explode(F.array(F.struct(F.col("u").alias("n"), F.lit(1).alias("up")), F.struct(F.col("v").alias("n"), F.lit(0).alias("up")))).alias("e")).select("e.*")
@@ -30,5 +30,5 @@ def components(edges: DataFrame, *, most_rounds: int = 200) -> DataFrame:
         # Small star: for each node, its smaller neighbours and itself go to the smallest of them.
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e")).select("e.*")
-        links = written(small.where("u <> v").distinct())
+        links = written(small.where("u <> v").distinct(), few=True)
     raise RuntimeError("components did not settle")

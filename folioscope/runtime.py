@@ -14,6 +14,10 @@ from pyspark.sql import DataFrame, SparkSession
 #: Bytes of one Arrow batch between the JVM and Python, unless the application sets its own: whole texts travel in them.
 ARROW_BYTES = "4m"
 
+#: On a mounted folder (file:) Hadoop starts a process for the mode of each file and writes a checksum file beside it, each again
+#: with a process; passing tables do without both.  Other stores do not read these settings.
+RAW_FILES = {"fs.file.impl": "org.apache.hadoop.fs.RawLocalFileSystem", "fs.file.impl.disable.cache": "true"}
+
 _shipped: set[str] = set()
 _written: list[tuple[SparkSession, str]] = []
 
@@ -48,15 +52,18 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
-def written(df: DataFrame) -> DataFrame:
+def written(df: DataFrame, few: bool = False) -> DataFrame:
     """Cut the lineage: write ``df`` to the shared folder and read it back.
 
     The table is in shared storage, not in executor memory, so a lost executor costs nothing.  The
-    files are removed when the Python process ends.
+    files are removed when the Python process ends.  ``few`` is for results of a shuffle: they are written by at most four tasks
+    for each core of the cluster, so that many small partitions do not make as many small files.
     """
     spark = df.sparkSession
+    if few:
+        df = df.coalesce(max(32, 4 * spark.sparkContext.defaultParallelism))
     path = f"{shared_dir(spark)}/folioscope-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.options(**RAW_FILES).parquet(path)
     if not _written:
         atexit.register(release)
     _written.append((spark, path))
