@@ -46,7 +46,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, max_rows: in
     parts = [known.where(F.col("y") == y).orderBy(turn, "doc_id").limit(max_rows) for y in (0, 1)]
     # Bounded by 2 * max_rows rows of two numbers, hence safe to broadcast.
     chosen = F.broadcast(parts[0].unionByName(parts[1]))
-    rows = written(docs.select("doc_id", "text").join(chosen, "doc_id").groupBy("doc_id").agg(F.first("y").alias("y"), F.max("text").alias("text")))
+    rows = written(docs.select("doc_id", "text").join(chosen, "doc_id").groupBy("doc_id").agg(F.first("y").alias("y"), F.max("text").alias("text")), few=True)
     size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long")
     if (rows.agg(F.sum(size)).first()[0] or 0) <= max_bytes:
         return rows

@@ -174,8 +174,8 @@ def _scan(docs: DataFrame, benchmark: DataFrame, span: int, k: int) -> DataFrame
     windows = written(test_windows(benchmark, span=span, k=k))
     sizes = sorted(r.size for r in windows.select(F.col("size").alias("size")).distinct().collect())  # at most ``span``
     found = written(candidates(docs, bloom(windows), sizes, span=span, k=k))
-    distinct = written(windows.groupBy("win").agg(F.first("size").alias("size")))
-    met = written(_met(found.where("win IS NOT NULL").select("rid", "pos", "win"), distinct, distinct))
+    distinct = written(windows.groupBy("win").agg(F.first("size").alias("size")), few=True)
+    met = written(_met(found.where("win IS NOT NULL").select("rid", "pos", "win"), distinct, distinct), few=True)
     spans = met.groupBy("rid").agg(F.collect_set(F.struct("pos", "size")).alias("places"))
     owners = _met(met.select("rid", "win").distinct(), windows.select("win", "item").distinct(), distinct)
     items = owners.select("rid", F.struct("item").alias("item")).groupBy("rid").agg(F.collect_set("item").alias("items"))
@@ -211,7 +211,7 @@ def scan(docs: DataFrame, benchmark: DataFrame, *, span: int = SPAN, k: int = K)
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, *, span: int = SPAN, k: int = K) -> DataFrame:
     """The clean documents, all columns as they are; rows are told apart by id and text, so neither null nor repeated ids matter."""
-    bad = written(_scan(docs, benchmark, span, k).where("contaminated").select(F.col("rid").alias("__bad"), F.col("doc_id").alias("__id")).distinct())
+    bad = written(_scan(docs, benchmark, span, k).where("contaminated").select(F.col("rid").alias("__bad"), F.col("doc_id").alias("__id")).distinct(), few=True)
     if bad.count() <= BROADCAST_ROWS:
         bad = F.broadcast(bad)
     return docs.withColumn("__rid", _rid()).join(bad, (F.col("__rid") == F.col("__bad")) & F.col("doc_id").eqNullSafe(F.col("__id")), "left_anti").select(docs.columns)

@@ -75,7 +75,7 @@ def _by_row(pages: DataFrame, bad: DataFrame, host: str, text: str) -> DataFrame
 
 def dedup_lines(pages: DataFrame, *, host: str = "source", text: str = "text", ratio: float = RATIO, prior: float = PRIOR, report: str | None = "lines_dropped") -> DataFrame:
     """All columns of ``pages``, the text without boilerplate lines, and their number in the column ``report``."""
-    bad = written(boilerplate(pages, host=host, text=text, ratio=ratio, prior=prior).select("host", "digest"))
+    bad = written(boilerplate(pages, host=host, text=text, ratio=ratio, prior=prior).select("host", "digest"), few=True)
     if bad.count() <= BROADCAST_LINES:
         joined = pages.join(F.broadcast(_cells(bad, "host")), F.col(host).eqNullSafe(F.col("__key")), "left").drop("__key")
     else:

@@ -314,7 +314,7 @@ def _most_frequent(counts: DataFrame, most: int) -> pa.Table:
 
 def learn(docs: DataFrame, *, heads: int = HEADS, groups: int = GROUPS, hot: int = HOT, classes: int = CLASSES, sweeps: int = SWEEPS) -> tuple[Vocabulary, DataFrame]:
     """What every task holds, and the table (h, c, cls) of all words, from all rows of ``docs``."""
-    counts = written(_counted(docs))
+    counts = written(_counted(docs), few=True)
     head = _most_frequent(counts, heads + 1)["h"].to_numpy().view(np.uint64)
     head = head[head != END][:heads].copy()
     n = _bigrams(docs, head, groups)
@@ -325,7 +325,7 @@ def learn(docs: DataFrame, *, heads: int = HEADS, groups: int = GROUPS, hot: int
     spark = docs.sparkSession
     fixed = np.append(head, END).view(np.int64).tolist(), [*cls[: len(head)].tolist(), classes - 1]
     kept = counts.join(F.broadcast(spark.createDataFrame(list(zip(*fixed, strict=True)), "h long, cls int")), "h").select("h", "c", "cls")  # heads + 1 rows
-    table = written(rest.unionAll(kept))
+    table = written(rest.unionAll(kept), few=True)
     sizes, words = np.zeros(classes), np.zeros(classes)
     for r in table.groupBy("cls").agg(F.sum("c").alias("c"), F.count("*").alias("v")).collect():  # a row for each class
         sizes[r.cls], words[r.cls] = r.c, r.v
@@ -492,5 +492,5 @@ def brown_scores(docs: DataFrame, *, prior: float = PRIOR, **options) -> DataFra
     """Scores of all documents under a model of those outside the held-out fold."""
     remainder = fold("doc_id", FOLDS)
     known, table = learn(docs.where(remainder != HELD), **options)
-    rows = written(classed(docs, known, table, remainder == HELD))
+    rows = written(classed(docs, known, table, remainder == HELD), few=True)
     return scored(rows, transitions(rows.where("NOT held_out"), known, prior=prior))

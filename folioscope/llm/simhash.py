@@ -179,7 +179,7 @@ def links(nodes: DataFrame, *, radius: int = RADIUS, most: int = MOST, rows: int
             finer = {m: keys(m & (2**64 - 1), parts, radius) for m in known}
             masks = F.coalesce(*(F.when(F.col("mask") == m, F.array(*(F.lit(signed(x)) for x in v))) for m, v in finer.items()))
         spread = todo.select("fp", F.explode(masks).alias("mask")).withColumn("key", F.col("fp").bitwiseAND(F.col("mask")))
-        spread = written(spread.distinct() if width else spread)
+        spread = written(spread.distinct() if width else spread, few=True)
         sizes = spread.groupBy("mask", "key").agg(F.count("*").alias("n")).where("n > 1")
         cool, hot = sizes.where(F.col("n") <= most).drop("n"), sizes.where(F.col("n") > most).drop("n")
         # Two fingerprints that share all but 6 bits and fewer are all compared anyway: 64 at most.
@@ -187,7 +187,7 @@ def links(nodes: DataFrame, *, radius: int = RADIUS, most: int = MOST, rows: int
         width += 1
         if hot.isEmpty():
             break
-        todo = written(spread.join(hot, ["mask", "key"], "left_semi").select("fp", "mask"))
+        todo = written(spread.join(hot, ["mask", "key"], "left_semi").select("fp", "mask"), few=True)
     out = done[0]
     for d in done[1:]:
         out = out.unionAll(d)
@@ -230,7 +230,7 @@ def _compare(buckets: DataFrame, radius: int) -> DataFrame:
 def near_duplicates(docs: DataFrame, *, radius: int = RADIUS, most: int = MOST) -> DataFrame:
     """Per document: doc_id, fingerprint (16 hex digits), component_id (smallest doc_id of its component)."""
     found = written(fingerprints(docs))
-    nodes = written(found.groupBy("fp").agg(F.min("doc_id").alias("first")))
+    nodes = written(found.groupBy("fp").agg(F.min("doc_id").alias("first")), few=True)
     roots = components(links(nodes, radius=radius, most=most))
     named = nodes.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     least = named.groupBy("root").agg(F.min("first").alias("component_id"))
@@ -248,7 +248,7 @@ def keep_one(docs: DataFrame, *, radius: int = RADIUS, most: int = MOST) -> Data
     row = F.md5(F.to_json(F.struct(*(F.md5(F.col("text").cast("binary")).alias(c) if c == "text" else F.col(c) for c in docs.columns))))
     keyed = docs.withColumn("__row", row)
     named = keyed.select(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("__row").alias("row")).alias("doc_id"), "text")
-    classes = written(near_duplicates(named, radius=radius, most=most))
+    classes = written(near_duplicates(named, radius=radius, most=most), few=True)
     kept = classes.where(F.col("doc_id") == F.col("component_id")).groupBy(F.col("doc_id.row").alias("__row")).agg(F.count("*").alias("n"))
     once = keyed.join(kept.where("n = 1"), "__row", "left_semi")
     again = keyed.join(kept.where("n > 1"), "__row", "left_semi").dropDuplicates(["__row"])

@@ -123,7 +123,7 @@ class _Trainer:
     """Sums of n-gram embeddings, gradient steps and worst passages over the sample's distinct words."""
 
     def __init__(self, texts: list[bytes]):
-        parts, sizes, ids = [], [], []
+        parts, sizes, ids, seen = [], [], [], []
         self.first = [0]
         known, place = np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int32)  # sorted hashes of distinct words, their numbers
         for _, some in chunks(texts):
@@ -144,6 +144,7 @@ class _Trainer:
                 order = np.argsort(known)
                 known, place = known[order], place[order]
             ids.append(number[back])
+            seen.append((np.unique(words.doc.astype(np.int64) << 32 | number[back]) & 0xFFFFFFFF).astype(np.int32))  # once for each document
             self.first += (words.first[1:] + self.first[-1]).tolist()
         self.first = np.array(self.first)
         self.ids = np.concatenate(ids) if ids else np.zeros(0, np.int32)
@@ -151,8 +152,9 @@ class _Trainer:
         self.sizes = np.concatenate(sizes) if sizes else np.zeros(0, np.int32)
         self.at = np.zeros(len(self.sizes) + 1, dtype=np.int64)
         np.cumsum(self.sizes, out=self.at[1:])
-        pairs = np.unique(np.repeat(np.arange(len(texts)), np.diff(self.first)) * max(1, len(self.sizes)) + self.ids)
-        spread = np.bincount(pairs % max(1, len(self.sizes)), minlength=len(self.sizes))  # documents of each word
+        spread = np.zeros(len(self.sizes), dtype=np.int64)  # documents of each word
+        for some in seen:
+            spread += np.bincount(some, minlength=len(spread))
         self.common = np.bincount(self.buckets, np.repeat(spread, self.sizes), 1 << BITS) >= FEWEST * len(texts)
 
     def start(self, dim: int, seed: int) -> None:
