@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..runtime import ship, written
 
-__all__ = ["CHUNK_BYTES", "chunks", "column", "fold", "labelled_sample", "read_table", "utf8", "written"]
+__all__ = ["CHUNK_BYTES", "chunks", "column", "fold", "labelled_sample", "read_table", "unused", "utf8", "written"]
 
 #: Bytes of text that the vectorised kernels take at once; a longer single text is taken alone.
 CHUNK_BYTES = 1 << 19
@@ -57,6 +57,17 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, max_rows: in
     return rows.join(F.broadcast(fits.select("doc_id")), "doc_id")
 
 
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """The names, lengthened until ``df`` has no column of that name (in any case)."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        out.append(name)
+    return out
+
+
 def utf8(column: pa.Array) -> list[bytes]:
     """The texts of an Arrow string column as bytes; null is empty."""
     if isinstance(column, pa.ChunkedArray):

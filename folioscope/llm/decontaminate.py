@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, column, utf8, written
+from .common import chunks, column, unused, utf8, written
 from .wordops import ALNUM, grams, mix, tokenize, window_min
 
 SPAN, K = 13, 8
@@ -211,10 +211,11 @@ def scan(docs: DataFrame, benchmark: DataFrame, *, span: int = SPAN, k: int = K)
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, *, span: int = SPAN, k: int = K) -> DataFrame:
     """The clean documents, all columns as they are; rows are told apart by id and text, so neither null nor repeated ids matter."""
-    bad = written(_scan(docs, benchmark, span, k).where("contaminated").select(F.col("rid").alias("__bad"), F.col("doc_id").alias("__id")).distinct(), few=True)
+    rid, bad_rid, ident = unused(docs, "__rid", "__bad", "__id")
+    bad = written(_scan(docs, benchmark, span, k).where("contaminated").select(F.col("rid").alias(bad_rid), F.col("doc_id").alias(ident)).distinct(), few=True)
     if bad.count() <= BROADCAST_ROWS:
         bad = F.broadcast(bad)
-    return docs.withColumn("__rid", _rid()).join(bad, (F.col("__rid") == F.col("__bad")) & F.col("doc_id").eqNullSafe(F.col("__id")), "left_anti").select(docs.columns)
+    return docs.withColumn(rid, _rid()).join(bad, (F.col(rid) == F.col(bad_rid)) & F.col("doc_id").eqNullSafe(F.col(ident)), "left_anti").select(docs.columns)
 
 
 _WORDS = "regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"

@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import unused, written
 
 #: Line digests that are broadcast at most (16 bytes each).
 BROADCAST_LINES = 1_000_000
@@ -53,40 +53,41 @@ def boilerplate(pages: DataFrame, *, host: str = "source", text: str = "text", r
     return seen.join(totals, F.col("host").eqNullSafe(F.col("its"))).where(F.col("n") > F.lit(ratio) * (F.col("total") + F.lit(prior))).drop("its")
 
 
-def _cells(digests: DataFrame, key: str) -> DataFrame:
-    """(__key, __drop): the digests of a key as a map from their first byte."""
+def _cells(digests: DataFrame, key: str, named: str, drop: str) -> DataFrame:
+    """(``named``, ``drop``): the digests of a key as a map from their first byte."""
     cells = digests.groupBy(key, _cell(F.col("digest")).alias("cell")).agg(F.collect_set("digest").alias("part"))
-    return cells.groupBy(F.col(key).alias("__key")).agg(F.map_from_entries(F.collect_list(F.struct("cell", "part"))).alias("__drop"))
+    return cells.groupBy(F.col(key).alias(named)).agg(F.map_from_entries(F.collect_list(F.struct("cell", "part"))).alias(drop))
 
 
-def _by_row(pages: DataFrame, bad: DataFrame, host: str, text: str) -> DataFrame:
-    """``pages`` with the column __drop, by way of their own lines: rows of one host and text have one key."""
-    keyed = pages.withColumn("__row", F.xxhash64(host, F.col(host).isNull(), text))
-    lines = keyed.select("__row", F.col(host).alias("host"), F.explode(F.array_distinct(F.split(text, "\n", -1))).alias("line")).where(F.col("line").rlike(WORD))
-    own = lines.select("__row", "host", _digest(F.col("line")).alias("digest"), F.pmod("__row", F.lit(SALTS)).cast("int").alias("salt")).distinct()
+def _by_row(pages: DataFrame, bad: DataFrame, host: str, text: str, drop: str) -> DataFrame:
+    """``pages`` with the column ``drop``, by way of their own lines: rows of one host and text have one key."""
+    row, salt, key, turn = unused(pages, "__row", "__salt", "__key", "__turn")
+    keyed = pages.withColumn(row, F.xxhash64(host, F.col(host).isNull(), text))
+    lines = keyed.select(F.col(row).alias("row"), F.col(host).alias("host"), F.explode(F.array_distinct(F.split(text, "\n", -1))).alias("line")).where(F.col("line").rlike(WORD))
+    own = lines.select("row", "host", _digest(F.col("line")).alias("digest"), F.pmod("row", F.lit(SALTS)).cast("int").alias("salt")).distinct()
     salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
     salted = bad.select(F.col("host").alias("__host"), F.col("digest").alias("__digest"), salts.alias("__salt"))
     hits = own.join(salted, (F.col("digest") == F.col("__digest")) & (F.col("salt") == F.col("__salt")) & F.col("host").eqNullSafe(F.col("__host")))
-    lists = _cells(hits.select("__row", "digest"), "__row").withColumn("__turn", salts)
+    lists = _cells(hits.select("row", "digest"), "row", key, drop).withColumn(turn, salts)
     # Copies of one page share a key; any salt is right, as every salt has the list.
-    dealt = keyed.withColumn("__salt", F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int"))
-    return dealt.join(lists, (F.col("__row") == F.col("__key")) & (F.col("__salt") == F.col("__turn")), "left").drop("__row", "__salt", "__turn", "__key")
+    dealt = keyed.withColumn(salt, F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int"))
+    return dealt.join(lists, (F.col(row) == F.col(key)) & (F.col(salt) == F.col(turn)), "left").drop(row, salt, turn, key)
 
 
 def dedup_lines(pages: DataFrame, *, host: str = "source", text: str = "text", ratio: float = RATIO, prior: float = PRIOR, report: str | None = "lines_dropped") -> DataFrame:
     """All columns of ``pages``, the text without boilerplate lines, and their number in the column ``report``."""
     bad = written(boilerplate(pages, host=host, text=text, ratio=ratio, prior=prior).select("host", "digest"), few=True)
+    drop, left, key = unused(pages, "__drop", "__left", "__key")
     if bad.count() <= BROADCAST_LINES:
-        joined = pages.join(F.broadcast(_cells(bad, "host")), F.col(host).eqNullSafe(F.col("__key")), "left").drop("__key")
+        joined = pages.join(F.broadcast(_cells(bad, "host", key, drop)), F.col(host).eqNullSafe(F.col(key)), "left").drop(key)
     else:
-        joined = _by_row(pages, bad, host, text)
+        joined = _by_row(pages, bad, host, text, drop)
     split = F.split(text, "\n", -1)
-    kept = F.filter(split, lambda line: ~(_listed(F.col("__drop"), _digest(line)) & line.rlike(WORD)))
-    some = F.col("__drop").isNotNull() & F.col(text).isNotNull()
-    out = joined.withColumn("__kept", F.when(some, kept))
+    some = F.col(drop).isNotNull() & F.col(text).isNotNull()
+    out = joined.withColumn(left, F.when(some, F.filter(split, lambda line: ~(_listed(F.col(drop), _digest(line)) & line.rlike(WORD)))))
     if report:
-        out = out.withColumn(report, F.when(some, F.size(split) - F.size("__kept")).otherwise(0))
-    return out.withColumn(text, F.when(some, F.array_join("__kept", "\n")).otherwise(F.col(text))).drop("__drop", "__kept")
+        out = out.withColumn(report, F.when(some, F.size(split) - F.size(left)).otherwise(0))
+    return out.withColumn(text, F.when(some, F.array_join(left, "\n")).otherwise(F.col(text))).drop(drop, left)
 
 
 ORACLE = f"""

@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import column, utf8, written
+from .common import column, unused, utf8, written
 from .components import components
 
 SHINGLE, SEED, RADIUS = 3, 42, 3
@@ -246,10 +246,11 @@ def keep_one(docs: DataFrame, *, radius: int = RADIUS, most: int = MOST) -> Data
     nor loses one; of rows equal in all columns one stays.
     """
     row = F.md5(F.to_json(F.struct(*(F.md5(F.col("text").cast("binary")).alias(c) if c == "text" else F.col(c) for c in docs.columns))))
-    keyed = docs.withColumn("__row", row)
-    named = keyed.select(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("__row").alias("row")).alias("doc_id"), "text")
+    key = unused(docs, "__row")[0]
+    keyed = docs.withColumn(key, row)
+    named = keyed.select(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col(key).alias("row")).alias("doc_id"), "text")
     classes = written(near_duplicates(named, radius=radius, most=most), few=True)
-    kept = classes.where(F.col("doc_id") == F.col("component_id")).groupBy(F.col("doc_id.row").alias("__row")).agg(F.count("*").alias("n"))
-    once = keyed.join(kept.where("n = 1"), "__row", "left_semi")
-    again = keyed.join(kept.where("n > 1"), "__row", "left_semi").dropDuplicates(["__row"])
+    kept = classes.where(F.col("doc_id") == F.col("component_id")).groupBy(F.col("doc_id.row").alias(key)).agg(F.count("*").alias("n"))
+    once = keyed.join(kept.where("n = 1").select(key), key, "left_semi")
+    again = keyed.join(kept.where("n > 1").select(key), key, "left_semi").dropDuplicates([key])
     return once.unionAll(again).select(docs.columns)

@@ -146,3 +146,42 @@ def test_targets_of_many_sources(spark):
     want = mixing.targets(sizes)
     assert got.keys() == want.keys() and all(got[s] == pytest.approx(want[s], rel=1e-12) for s in want)
     assert mixing.goals(spark.createDataFrame([], "source string, s long")).count() == 0
+
+
+def test_pipeline_of_odd_rows(spark, tmp_path):
+    """Nulls, empty and long texts, repeats, clashing columns and an empty table, against the stages by hand."""
+    import corpus_pipeline
+
+    r = random.Random(31)
+    words = ["".join(r.choice("abcdefgh") for _ in range(r.randint(2, 8))) for _ in range(400)]
+    text = lambda n: " ".join(r.choice(words) for _ in range(n))
+    item, menu = text(30), "home about contact imprint"
+    clean = [(i, f"{text(60)}\n{menu}\n{text(20)}", "en", f"s{i % 3}", 1) for i in range(60)]
+    odd = [(None, None, "en", "s0", 0), (100, "", "en", None, 0), (101, text(8000), "en", "s1", 1), (None, text(50), None, "s2", 1), (None, text(50), "en", None, 1), clean[3], clean[4], clean[4]]
+    copy = [(200, clean[7][1], "en", "s1", 1), (7, text(70), "en", "s1", 1)]
+    dirty = [(300, f"{text(20)} {item} {text(10)}", "en", "s1", 1), (None, f"{item} {text(10)}", "en", "s0", 1)]
+    toxic = [(400 + i, f"{text(12)} scumbag moronic {text(9)}", "en", "s1", 1) for i in range(40)]
+    rows = [(*x, f"clash{i}", i, None, "w", 5) for i, x in enumerate(clean + odd + copy + dirty + toxic)]
+    rows[-1] = (*rows[-1][:5], "same", 1, None, "w", 5)
+    schema = SCHEMA + ", mix_taken string, size int, rid long, win string, __kept int"
+    spark.createDataFrame(rows, schema).write.parquet(str(tmp_path / "sf" / "documents.parquet"))
+    marks = [(i, 1, int(i >= 400)) for i in [*range(60), *range(400, 440)]]
+    spark.createDataFrame(marks, "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "sf" / "labels.parquet"))
+    spark.createDataFrame([(1, item), (None, text(40)), (2, None)], "item_id long, text string").write.parquet(str(tmp_path / "sf" / "benchmark.parquet"))
+    out = corpus_pipeline.run(spark, str(tmp_path / "sf"))
+    assert len(out.columns) == len(set(out.columns)) and set(out.columns) == {*[c.split()[0] for c in schema.split(", ")], "mix_copies"}
+    got = out.collect()
+    bare = lambda t: t.replace(f"\n{menu}\n", "\n")
+    want = {bare(t) for _, t, *_ in clean} | {odd[2][1], odd[3][1], odd[4][1], copy[1][1]}
+    # The mix may leave out or repeat whole documents; all that it takes came through the stages, once each.
+    assert len({x.text for x in got}) == len(got) and {x.text for x in got} <= want and len(got) > 0.8 * len(want)
+    kept = spark.createDataFrame(rows, schema)
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        kept = stage(spark, kept, str(tmp_path / "sf"))
+        kept.write.mode("overwrite").parquet(str(tmp_path / "x"))
+        kept = spark.createDataFrame(spark.read.parquet(str(tmp_path / "x")).collect(), schema)
+    assert Counter(x.text for x in kept.collect() if x.text) == Counter(want) and sum(not x.text for x in kept.collect()) == 1
+    none = tmp_path / "none"
+    for t in ("documents", "labels", "benchmark"):
+        spark.read.parquet(str(tmp_path / "sf" / f"{t}.parquet")).limit(0).write.parquet(str(none / f"{t}.parquet"))
+    assert corpus_pipeline.run(spark, str(none)).count() == 0
