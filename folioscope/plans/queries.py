@@ -571,7 +571,7 @@ def _corpus(spark, d) -> DataFrame:
 
 
 @query(r"""SELECT title, count(*) AS records FROM (
-  SELECT trim(regexp_replace(replace(lower(strip_accents(regexp_replace(string_split(text, chr(10))[1], '<[^>]+>', '', 'g'))), 'ß', 'ss'), '[^\pL\pN]+', ' ', 'g')) AS title FROM documents)
+  SELECT coalesce(trim(regexp_replace(replace(lower(strip_accents(regexp_replace(string_split(text, chr(10))[1], '<[^>]+>', '', 'g'))), 'ß', 'ss'), '[^\pL\pN]+', ' ', 'g')), '') AS title FROM documents)
 GROUP BY title""")
 def title_blocks(spark, d):
     titles = _corpus(spark, d).select(F.coalesce(text.normalized_title("title"), F.lit("")).alias("title"))

@@ -292,9 +292,9 @@ def test_normalisers_on_all_documents(spark, tmp_path):
     texts = ["Éva Ñandú-O’Neil", "A <b>Straße</b> &amp; Ünïon: 2", "a STRASSE union 2", "", None, "Ωmega"]
     docs = [(i, t, "en", "s", len(t or "")) for i, t in enumerate(texts)]
     spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
-    names = {r.doc_id: r.name for r in plans.QUERIES["person_names_all"](spark, str(tmp_path)).collect()}
+    names = {r.doc_id: r.name for r in plans.QUERIES["person_names"](spark, str(tmp_path)).collect()}
     assert names == {0: "eva nandu oneil", 1: "a bstraeb amp union", 2: "a strasse union", 3: "", 4: "", 5: "mega"}
-    blocks = {r.title: r.records for r in plans.QUERIES["title_blocks_all"](spark, str(tmp_path)).collect()}
+    blocks = {r.title: r.records for r in plans.QUERIES["title_blocks"](spark, str(tmp_path)).collect()}
     assert blocks == {"eva nandu o neil": 1, "a strasse union 2": 2, "": 2, "ωmega": 1}
 
 
