@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import decontaminate, licenses, line_dedup, lm_scoring, mixing, pii, quality, simhash, toxicity, url_filter
+from . import audit, decontaminate, lexical, licenses, line_dedup, lm_scoring, mixing, packing, pii, quality, simhash, toxicity, url_filter
 from .common import read_table
 
 
@@ -55,6 +55,18 @@ def op10_pii(spark, sf_dir):
     return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2("base_spans", 256).alias("base_sha256"), "spans", *(c for c in found.columns if c.startswith("added_")))
 
 
+def op11_ranked_search(spark, sf_dir):
+    return lexical.search(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark")).drop("tier")
+
+
+def op12_packing(spark, sf_dir):
+    return packing.pack(read_table(spark, sf_dir, "documents"), with_ids=False)
+
+
+def op13_filter_audit(spark, sf_dir):
+    return audit.interactions(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
 QUERIES = {
     "op1_brown_lm": op1_brown_lm,
     "op2_license_scan": op2_license_scan,
@@ -66,6 +78,9 @@ QUERIES = {
     "op8_mix_sources": op8_mix_sources,
     "op9_line_dedup": op9_line_dedup,
     "op10_pii": op10_pii,
+    "op11_ranked_search": op11_ranked_search,
+    "op12_packing": op12_packing,
+    "op13_filter_audit": op13_filter_audit,
 }
 
-ORACLES = {"op4_decontaminate": decontaminate.ORACLE, "op5_url_filter": url_filter.ORACLE, "op9_line_dedup": line_dedup.ORACLE}
+ORACLES = {"op4_decontaminate": decontaminate.ORACLE, "op5_url_filter": url_filter.ORACLE, "op9_line_dedup": line_dedup.ORACLE, "op11_ranked_search": lexical.ORACLE, "op13_filter_audit": audit.ORACLE}

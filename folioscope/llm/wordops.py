@@ -99,6 +99,20 @@ def tokenize(texts: list[bytes], word_bytes: np.ndarray) -> Words:
     return Words(data, starts, ends, doc, first, offsets)
 
 
+def same_bytes(data: np.ndarray, a: np.ndarray, b: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Whether the ``size`` bytes from place a are those from place b, eight at a time."""
+    padded = np.concatenate([data, np.zeros(8, dtype=np.uint8)])
+    eight = np.ndarray(len(data) + 1, dtype="<u8", buffer=padded, strides=(1,))
+    same, rest, step = np.ones(len(a), dtype=bool), np.flatnonzero(size > 0), 0
+    while len(rest):
+        left = np.minimum(size[rest] - step, 8)
+        differ = ((eight[a[rest] + step] ^ eight[b[rest] + step]) << ((8 - left) * 8).astype(np.uint64)) != 0
+        same[rest[differ]] = False
+        step += 8
+        rest = rest[~differ & (size[rest] > step)]
+    return same
+
+
 def grams(hashes: np.ndarray, k: int) -> np.ndarray:
     """Hash of the k words from each position; shorter than the input by k - 1."""
     n = len(hashes) - k + 1
