@@ -28,8 +28,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import CHUNK_BYTES, column, written
-from .wordops import SPACED, Words, byte_class, mix, same_bytes
+from .common import CHUNK_BYTES, buffer_of, column, written
+from .wordops import SPACED, Words, blank_cut, byte_class, mix, same_bytes, words_of
 
 FILTERS = "ABCDE"
 COPY = 1 << FILTERS.index("E")
@@ -48,20 +48,6 @@ class Limits:
     symbols: bytes = b"#$%&*|"
 
 
-def _split(data: np.ndarray, offsets: np.ndarray) -> Words:
-    """Words of neighbouring texts in one buffer: they end at blanks and at the texts' ends."""
-    inside = SPACED[data]
-    opens, closes = inside.copy(), inside.copy()
-    opens[1:] &= ~inside[:-1]
-    closes[:-1] &= ~inside[1:]
-    heads = offsets[:-1][np.diff(offsets) > 0]
-    opens[heads] = inside[heads]
-    closes[heads[1:] - 1] = inside[heads[1:] - 1]
-    starts, ends = np.flatnonzero(opens), np.flatnonzero(closes) + 1
-    first = np.searchsorted(starts, offsets)
-    return Words(data, starts, ends, np.repeat(np.arange(len(offsets) - 1), np.diff(first)), first, offsets)
-
-
 def _distinct(words: Words) -> np.ndarray:
     """Distinct words of each text, the bytes of equal hashes compared."""
     n = len(words.first) - 1
@@ -90,38 +76,20 @@ def measures(data: np.ndarray, offsets: np.ndarray, symbols: bytes = Limits.symb
         np.cumsum(flags, out=sums[1:])
         return sums[offsets[1:]] - sums[offsets[:-1]]
 
-    words = _split(data, offsets)
+    words = words_of(data, offsets)
     return np.stack([words.counts(), _distinct(words), total(CAPITALS[data]), total((data & 0xC0) != 0x80), total(byte_class(symbols)[data])], axis=1)
 
 
 def long_measures(data: np.ndarray, symbols: bytes = Limits.symbols, block: int = CHUNK_BYTES) -> np.ndarray:
     """``measures`` of one long text, in pieces cut at blanks."""
-    out, seen, at = np.zeros(5, dtype=np.int64), set(), 0
-    while at < len(data):
-        stop = at + block
-        while stop < len(data) and not len(blank := np.flatnonzero(~SPACED[data[stop : stop + block]])):
-            stop += block
-        stop = stop + int(blank[0]) if stop < len(data) else len(data)
-        piece = data[at:stop]
+    out, seen = np.zeros(5, dtype=np.int64), set()
+    for piece in blank_cut(data, block):
         out += measures(piece, np.array([0, len(piece)]), symbols)[0]
         seen.update(piece.tobytes().split())
-        at = stop
     out[1] = len(seen)
     return out
 
 
-def buffer_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """(bytes, offsets) of a string column as they lie in its Arrow buffers; a null text is empty."""
-    if isinstance(texts, pa.ChunkedArray):
-        texts = texts.combine_chunks()
-    if texts.null_count:
-        texts = texts.fill_null("")
-    _, places, data = texts.buffers()
-    wide = pa.types.is_large_string(texts.type) or pa.types.is_large_binary(texts.type)
-    offsets = np.frombuffer(places, dtype=np.int64 if wide else np.int32)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64) if len(texts) else np.zeros(1, dtype=np.int64)
-    return np.frombuffer(data, dtype=np.uint8) if data is not None and data.size else np.zeros(0, dtype=np.uint8), offsets
-
-
 def scan(texts: pa.Array, symbols: bytes = Limits.symbols) -> np.ndarray:
     """``measures`` of a column's texts, about ``CHUNK_BYTES`` at a time."""
     data, offsets = buffer_of(texts)

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..runtime import ship, written
 
-__all__ = ["CHUNK_BYTES", "chunks", "column", "fold", "labelled_sample", "read_table", "unused", "utf8", "written"]
+__all__ = ["CHUNK_BYTES", "buffer_of", "chunks", "column", "fold", "labelled_sample", "read_table", "unused", "utf8", "written"]
 
 #: Bytes of text that the vectorised kernels take at once; a longer single text is taken alone.
 CHUNK_BYTES = 1 << 19
@@ -75,6 +76,18 @@ def utf8(column: pa.Array) -> list[bytes]:
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
 
 
+def buffer_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(bytes, offsets) of a string or binary column as they lie in its Arrow buffers; a null text is empty."""
+    if isinstance(texts, pa.ChunkedArray):
+        texts = texts.combine_chunks()
+    if texts.null_count:
+        texts = texts.fill_null(b"" if pa.types.is_binary(texts.type) or pa.types.is_large_binary(texts.type) else "")
+    _, places, data = texts.buffers()
+    wide = pa.types.is_large_string(texts.type) or pa.types.is_large_binary(texts.type)
+    offsets = np.frombuffer(places, dtype=np.int64 if wide else np.int32)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64) if len(texts) else np.zeros(1, dtype=np.int64)
+    return np.frombuffer(data, dtype=np.uint8) if data is not None and data.size else np.zeros(0, dtype=np.uint8), offsets
+
+
 def chunks(texts: list[bytes], limit: int = CHUNK_BYTES):
     """(first, texts) runs of whole texts of about ``limit`` bytes together."""
     start, size = 0, 0

@@ -20,15 +20,15 @@ from __future__ import annotations
 import json
 import re
 import zlib
+from itertools import compress, repeat
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .audit import buffer_of
-from .common import chunks, column, utf8, written
-from .wordops import LOWER
+from .common import buffer_of, column, written
+from .wordops import LOWER, blank_cut, same_bytes, words_of
 
 SIZE, END = 2048, 1
 BUCKETS, DIMS, BITS = 256, 4, 11
@@ -36,8 +36,10 @@ BUCKETS, DIMS, BITS = 256, 4, 11
 TIE = 63 - DIMS * BITS
 #: Ids of a range, about, and rows of the sample that bounds the ranges: for each range, and in all.
 RANGE_IDS, SAMPLE_EACH, SAMPLE = 4_000_000, 200, 1_000_000
-#: Distinct words and pieces of words that an encoder keeps, each.
-KEPT = 300_000
+#: Bytes of texts whose words are told apart together.
+BUFFER_BYTES = 1 << 21
+#: Distinct pieces that an encoder keeps, and twice the words.
+KEPT = 700_000
 
 _RNG = np.random.default_rng(12)
 PROJECTION = _RNG.normal(size=(BUCKETS, DIMS))
@@ -45,8 +47,12 @@ _FOUR = np.uint32(0x9E3779B1)
 
 #: How the tokenizer of short cuts makes words of a text (its file states them).
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
-ASCII_PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+")
-ODD = re.compile(rb"[^\x21-\x7e]|<\|")
+
+#: Accented Latin letters that are one character each, have no other composed form, and keep their length in lower case; with ASCII the characters of plain words.
+LETTERS = "".join(map(chr, [*range(0xC0, 0xD7), *range(0xD8, 0xF7), *range(0xF8, 0x130), *range(0x131, 0x180)]))
+#: The tokenizer's rule on lower-case plain words, and what makes a word not plain: other characters, and beginnings of special tokens.
+CUT = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[a-z{LETTERS}]+|[0-9]|\n|[^a-z0-9{LETTERS}\n]+")
+ODD = re.compile(rf"[^\x21-\x7e{LETTERS}]|<\|")
 
 
 def vocabulary_file(name: str = "word_bpe_49k.json") -> str:
@@ -55,11 +61,44 @@ def vocabulary_file(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
+class Ragged:
+    """Lists of numbers end to end, appended in bulk and gathered by code."""
+
+    def __init__(self, kind):
+        self.flat, self.first, self.count = np.zeros(1 << 12, dtype=kind), np.zeros(1 << 12, dtype=np.int64), 0
+
+    def append(self, flat: np.ndarray, sizes: np.ndarray) -> None:
+        ends = self.first[self.count] + np.cumsum(sizes)
+        for name, need in (("flat", int(ends[-1]) if len(ends) else 0), ("first", self.count + len(sizes) + 1)):
+            have = getattr(self, name)
+            if need > len(have):
+                setattr(self, name, np.concatenate([have, np.zeros(max(len(have), need - len(have)), dtype=have.dtype)]))
+        if len(ends):
+            self.flat[self.first[self.count] : ends[-1]] = flat
+            self.first[self.count + 1 : self.count + 1 + len(sizes)] = ends
+            self.count += len(sizes)
+
+    def gather(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(the lists of the codes end to end, their sizes)."""
+        start = self.first[codes]
+        size = self.first[codes + 1] - start
+        upto = np.cumsum(size)
+        return self.flat[np.repeat(start - (upto - size), size) + np.arange(upto[-1] if len(upto) else 0)], size
+
+
+def _sums(values: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Sums of runs of ``values``."""
+    upto = np.concatenate([[0], np.cumsum(values)])
+    ends = np.cumsum(sizes)
+    return upto[ends] - upto[ends - sizes]
+
+
 class Encoder:
     """Token ids of texts, as the tokenizer's own ``encode(text, add_special_tokens=False)`` gives them.
 
-    Where the tokenizer drops blanks and never joins words across them, each distinct word is encoded once and kept, so a text costs a look-up a word;
-    plain words are cut into pieces first, which repeat more.  Any other tokenizer encodes whole texts.
+    Where the tokenizer drops blanks and never joins words across them, a text is a list of words, a plain word a list of pieces (as the
+    tokenizer's rule cuts them), and each distinct piece is encoded once and kept.  The words of a buffer are told apart by their hashes, confirmed by
+    their bytes, so each distinct one is looked up once.  Words with rare characters, and whole texts for any other tokenizer, go through the tokenizer as they are.
     """
 
     def __init__(self, path: str | None = None, kept: int = KEPT):
@@ -78,76 +117,142 @@ class Encoder:
             self.plain.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
             self.ends = np.zeros(self.tokenizer.get_vocab_size() + 1, dtype=bool)
             self.ends[[i for s, i in self.tokenizer.get_vocab().items() if s.endswith(suffix)]] = True
-        self._forget()
-
-    def _forget(self) -> None:
-        self.words: dict[bytes, int] = {}
-        self.pieces: dict[str, np.ndarray] = {}
-        self.flat, self.used = np.zeros(1 << 16, dtype=self.width), 0
-        self.first = np.zeros(self.kept + 1, dtype=np.int64)
+            # Letters as the model sees them: the signs that stand for their bytes.
+            signs = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+            self.signs = {ord(c): "".join(s for s, _ in signs.pre_tokenize_str(c)) for c in LETTERS}
+        self._forget(True)
+
+    def _forget(self, pieces: bool) -> None:
+        self.words: dict[bytes, int] = {}  # codes rise in the dictionary's order
+        self.parts, self.seen = Ragged(np.int64), np.zeros(1 << 12, dtype=np.int32)
+        if pieces:
+            self.pieces = {"\n": 0}  # what parts words in a run over many; no ids
+            self.ids = Ragged(self.width)
+            self.ids.append(np.zeros(0, dtype=self.width), np.zeros(1, dtype=np.int64))
 
     def _whole(self, texts: list[bytes]) -> list[np.ndarray]:
         out = self.tokenizer.encode_batch([t.decode("utf-8", "replace") for t in texts], add_special_tokens=False)
         return [np.array(e.ids, dtype=self.width) for e in out]
 
+    def _keep(self, keys: list[str], ids: np.ndarray, sizes: np.ndarray) -> None:
+        first = self.ids.count
+        self.ids.append(ids, sizes)
+        self.pieces.update(zip(keys, range(first, first + len(keys)), strict=True))
+
     def _learn_pieces(self, pieces: list[str]) -> None:
-        for at in range(0, len(pieces), 10_000):
-            some = pieces[at : at + 10_000]
-            ids = np.array(self.plain.encode(" ".join(some), add_special_tokens=False).ids, dtype=self.width)
+        for at in range(0, len(pieces), 20_000):
+            some = pieces[at : at + 20_000]
+            text = " ".join(some)
+            ids = np.array(self.plain.encode(text if text.isascii() else text.translate(self.signs), add_special_tokens=False).ids, dtype=self.width)
             stops = np.flatnonzero(self.ends[ids]) + 1
-            if len(stops) != len(some):  # a piece without an end of its own
-                self.pieces.update(zip(some, self._whole([p.encode() for p in some]), strict=True))
-                continue
-            start = 0
-            for piece, stop in zip(some, stops.tolist(), strict=True):
-                self.pieces[piece] = ids[start:stop]
-                start = stop
-
-    def _learn(self, words: list[bytes]) -> None:
-        odd = [w for w in words if ODD.search(w)]
-        found = dict(zip(odd, self._whole(odd), strict=True)) if odd else {}
-        cut = {w: ASCII_PIECES.findall(w.decode("ascii").lower()) for w in words if w not in found}
-        self._learn_pieces(list({p for parts in cut.values() for p in parts if p not in self.pieces}))
-        for w in words:
-            ids = found.get(w)
-            if ids is None:
-                parts = cut[w]
-                ids = self.pieces[parts[0]] if len(parts) == 1 else np.concatenate([self.pieces[p] for p in parts])
-            code = len(self.words)
-            if self.used + len(ids) > len(self.flat):
-                self.flat = np.concatenate([self.flat, np.zeros(max(len(self.flat), len(ids)), dtype=self.width)])
-            self.flat[self.used : self.used + len(ids)] = ids
-            self.used += len(ids)
-            self.words[w], self.first[code + 1] = code, self.used
+            if len(stops) == len(some):
+                self._keep(some, ids, np.diff(stops, prepend=0))
+            else:  # a piece without an end of its own
+                each = self._whole([p.encode() for p in some])
+                self._keep(some, np.concatenate(each), np.array([len(i) for i in each]))
+
+    def _learn(self, words: list[bytes]) -> np.ndarray:
+        """Codes of new words: their pieces are cut in one run over all of them."""
+        text = b"\n".join(words).decode("utf-8", "replace")
+        each = text.split("\n")
+        odd = np.array([ODD.search(t) is not None for t in each]) if ODD.search(text.replace("\n", "")) else np.zeros(len(words), dtype=bool)
+        plain = list(compress(each, (~odd).tolist()))
+        codes, first = np.zeros(len(words), dtype=np.int64), self.parts.count
+        if plain:
+            cut = CUT.findall("\n".join(plain).lower())
+            part = np.fromiter(map(self.pieces.get, cut, repeat(-1)), dtype=np.int64, count=len(cut))
+            if (part < 0).any():
+                self._learn_pieces(list(dict.fromkeys(compress(cut, (part < 0).tolist()))))
+                part = np.fromiter(map(self.pieces.__getitem__, cut), dtype=np.int64, count=len(cut))
+            breaks = np.concatenate([[-1], np.flatnonzero(part == 0), [len(part)]])
+            self.parts.append(part[part > 0], np.diff(breaks) - 1)
+        if odd.any():
+            rare = list(compress(each, odd.tolist()))
+            new = list(dict.fromkeys(t for t in rare if "\0" + t not in self.pieces))
+            if new:
+                ids = self._whole([t.encode() for t in new])
+                self._keep(["\0" + t for t in new], np.concatenate(ids), np.array([len(i) for i in ids]))
+            self.parts.append(np.array([self.pieces["\0" + t] for t in rare], dtype=np.int64), np.ones(len(rare), dtype=np.int64))
+        codes[~odd], codes[odd] = np.arange(first, first + len(plain)), np.arange(first + len(plain), first + len(words))
+        self.words.update(zip(compress(words, (~odd).tolist()), range(first, first + len(plain)), strict=True))
+        self.words.update(zip(compress(words, odd.tolist()), range(first + len(plain), first + len(words)), strict=True))
+        return codes
+
+    def _thin(self) -> None:
+        """Keep the words of more than one buffer; hardly any of the others come again."""
+        again = self.seen[: len(self.words)] > 1
+        if 2 * again.sum() > len(again):
+            self._forget(False)
+            return
+        words, (flat, sizes) = list(compress(self.words, again.tolist())), self.parts.gather(np.flatnonzero(again))
+        self._forget(False)
+        self.parts.append(flat, sizes)
+        self.words.update(zip(words, range(len(words)), strict=True))
+
+    def _codes(self, words: list[bytes]) -> np.ndarray:
+        """Codes of distinct words."""
         if len(self.pieces) > self.kept:
-            self.pieces = {}
-
-    def encode(self, texts: list[bytes], slice_words: int = 50_000) -> list[np.ndarray]:
-        """The ids of each text."""
+            self._forget(True)
+        elif len(self.words) > self.kept // 2:
+            self._thin()
+        codes = np.fromiter(map(self.words.get, words, repeat(-1)), dtype=np.int64, count=len(words))
+        lost = np.flatnonzero(codes < 0)
+        if len(lost):
+            codes[lost] = self._learn([words[i] for i in lost.tolist()])
+        if len(self.words) > len(self.seen):
+            self.seen = np.concatenate([self.seen, np.zeros(len(self.words), dtype=np.int32)])
+        self.seen[codes] += 1
+        return codes
+
+    def encode(self, data: np.ndarray, offsets: np.ndarray, buffer_bytes: int = BUFFER_BYTES) -> list[np.ndarray]:
+        """The ids of each text of a buffer (bytes, offsets)."""
         if not self.by_word:
-            return self._whole(texts)
-        split = [t.split() for t in texts]
-        counts = [len(w) for w in split]
-        words = [w for s in split for w in s] if len(split) > 1 else (split[0] if split else [])
-        ids, sizes = [], []
-        for at in range(0, len(words), slice_words):
-            some = words[at : at + slice_words]
-            new = list({w for w in some if w not in self.words})
-            if len(self.words) + len(new) > self.kept:
-                self._forget()
-                new = list(set(some))
-            if new:
-                self._learn(new)
-            codes = np.fromiter(map(self.words.__getitem__, some), dtype=np.int64, count=len(some))
-            start = self.first[codes]
-            size = self.first[codes + 1] - start
-            upto = np.cumsum(size)
-            ids.append(self.flat[np.repeat(start - (upto - size), size) + np.arange(upto[-1] if len(upto) else 0)])
-            sizes.append(size)
-        every = np.concatenate([np.zeros(0, dtype=self.width), *ids])
-        ends = np.concatenate([np.zeros(1, dtype=np.int64), np.cumsum(np.concatenate([np.zeros(0, dtype=np.int64), *sizes]))])
-        edges = ends[np.concatenate([[0], np.cumsum(counts)]).astype(np.int64)]
-        return [every[a:b] for a, b in zip(edges[:-1], edges[1:], strict=True)]
+            return self._whole([data[a:b].tobytes() for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)])
+        out: list[np.ndarray] = []
+        i = 0
+        while i < len(offsets) - 1:
+            j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + buffer_bytes, side="right")) - 1)
+            if offsets[j] - offsets[i] <= buffer_bytes:
+                out += self._encode(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
+            else:  # one long text
+                pieces = [self._encode(p, np.array([0, len(p)]))[0] for p in blank_cut(data[offsets[i] : offsets[j]], buffer_bytes)]
+                out.append(np.concatenate(pieces))
+            i = j
+        return out
+
+    def _encode(self, data: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
+        raw = data.tobytes()
+        if b"<|" not in raw:  # special tokens are case-sensitive, all else is not
+            data = LOWER[data]
+            raw = data.tobytes()
+        words = words_of(data, offsets)
+        if not len(words):
+            return [np.zeros(0, dtype=self.width)] * (len(offsets) - 1)
+        size = words.ends - words.starts
+        _, first, which = np.unique(words.hashes(), return_index=True, return_inverse=True)
+        like = first[which]
+        cut = lambda some: [raw[a:b] for a, b in zip(words.starts[some].tolist(), words.ends[some].tolist(), strict=True)]
+        if (size == size[like]).all() and same_bytes(data, words.starts, words.starts[like], size).all():
+            every = cut(first)
+        else:  # two words of one hash: told apart by their bytes alone
+            each = cut(np.arange(len(words)))
+            number = {w: k for k, w in enumerate(dict.fromkeys(each))}
+            which, every = np.array([number[w] for w in each]), list(number)
+        codes = self._codes(every)[which]
+        parts, per_word = self.parts.gather(codes)
+        ids, per_part = self.ids.gather(parts)
+        return np.split(ids, np.cumsum(_sums(_sums(per_part, per_word), words.counts()))[:-1])
+
+
+_encoders: dict[str | None, Encoder] = {}
+
+
+def encoder(path: str | None = None) -> Encoder:
+    """The encoder of this process: what it has learned serves all tasks of the process."""
+    if path not in _encoders:
+        _encoders.clear()
+        _encoders[path] = Encoder(path)
+    return _encoders[path]
 
 
 def projected(texts: pa.Array) -> np.ndarray:
@@ -157,7 +262,7 @@ def projected(texts: pa.Array) -> np.ndarray:
     i = 0
     while i < len(texts):
         j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + (1 << 19), side="right")) - 1)
-        counts = np.zeros((j - i) * BUCKETS + 1)
+        each = np.zeros((j - i, BUCKETS))
         bounds = offsets[i : j + 1] - offsets[i]
         for at in range(0, int(bounds[-1]), 1 << 20):  # more than one turn for a single long text only
             part = LOWER[data[offsets[i] + at : min(offsets[j], offsets[i] + at + (1 << 20) + 3)]]
@@ -165,13 +270,13 @@ def projected(texts: pa.Array) -> np.ndarray:
             if n <= 0:
                 continue
             grams = np.ndarray(n, dtype="<u4", buffer=part, strides=(1,))
-            bucket = ((grams * _FOUR) >> np.uint32(24)).astype(np.int64)
-            if j - i > 1:
-                bucket += np.repeat(np.arange(j - i), np.diff(bounds))[:n] * BUCKETS
-                across = (bounds[1:-1, None] - np.arange(1, 4)).ravel()
-                bucket[across[(across >= 0) & (across < n)]] = (j - i) * BUCKETS  # grams of two texts count for none
-            counts += np.bincount(bucket, minlength=(j - i) * BUCKETS + 1)
-        each = counts[:-1].reshape(j - i, BUCKETS)
+            bucket = ((grams * _FOUR) >> np.uint32(24)).astype(np.uint8)
+            if j - i == 1:
+                each[0] += np.bincount(bucket, minlength=BUCKETS)
+                continue
+            for k, (first, last) in enumerate(zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)):
+                if last - first > 3:  # grams of one text
+                    each[k] = np.bincount(bucket[first : last - 3], minlength=BUCKETS)
         out[i:j] = np.sqrt(each / np.maximum(each.sum(axis=1, keepdims=True), 1)) @ PROJECTION
         i = j
     return out
@@ -246,16 +351,14 @@ def ranges(docs: DataFrame, range_ids: int = RANGE_IDS) -> tuple[np.ndarray, np.
     return centre, spread, np.unique(place[order][np.minimum(at, len(order) - 1)])
 
 
-def laid(sizes: list[int], room: int, size: int = SIZE) -> list[tuple[int, int, int, int, int]]:
-    """(document, start, length, sequence, offset) pieces of documents laid end to end from ``room`` ids into sequence 0."""
-    out, at = [], room
-    for d, n in enumerate(sizes):
-        start = 0
-        while start < n:
-            take = min(n - start, size - at % size)
-            out.append((d, start, take, at // size, at % size))
-            start, at = start + take, at + take
-    return out
+def laid(starts: np.ndarray, total: int, room: int, size: int = SIZE) -> tuple[np.ndarray, ...]:
+    """(document, first id, id behind the last, sequence, offset) of the pieces of documents laid end to end, from ``room`` ids into sequence 0.
+
+    ``starts`` are the places of the documents' first ids among ``total``; a piece ends where its document or its sequence does.
+    """
+    cuts = np.unique(np.concatenate([starts, np.arange(size - room, total, size)]))
+    ends = np.append(cuts[1:], total)
+    return np.searchsorted(starts, cuts, side="right") - 1, cuts, ends, (room + cuts) // size, (room + cuts) % size
 
 
 def powers(n: int) -> list[int]:
@@ -274,61 +377,68 @@ def pack(docs: DataFrame, *, path: str | None = None, size: int = SIZE, end: int
     centre, spread, bounds = ranges(docs, range_ids)
 
     def encoded(batches):
-        coder = Encoder(path)
+        coder = encoder(path)
         for batch in batches:
             texts = column(batch, "text")
             place = _placed(curve_keys(projected(texts), centre, spread), column(batch, "tie").to_numpy())
             dealt = np.searchsorted(bounds, place, side="right").astype(np.int32)
-            for first, some in chunks(utf8(texts)):
-                ids = [np.append(i, coder.width(end)) for i in coder.encode(some)]
-                stop = first + len(some)
+            data, offsets = buffer_of(texts)
+            for first in range(0, len(texts), 500):
+                stop = min(first + 500, len(texts))
+                some = range(first, stop)
+                ids = [np.append(i, coder.width(end)) for i in coder.encode(data, offsets[first : stop + 1])]
                 yield pa.RecordBatch.from_arrays(
                     [column(batch, "doc_id").slice(first, len(some)), column(batch, "tie").slice(first, len(some)), pa.array(dealt[first:stop]), pa.array(place[first:stop]), pa.array([i.astype("<u4" if coder.width == np.uint32 else "<u2").tobytes() for i in ids], pa.binary()), pa.array([coder.width().itemsize] * len(some), pa.int32())],
                     ["doc_id", "tie", "range", "place", "ids", "wide"],
                 )
 
     def sequences(batches):
-        """Lays out a range; the last, open sequence is held back and cut anew at the end."""
-        room, number, open_ = 0, 0, []
-        base, out = None, []
+        """Lays out a range; pieces of the last, open sequence are held back and cut anew at the end."""
+        room, number, base, open_ = 0, 0, 0, None
 
-        def row(doc, ids, start, stop, at, offset):
-            piece = ids[start:stop].astype("<u4")
-            return doc, start, stop - start, zlib.crc32(piece.tobytes()), len(ids), (base << 40) | at, offset, piece if with_ids else None
+        def batch_of(docs, start, tokens, sequence, offset, pieces):
+            crcs = [zlib.crc32(x) for x in pieces]
+            numbers = [start, [len(x) for x in pieces], crcs, tokens, (base << 40) + np.asarray(sequence, dtype=np.int64), offset]
+            lists = [pa.array([x.astype(np.int64) for x in pieces], pa.list_(pa.int64()))] if with_ids else []
+            return pa.RecordBatch.from_arrays([docs, *(pa.array(n, pa.int64()) for n in numbers), *lists], names)
 
-        def batch_of(rows):
-            columns = list(zip(*rows, strict=True))[: 8 if with_ids else 7]
-            arrays = [pa.array(columns[0], types[0]), *(pa.array(c, pa.int64()) for c in columns[1:7]), *([pa.array([p.astype(np.int64) for p in columns[7]], pa.list_(pa.int64()))] if with_ids else [])]
-            return pa.RecordBatch.from_arrays(arrays, names)
-
-        types = [None]
         for batch in batches:
-            types[0] = column(batch, "doc_id").type
-            if base is None and len(batch):
+            if not len(batch):
+                continue
+            if not room and not number:
                 base = column(batch, "range")[0].as_py()  # ranges of one task are nobody else's
-            names_of = column(batch, "doc_id").to_pylist()
-            ids = [np.frombuffer(b, dtype="<u4" if w == 4 else "<u2") for b, w in zip(column(batch, "ids").to_pylist(), column(batch, "wide").to_pylist(), strict=True)]
-            for d, start, length, step, offset in laid([len(i) for i in ids], room, size):
-                open_.append((names_of[d], ids[d], start, start + length, number + step, offset))
-                if offset + length == size:
-                    out += [row(*p) for p in open_]
-                    open_ = []
-                if len(out) >= 2000:
-                    yield batch_of(out)
-                    out = []
-            total = room + sum(len(i) for i in ids)
+            raw, wide = column(batch, "ids"), "<u4" if column(batch, "wide")[0].as_py() == 4 else "<u2"
+            every, offsets = buffer_of(raw)
+            ids = every[offsets[0] : offsets[-1]].view(wide).astype("<u4")
+            starts = (offsets - offsets[0]) // np.dtype(wide).itemsize
+            doc, first, last, step, offset = laid(starts[:-1], len(ids), room, size)
+            tokens, sequence = np.diff(starts)[doc], number + step
+            total = room + len(ids)
+            whole = int(np.searchsorted(step, total // size))  # pieces of sequences that are full now
+            docs = column(batch, "doc_id").take(pa.array(doc))
+            pieces = [ids[a:b] for a, b in zip(first.tolist(), last.tolist(), strict=True)]
+            inside = first - starts[doc]
+            if open_ is not None and total >= size:
+                yield batch_of(*open_)
+                open_ = None
+            if whole:
+                yield batch_of(docs[:whole], inside[:whole], tokens[:whole], sequence[:whole], offset[:whole], pieces[:whole])
+            rest = [docs[whole:], inside[whole:], tokens[whole:], sequence[whole:], offset[whole:], [x.copy() for x in pieces[whole:]]]
+            open_ = rest if open_ is None else [pa.concat_arrays([open_[0], rest[0]]), *(np.concatenate([x, y]) for x, y in zip(open_[1:5], rest[1:5], strict=True)), open_[5] + rest[5]]
             number, room = number + total // size, total % size
-        at, left = number, powers(room)
-        offset = 0
-        for doc, ids, start, stop, _, _ in open_:
-            while start < stop:
-                take = min(stop - start, left[0] - offset)
-                out.append(row(doc, ids, start, start + take, at, offset))
-                start, offset = start + take, offset + take
-                if offset == left[0]:
-                    left, offset, at = left[1:], 0, at + 1
-        if out:
-            yield batch_of(out)
+        if open_ is None or not room:
+            return
+        out, left, used = [], powers(room), 0
+        for k, (start, tokens, piece) in enumerate(zip(open_[1].tolist(), open_[2].tolist(), open_[5], strict=True)):
+            at = 0
+            while at < len(piece):
+                take = min(len(piece) - at, left[0] - used)
+                out.append((k, start + at, tokens, number, used, piece[at : at + take]))
+                at, used = at + take, used + take
+                if used == left[0]:
+                    left, used, number = left[1:], 0, number + 1
+        k, start, tokens, sequence, offset, pieces = zip(*out, strict=True)
+        yield batch_of(open_[0].take(pa.array(k)), start, tokens, sequence, offset, pieces)
 
     names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"] + ["ids"] * with_ids
     coded = _with_tie(docs).mapInArrow(encoded, f"doc_id {kind}, tie long, range int, place long, ids binary, wide int")

@@ -99,6 +99,32 @@ def tokenize(texts: list[bytes], word_bytes: np.ndarray) -> Words:
     return Words(data, starts, ends, doc, first, offsets)
 
 
+def words_of(data: np.ndarray, offsets: np.ndarray) -> Words:
+    """Blank-separated words, case kept, of neighbouring texts in one buffer without separators: they end at blanks and at the texts' ends."""
+    inside = SPACED[data]
+    opens, closes = inside.copy(), inside.copy()
+    opens[1:] &= ~inside[:-1]
+    closes[:-1] &= ~inside[1:]
+    heads = offsets[:-1][np.diff(offsets) > 0]
+    opens[heads] = inside[heads]
+    closes[heads[1:] - 1] = inside[heads[1:] - 1]
+    starts, ends = np.flatnonzero(opens), np.flatnonzero(closes) + 1
+    first = np.searchsorted(starts, offsets)
+    return Words(data, starts, ends, np.repeat(np.arange(len(offsets) - 1), np.diff(first)), first, offsets)
+
+
+def blank_cut(data: np.ndarray, size: int):
+    """A long text in pieces of about ``size`` bytes that end at blanks."""
+    at = 0
+    while at < len(data):
+        stop = at + size
+        while stop < len(data) and not len(blank := np.flatnonzero(~SPACED[data[stop : stop + size]])):
+            stop += size
+        stop = stop + int(blank[0]) if stop < len(data) else len(data)
+        yield data[at:stop]
+        at = stop
+
+
 def same_bytes(data: np.ndarray, a: np.ndarray, b: np.ndarray, size: np.ndarray) -> np.ndarray:
     """Whether the ``size`` bytes from place a are those from place b, eight at a time."""
     padded = np.concatenate([data, np.zeros(8, dtype=np.uint8)])

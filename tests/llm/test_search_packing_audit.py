@@ -13,6 +13,7 @@ import pyarrow as pa
 import pytest
 
 from folioscope.llm import audit, lexical, packing, registry
+from folioscope.llm.common import buffer_of
 
 SF = "/root/testdata/sf0.001"
 SCHEMA = "doc_id long, text string, source string, rid long, part string, term string, tie string, digest int, rank int"
@@ -121,15 +122,22 @@ def tokenizer():
 @pytest.mark.parametrize("kept", [40, 300_000])
 def test_encoder_gives_the_tokenizers_ids(tokenizer, kept):
     r = random.Random(1)
-    parts = ["a", "B", "é", "É", "ß", "1", "²", "'s", "'LL", "n't", " ", " ", "̈", "\x1c", "\x00", "<|endoftext|>", "<|", "!", "...", "漢字", "😀", "İ", "Σ", "ς", "\n", " ", "-", "hello", "World"]
+    parts = ["a", "B", "é", "É", "ß", "1", "²", "'s", "'LL", "n't", " ", " ", "̈", "\x1c", "\x00", "<|endoftext|>", "<|ENDOFTEXT|>", "<|", "!", "...", "漢字", "😀", "İ", "Σ", "ς", "\n", " ", "-", "hello", "World", "ſ", "Ž", "ŉ", "×"]
     coder = packing.Encoder(kept=kept)
     assert coder.by_word
     for _ in range(150):
         texts = ["".join(r.choice(parts) for _ in range(r.randint(0, 40))) for _ in range(4)]
-        got = coder.encode([t.encode() for t in texts], slice_words=7)
+        got = coder.encode(*buffer_of(pa.array(texts)), r.choice([6, 60, 1 << 20]))
         assert [g.tolist() for g in got] == [tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
 
 
+def test_encoder_tells_words_of_one_hash_apart(tokenizer, monkeypatch):
+    monkeypatch.setattr(packing, "words_of", lambda *a, f=packing.words_of: (w := f(*a), setattr(w, "hashes", lambda: np.zeros(len(w), dtype=np.uint64)))[0])
+    texts = ["one two one three", "", "two four, one"]
+    got = packing.Encoder().encode(*buffer_of(pa.array(texts)))
+    assert [g.tolist() for g in got] == [tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+
+
 def test_encoder_of_another_tokenizer():
     import public_tokenizers
     from tokenizers import Tokenizer
@@ -137,7 +145,7 @@ def test_encoder_of_another_tokenizer():
     path = public_tokenizers.path("byte_bpe_50k.json")
     coder, plain = packing.Encoder(path), Tokenizer.from_file(path)
     assert not coder.by_word
-    assert [x.tolist() for x in coder.encode([b"one  two", b""])] == [plain.encode(t, add_special_tokens=False).ids for t in ("one  two", "")]
+    assert [x.tolist() for x in coder.encode(*buffer_of(pa.array(["one  two", ""])))] == [plain.encode(t, add_special_tokens=False).ids for t in ("one  two", "")]
 
 
 @pytest.mark.parametrize("dims, bits", [(2, 4), (3, 3), (4, 2)])
