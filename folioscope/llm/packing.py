@@ -37,7 +37,7 @@ TIE = 63 - DIMS * BITS
 #: Ids of a range, about, and rows of the sample that bounds the ranges: for each range, and in all.
 RANGE_IDS, SAMPLE_EACH, SAMPLE = 4_000_000, 200, 1_000_000
 #: Bytes of texts whose words are told apart together.
-BUFFER_BYTES = 1 << 21
+BUFFER_BYTES, BATCH = 1 << 22, 2000
 #: Distinct pieces that an encoder keeps, and twice the words.
 KEPT = 700_000
 
@@ -383,8 +383,8 @@ def pack(docs: DataFrame, *, path: str | None = None, size: int = SIZE, end: int
             place = _placed(curve_keys(projected(texts), centre, spread), column(batch, "tie").to_numpy())
             dealt = np.searchsorted(bounds, place, side="right").astype(np.int32)
             data, offsets = buffer_of(texts)
-            for first in range(0, len(texts), 500):
-                stop = min(first + 500, len(texts))
+            for first in range(0, len(texts), BATCH):
+                stop = min(first + BATCH, len(texts))
                 some = range(first, stop)
                 ids = [np.append(i, coder.width(end)) for i in coder.encode(data, offsets[first : stop + 1])]
                 yield pa.RecordBatch.from_arrays(

@@ -55,6 +55,37 @@ def facet_open_access(works: DataFrame, filters: dict | None) -> DataFrame:
     return works.where(facet(filters, "oa")).agg(F.count_if("is_oa").alias("count"), F.count("*").alias("total"))
 
 
+def facet_counts(works: DataFrame, filters: dict | None) -> DataFrame:
+    """(facet, value, count) of all facets in one pass: ``total``, ``topics``, ``type``, ``years``, and ``oa`` with the values total and open.
+
+    Each work says which filters it meets; it counts for a facet if it meets all but the facet's own.  One scan, one aggregate.
+    """
+    entry = lambda name, value: F.struct(F.lit(name).alias("facet"), value.cast("string").alias("value"))
+    none = F.array().cast("array<struct<facet: string, value: string>>")
+    given = lambda name, values: F.when(F.col(f"__{name}"), F.transform(values, lambda v: entry(name, v))).otherwise(none)
+    own = {"total": None, "topics": "topics", "type": "types", "years": "years", "oa": "oa"}
+    met = works.select("topics", F.col("type").alias("kind"), "publication_year", "is_oa", *(F.coalesce(facet(filters, exclude), F.lit(False)).alias(f"__{name}") for name, exclude in own.items()))
+    filled = lambda c: F.filter(c, lambda v: v.isNotNull() & (v != ""))
+    entries = F.concat(
+        given("total", F.array(F.lit("total"))), given("topics", filled(F.col("topics"))), given("type", filled(F.array("kind"))),
+        given("years", filled(F.array(F.col("publication_year").cast("string")))), given("oa", F.when(F.col("is_oa"), F.array(F.lit("total"), F.lit("open"))).otherwise(F.array(F.lit("total")))),
+    )
+    return met.select(F.explode(entries).alias("e")).groupBy("e.facet", "e.value").agg(F.count("*").alias("count"))
+
+
+def facets(works: DataFrame, filters: dict | None) -> dict:
+    """All facets of one researcher's works as a dictionary: the values of one small aggregate."""
+    found: dict[str, dict[str, int]] = {}
+    for r in facet_counts(works, filters).collect():  # a row for each value of one researcher's facets
+        found.setdefault(r["facet"], {})[r["value"]] = r["count"]
+    ranked = lambda name: [{"value": v, "count": n} for v, n in sorted(found.get(name, {}).items(), key=lambda x: (-x[1], x[0]))]
+    oa = found.get("oa", {})
+    return {
+        "total": found.get("total", {}).get("total", 0), "topics": ranked("topics"), "types": ranked("type"),
+        "years": [{"year": int(v), "count": n} for v, n in sorted(found.get("years", {}).items(), key=lambda x: int(x[0]))], "open_access": {"count": oa.get("open", 0), "total": oa.get("total", 0)},
+    }
+
+
 def facet_options(counts: DataFrame, selected: list[str], most: int) -> DataFrame:
     """Chosen values first, with 0 where absent, then the most frequent others, ``most`` rows in all."""
     spark = counts.sparkSession

@@ -2,21 +2,53 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..runtime import written
 
+#: Links that one task contracts by itself at most; more go by rounds over the cluster.
+GATHERED = 200_000
 
-def components(edges: DataFrame, *, most_rounds: int = 200) -> DataFrame:
+
+def _gathered(links: DataFrame) -> DataFrame:
+    """(node, root) of at most GATHERED links, in one task."""
+    kind = links.schema["u"].dataType.simpleString()
+
+    def run(batches):
+        above: dict = {}
+
+        def top(x):
+            while above[x] != x:
+                above[x] = above[above[x]]
+                x = above[x]
+            return x
+
+        for batch in batches:
+            for u, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                above.setdefault(u, u)
+                above.setdefault(v, v)
+                low, high = sorted((top(u), top(v)))
+                above[high] = low
+        nodes = list(above)
+        yield pa.RecordBatch.from_pydict({"node": pa.array(nodes, types[0]), "root": pa.array([top(n) for n in nodes], types[0])})
+
+    types = [links.limit(0).toArrow().schema.field("u").type]
+    return links.select("u", "v").coalesce(1).mapInArrow(run, f"node {kind}, root {kind}")
+
+
+def components(edges: DataFrame, *, most_rounds: int = 200, gathered: int = GATHERED) -> DataFrame:
     """(node, root): every node that has an edge (a, b), with the smallest node of its component.
 
     Each round contracts to stars: a node's larger neighbours are linked to its smallest neighbour, then its
     smaller ones.  Links are kept distinct, so their number does not grow; the number of rounds
     grows with the logarithm of the longest path.  Round results are written tables: a lost executor
-    costs a round at most.  ``most_rounds`` only guards against an endless loop: it is far above what 2^64 nodes take.
+    costs a round at most.  Up to ``gathered`` links are contracted in one task, without rounds.  ``most_rounds`` only guards against an endless loop: it is far above what 2^64 nodes take.
     """
     links = written(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), few=True)
+    if links.count() <= gathered:
+        return written(_gathered(links))
     for _ in range(most_rounds):
         # Stars: a node with a smaller neighbour has one only, and is nobody's smaller neighbour.
         ends = links.select(F.explode(F.array(F.struct(F.col("u").alias("n"), F.lit(1).alias("up")), F.struct(F.col("v").alias("n"), F.lit(0).alias("up")))).alias("e")).select("e.*")

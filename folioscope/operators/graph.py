@@ -12,6 +12,8 @@ from . import components as stars
 from . import authors, predicates
 from .works import authorship, collapse
 
+#: Rings of a component that are searched from its seed, and keys that are broadcast, at most.
+MOST_STEPS, BROADCAST_KEYS = 24, 500_000
 MAX_WORKS, MAX_PAIRS, MAX_MEMBERS, TOP_VALUES, PAIR_TOPICS = 200, 300, 300, 10, 3
 
 
@@ -73,9 +75,29 @@ def listed_works(own: DataFrame, years: DataFrame, seed: str, most: int = MAX_WO
     return focus_first(keys, F.array_contains("members", seed), [F.desc_nulls_last("year"), F.asc("work_key")], most)
 
 
-def members(people: DataFrame, seed: str) -> DataFrame:
-    """(orcid_id) of the seed's component; empty if the seed has no work."""
-    labels = components(people)
+def _near(people: DataFrame, some: DataFrame, key: str) -> DataFrame:
+    """The relation's rows on the given keys; up to BROADCAST_KEYS of them are looked up in place."""
+    return people.join(F.broadcast(some) if some.count() <= BROADCAST_KEYS else some, key, "left_semi")
+
+
+def members(people: DataFrame, seed: str, most_steps: int = MOST_STEPS) -> DataFrame:
+    """(orcid_id) of the seed's component; empty if the seed has no work.
+
+    Breadth-first from the seed: the works of the last ring, then their other researchers, until a ring is empty.  What is written and shuffled is
+    the component's, whatever the size of the graph, which is only scanned.  A component with more than ``most_steps`` rings, a long chain, is
+    found by labelling the graph instead, as rounds of that grow with the logarithm of a path only.
+    """
+    base = written(people.select("work_key", "orcid_id"))
+    known = ring = written(base.where(F.col("orcid_id") == seed).select("orcid_id").distinct())
+    if known.isEmpty():
+        return known
+    for _ in range(most_steps):
+        works = written(_near(base, ring, "orcid_id").select("work_key").distinct())
+        ring = written(_near(base, works, "work_key").select("orcid_id").distinct().join(known, "orcid_id", "left_anti"))
+        if ring.isEmpty():
+            return known
+        known = written(known.unionAll(ring))
+    labels = components(base)
     own = labels.where(F.col("orcid_id") == seed).select("component")
     return labels.join(F.broadcast(own), "component", "left_semi").select("orcid_id")
 

@@ -2,14 +2,21 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import base64
+import json
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text
 from ..functions.params import page_bounds
+from ..sources.tables import KeyedTable
 from . import predicates
 from .works import collapse
 
+#: Place of works without a year, behind all others.
+NO_YEAR = 1 << 30
+
 WORK_COLUMNS = ("doi", "title", "publication_year", "type", "journal_title", "contributors")
 
 
@@ -25,6 +32,44 @@ def works_page(records: DataFrame, page: int = 1, limit: int = 50, **filters) ->
     return rows.select("work_key", "doi", blank("title"), "publication_year", blank("type"), blank("journal_title"), F.filter("contributors", lambda n: n != "").alias("contributors"))
 
 
+def _token(value: tuple) -> str:
+    return base64.urlsafe_b64encode(json.dumps(value).encode()).decode()
+
+
+class Listing:
+    """Works in the order of ``works_page``, kept as a keyed table sorted by it, so that a page starts where the last one ended.
+
+    A cursor is the place of a page's last row, (year, key).  The next page asks for places behind it: that reaches the scan as a filter on the sort
+    column, so files and row groups of earlier rows are not read, and rows that come in before the cursor move nothing.
+    """
+
+    def __init__(self, spark: SparkSession, root: str, buckets: int = 8):
+        schema = "work_key string, doi string, title string, publication_year int, type string, journal_title string, contributors array<string>, place int"
+        self.table = KeyedTable(spark, root, schema, ["work_key"], layout=["place", "work_key"], buckets=buckets)
+
+    def put(self, records: DataFrame, **filters) -> int:
+        """Add works, or replace those of the same key; returns their number."""
+        rows = matching_works(records, **filters)
+        blank = lambda c: F.coalesce(c, F.lit("")).alias(c)
+        place = F.coalesce(-F.col("publication_year"), F.lit(NO_YEAR)).cast("int").alias("place")
+        placed = rows.select("work_key", "doi", blank("title"), F.col("publication_year").cast("int"), blank("type"), blank("journal_title"), F.filter("contributors", lambda n: n != "").alias("contributors"), place)
+        return self.table.put(placed) if self.table.versions() else self.table.replace(placed)
+
+    def after(self, cursor: str | None = None, limit: int = 50) -> DataFrame:
+        """The page behind the cursor; from the first row without one."""
+        rows = self.table.read()
+        if cursor:
+            place, key = json.loads(base64.urlsafe_b64decode(cursor.encode()))
+            rows = rows.where((F.col("place") >= place) & ((F.col("place") > place) | (F.col("work_key") > key)))
+        return rows.orderBy("place", "work_key").limit(page_bounds(1, limit)[1])
+
+    def page(self, cursor: str | None = None, limit: int = 50) -> tuple[DataFrame, str | None]:
+        """(rows, cursor of the next page); no cursor behind a short page."""
+        rows = self.after(cursor, limit)
+        ends = [(r.place, r.work_key) for r in rows.select("place", "work_key").collect()]  # a page is small
+        return rows.drop("place"), _token(ends[-1]) if len(ends) == page_bounds(1, limit)[1] else None
+
+
 def works_total(records: DataFrame, **filters) -> DataFrame:
     return records.where(predicates.works(**filters)).agg(F.count_distinct("work_key").alias("total"))
 

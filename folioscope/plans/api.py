@@ -56,15 +56,7 @@ class Api:
 
     def author_facets(self, ident: str, **filters) -> dict:
         self._known(ident)
-        chosen, mine = self._filters(**filters), authors.author_works(self.records, ident).cache()  # five counts of one small input
-        try:
-            return {
-                "total": mine.where(authors.facet(chosen)).count(),
-                "topics": _rows(authors.facet_values(mine, "topics", chosen)), "types": _rows(authors.facet_values(mine, "type", chosen)),
-                "years": _rows(authors.facet_years(mine, chosen)), "open_access": _rows(authors.facet_open_access(mine, chosen))[0],
-            }
-        finally:
-            mine.unpersist()
+        return authors.facets(authors.author_works(self.records, ident), self._filters(**filters))
 
     def publications_per_year(self, start_year: int = 1969, end_year: int | None = None) -> list[dict]:
         return _rows(stats.publications_per_year(self.records, start_year, end_year))

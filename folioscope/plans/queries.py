@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import uuid
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import params, text
-from ..operators import authors, graph, identity, predicates, prepare, search, stats
+from ..operators import authors, graph, identity, predicates, prepare, search, stats, textindex
 from ..operators.works import collapse
+from ..runtime import shared_dir
 from ..sources import adapters, registry
+from ..sources.identities import Identities
+from ..sources.tables import KeyedTable
 from .oracles import AUTHOR, COMPONENT, NETWORK, sql
 
 QUERIES: dict = {}
@@ -233,6 +238,14 @@ def author_facets_oa(spark, d):
     return authors.facet_open_access(_mine(spark, d), FILTERS | {"oa": True})
 
 
+@query(sql(f"""SELECT * FROM (SELECT 'total' AS facet, 'total' AS value, count(*) AS count FROM mine WHERE {IN_YEARS} AND {IN_TYPES} AND {IN_TOPICS}
+UNION ALL (SELECT 'topics', topic, count(*) FROM mine WHERE {IN_YEARS} AND {IN_TYPES} GROUP BY ALL) UNION ALL (SELECT 'type', type, count(*) FROM mine WHERE {IN_YEARS} AND {IN_TOPICS} GROUP BY ALL)
+UNION ALL (SELECT 'years', CAST(publication_year AS VARCHAR), count(*) FROM mine WHERE {IN_TYPES} AND {IN_TOPICS} GROUP BY ALL)
+UNION ALL SELECT 'oa', 'total', count(*) FROM mine WHERE {IN_YEARS} AND {IN_TYPES} AND {IN_TOPICS} UNION ALL SELECT 'oa', 'open', count(*) FROM mine WHERE is_oa AND {IN_YEARS} AND {IN_TYPES} AND {IN_TOPICS}) WHERE count > 0""", AUTHOR, ident=IDENT))
+def author_facets_one_pass(spark, d):
+    return authors.facet_counts(_mine(spark, d), FILTERS)
+
+
 @query(sql(f"""SELECT value, coalesce(n, 0) AS count, value IN ('SMALL', 'NONE') AS selected FROM (SELECT unnest(['SMALL', 'NONE']) AS value UNION
   (SELECT topic FROM mine WHERE topic <> 'SMALL' GROUP BY topic ORDER BY count(*) DESC, topic LIMIT 2)) LEFT JOIN (SELECT topic, count(*) AS n FROM mine GROUP BY topic) ON topic = value""", AUTHOR, ident=IDENT))
 def author_facet_options(spark, d):
@@ -645,6 +658,89 @@ def work_keys(spark, d):
     return identity.work_keys(_corpus(spark, d))
 
 
+def _signed_orders(spark, d, **columns) -> DataFrame:
+    """Orders as records of one owner; ``columns`` replace its owner, title, year, identifier or group."""
+    o = _order_records(spark, d, F.lit(""), F.lit(None).cast("string")).withColumnRenamed("record_id", "id").drop("title")
+    key = read(spark, d, "orders").select(F.col("o_orderkey").cast("string").alias("id"), F.col("o_orderkey").alias("n"), F.col("o_custkey").alias("c"), F.min("o_orderkey").over(Window.partitionBy("o_custkey")).alias("first"))
+    return o.join(key, "id").withColumns(columns).withColumnRenamed("id", "record_id").drop("n", "c", "first")
+
+
+@query("""SELECT CAST(o_orderkey AS VARCHAR) AS record_id, min('title:A' || o_orderkey || ':growth' || CASE WHEN o_orderkey % 2 = 1 THEN 's' ELSE '' END || ' of film ' || o_custkey || '|' || y) OVER (PARTITION BY o_custkey, side) AS work_key
+  FROM (SELECT o_orderkey, o_custkey, CASE WHEN o_custkey % 3 = 0 THEN o_orderkey % 2 ELSE 0 END AS side, 2000 + CASE WHEN o_custkey % 3 = 0 THEN 5 ELSE 1 END * (o_orderkey % 2) AS y FROM orders)""")
+def work_keys_by_group(spark, d):
+    """Rule 2: a customer's orders are a registry group of many owners; equal titles join, nearly equal ones if their years fit, which those of every third customer do not."""
+    n, c = F.col("n"), F.col("c")
+    return identity.work_keys(_signed_orders(
+        spark, d, orcid_id=F.concat(F.lit("A"), n), title=F.concat(F.lit("Growth"), F.when(n % 2 == 1, "s").otherwise(""), F.lit(" of film "), c), orcid_group=F.concat(F.lit("g"), c),
+        publication_year=(F.lit(2000) + F.when(c % 3 == 0, 5).otherwise(1) * (n % 2)).cast("int"),
+    ))
+
+
+@query("""SELECT CAST(o_orderkey AS VARCHAR) AS record_id, CASE WHEN o_orderkey = min(o_orderkey) OVER (PARTITION BY o_custkey) OR o_orderkey % 2 = 0 THEN 'doi:10.2/c' || o_custkey ELSE 'title:A:report ' || o_custkey || '|2010' END AS work_key FROM orders""")
+def work_keys_by_doi_year(spark, d):
+    """Rule 3: a customer's first order has a DOI; of the others with its title those of the next year join it, later ones are a work of their own."""
+    n, c, first = F.col("n"), F.col("c"), F.col("first")
+    return identity.work_keys(_signed_orders(
+        spark, d, title=F.concat(F.lit("Report "), c), doi=F.when(n == first, F.concat(F.lit("10.2/C"), c)), publication_year=F.when(n == first, 2000).when(n % 2 == 0, 2001).otherwise(2010).cast("int"),
+    ))
+
+
+@query("""WITH o AS (SELECT o_orderkey AS n, o_custkey AS c, CASE WHEN o_orderkey % 2 = 1 THEN NULL WHEN o_custkey % 2 = 1 AND o_orderkey % 4 = 0 THEN 2015 ELSE 2005 END AS y FROM orders),
+k AS (SELECT *, 'title:A:note ' || c || '|' || coalesce(CAST(y AS VARCHAR), '') AS own, min(y) OVER (PARTITION BY c) < max(y) OVER (PARTITION BY c) AS many, row_number() OVER (PARTITION BY c, y ORDER BY n) AS turn FROM o)
+SELECT CAST(n AS VARCHAR) AS record_id, CASE WHEN coalesce(many, false) THEN own || CASE WHEN y IS NULL AND turn > 1 THEN '#put:A:' || n ELSE '' END ELSE min(own) OVER (PARTITION BY c) END AS work_key FROM k""")
+def work_keys_undated(spark, d):
+    """Rule 3 and names: undated records of a title join the only run of years; beside two runs they stay apart, and all but the first mark the key they share."""
+    n, c = F.col("n"), F.col("c")
+    return identity.work_keys(_signed_orders(spark, d, title=F.concat(F.lit("Note "), c), publication_year=F.when(n % 2 == 1, None).when((c % 2 == 1) & (n % 4 == 0), 2015).otherwise(2005).cast("int")))
+
+
+@query("""SELECT CAST(o_orderkey AS VARCHAR) AS record_id, min('title:observations of the spectr' || CASE WHEN o_orderkey % 2 = 0 THEN 'u' ELSE 'o' END || 'm of sample ' || o_custkey || '|2000') OVER (PARTITION BY o_custkey) AS work_key FROM orders""")
+def work_keys_by_typo(spark, d):
+    """Rule 4: one letter apart, numbers equal."""
+    n, c = F.col("n"), F.col("c")
+    title = F.concat(F.lit("Observations of the spectr"), F.when(n % 2 == 0, "u").otherwise("o"), F.lit("m of sample "), c)
+    return identity.work_keys(_signed_orders(spark, d, title=title, publication_year=F.lit(2000)))
+
+
+@query("""SELECT CAST(o_orderkey AS VARCHAR) AS record_id, 'doi:10.2/c' || o_custkey AS work_key FROM orders""")
+def work_keys_in_batches(spark, d):
+    """The keys of ``work_keys_by_identifier`` from a store that got the orders in three batches."""
+    rows = _order_records(spark, d, F.lit(None).cast("string"), F.concat(F.lit("https://doi.org/10.2/C"), F.col("o_custkey").cast("string")))
+    store = Identities(spark, f"{shared_dir(spark)}/identities-{uuid.uuid4().hex}")
+    for k in range(3):
+        store.add(rows.where(F.pmod(F.xxhash64("record_id"), F.lit(3)) == k))
+    return store.keys()
+
+
+@query("""SELECT p_partkey, p_name, CASE WHEN p_partkey % 7 = 0 THEN -1 WHEN p_size % 10 = 0 THEN 2 * p_size ELSE p_size END AS p_size FROM part WHERE p_partkey % 11 <> 0
+UNION ALL SELECT -p_partkey, 'new', 0 FROM part WHERE p_partkey % 13 = 0""")
+def parts_after_changes(spark, d):
+    """A keyed table after a bulk update, an upsert, a deletion and an insert, read through its deltas."""
+    p = read(spark, d, "part").select("p_partkey", "p_name", "p_size")
+    t = KeyedTable(spark, f"{shared_dir(spark)}/parts-{uuid.uuid4().hex}", p.schema, ["p_partkey"])
+    t.insert_new(p)
+    t.update(p.select("p_partkey", F.when(F.col("p_size") % 10 == 0, 2 * F.col("p_size")).otherwise(F.col("p_size")).alias("p_size")))
+    t.put(p.where("p_partkey % 7 = 0").withColumn("p_size", F.lit(-1)))
+    t.delete(p.where("p_partkey % 11 = 0").select("p_partkey"))
+    t.insert_new(p.where("p_partkey % 13 = 0").select((-F.col("p_partkey")).alias("p_partkey"), F.lit("new").alias("p_name"), F.lit(0).alias("p_size")).unionByName(p.where("p_partkey % 11 <> 0")))
+    return t.read()
+
+
+@query(sql(PAGE_SQL, FILTERED, where="title ILIKE '%red%' AND title ILIKE '%bolt%'", rows="SELECT * FROM hits", limit=50, skip=0))
+def works_search_indexed(spark, d):
+    """``works_search_text`` through posting lists of trigrams."""
+    works, asked = records(spark, d), "RÉD bolt"
+    return _page(search.works_page(textindex.TextIndex.build(works).matching(works, asked), query=asked))
+
+
+@query(sql(PAGE_SQL, rows="SELECT * FROM collapsed", limit=50, skip=50))
+def works_pages_by_cursor(spark, d):
+    """The second page of a listing, behind the cursor of the first."""
+    listing = search.Listing(spark, f"{shared_dir(spark)}/listing-{uuid.uuid4().hex}")
+    listing.put(records(spark, d))
+    return _page(listing.page(listing.page()[1])[0])
+
+
 @query("""SELECT part.p_partkey AS id, p_name || ' ' || p_type || ' ' || split_part(p_name, ' ', 1) AS abstract FROM part""")
 def abstract_reconstruction(spark, d):
     p = read(spark, d, "part")

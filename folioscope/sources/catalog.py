@@ -1,18 +1,17 @@
-"""Table catalog: named Parquet tables under one root, with explicit schemas for the engine's own."""
+"""Table catalog: named keyed tables under one root, with explicit schemas for the engine's own."""
 
 from __future__ import annotations
 
-import re
-
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import schemas
-from ..operators.prepare import latest
-from ..runtime import written
+from .tables import KeyedTable
 
 TABLES = {"works": schemas.WORKS, "profiles": schemas.PROFILES, "works_metadata": schemas.METADATA, "metadata_queue": schemas.QUEUE, "partitions": schemas.PARTITIONS}
 KEYS = {"works": ["orcid_id", "put_code"], "profiles": ["orcid_id"], "works_metadata": ["doi", "source"], "metadata_queue": ["doi", "source"], "partitions": ["base_query", "prefix"]}
+#: Of several new rows of one key the last by these columns is taken.
+ORDER = {"works_metadata": ["harvested_at"], "works": ["harvested_at"]}
 
 
 #: Sort order of files, so that readers skip row groups by these columns.
@@ -20,82 +19,57 @@ LAYOUT = {"works": ["publication_year", "work_key"], "profiles": ["orcid_id"], "
 
 
 class Catalog:
-    """Tables under ``root``.  A full write makes a new version folder, an insert adds a part (``v3.1``) to it; readers take the newest complete version with its complete parts."""
+    """The engine's tables under ``root``; see ``tables`` for versions, deltas and writers side by side."""
 
-    def __init__(self, spark: SparkSession, root: str | None):
+    def __init__(self, spark: SparkSession, root: str | None, buckets: int = 16):
         if not root:
             raise ValueError("a catalog needs a root folder")
-        self.spark, self.root = spark, root.rstrip("/")
-
-    def _fs(self):
-        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.root)
-        return path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+        self.spark, self.root, self.buckets = spark, root.rstrip("/"), buckets
 
-    def _complete(self, name: str) -> list[tuple[int, int]]:
-        fs, path = self._fs()
-        folder = path(f"{self.root}/{name}")
-        if not fs.exists(folder):
-            return []
-        found = [re.fullmatch(r"v([0-9]+)(?:\.([0-9]+))?", s.getPath().getName()) for s in fs.listStatus(folder)]
-        return sorted((int(m[1]), int(m[2] or 0)) for m in found if m and fs.exists(path(f"{self.root}/{name}/{m[0]}/_SUCCESS")))
+    def table(self, name: str) -> KeyedTable:
+        return KeyedTable(self.spark, f"{self.root}/{name}", TABLES[name], KEYS[name], layout=LAYOUT.get(name), buckets=self.buckets)
 
     def versions(self, name: str) -> list[int]:
-        return sorted({v for v, part in self._complete(name) if not part})
-
-    def _folder(self, name: str, version: int, part: int = 0) -> str:
-        return f"{self.root}/{name}/v{version}" + (f".{part}" if part else "")
+        return self.table(name).versions()
 
     def read(self, name: str) -> DataFrame:
-        have = self._complete(name)
-        if have:
-            return self.spark.read.schema(self.spark.read.parquet(self._folder(name, have[-1][0])).schema).parquet(*(self._folder(name, v, p) for v, p in have if v == have[-1][0]))
-        return self.spark.createDataFrame([], TABLES[name])
-
-    def _put(self, rows: DataFrame, folder: str, name: str) -> None:
-        order = [c for c in LAYOUT.get(name, []) if c in rows.columns]
-        (rows.sortWithinPartitions(*order) if order else rows).write.parquet(folder)
+        return self.table(name).read()
 
     def write(self, name: str, rows: DataFrame) -> DataFrame:
-        have = self.versions(name)
-        self._put(rows, self._folder(name, have[-1] + 1 if have else 0), name)
+        """All rows anew."""
+        self.table(name).replace(rows)
         return self.read(name)
 
     def compact(self, name: str) -> DataFrame:
-        """Parts of many inserts as one new version."""
-        return self.write(name, self.read(name))
+        self.table(name).compact()
+        return self.read(name)
 
     def insert_new(self, name: str, rows: DataFrame) -> int:
-        """Append rows whose key is not there yet, once each; returns their number.  Only new rows are written.
-
-        Of several rows of one key that with the smallest hash of all its values stays, so that a repeated run takes the same.
-        """
-        old, keys = self.read(name), KEYS[name]
-        some = rows.select(old.columns)
-        turn = F.row_number().over(Window.partitionBy(*keys).orderBy(F.xxhash64(F.to_json(F.struct(*some.columns)))))
-        new = written(some.join(old.select(keys), keys, "left_anti").select(old.columns).withColumn("__turn", turn).where("__turn = 1").drop("__turn"))
-        n, have = new.count(), self._complete(name)
-        if not have:
-            self.write(name, new)
-        elif n:
-            self._put(new, self._folder(name, have[-1][0], have[-1][1] + 1), name)
-        return n
+        """Append rows whose key is not there yet, once each; returns their number.  Only new rows are written."""
+        return self.table(name).insert_new(rows, ORDER.get(name))
 
     def upsert(self, name: str, rows: DataFrame) -> DataFrame:
-        """Rows replace those of the same key; of several new ones the last harvested."""
-        old, keys = self.read(name), KEYS[name]
-        fresh = latest(rows.select(old.columns), keys, "harvested_at" if "harvested_at" in old.columns else keys[-1])
-        return self.write(name, old.join(fresh.select(keys), keys, "left_anti").select(old.columns).unionByName(fresh))
+        """Rows replace those of the same key; of several new ones the last harvested.  Only they are written."""
+        self.table(name).put(rows, ORDER.get(name))
+        return self.read(name)
+
+    def update(self, name: str, changes: DataFrame) -> int:
+        """Keys and new values of some columns: rows that differ are written; returns their number."""
+        return self.table(name).update(changes)
+
+    def delete(self, name: str, keys: DataFrame) -> int:
+        return self.table(name).delete(keys)
 
     def unharvested(self, limit: int | None = None) -> DataFrame:
         some = self.read("profiles").where("NOT harvested AND focal_author").orderBy("orcid_id")
         return some if limit is None else some.limit(limit)
 
     def mark_harvested(self, ids: DataFrame) -> DataFrame:
-        old = self.read("profiles")
-        done = ids.select(F.col("orcid_id").alias("__id"), F.lit(True).alias("__done")).distinct()
-        new = old.join(done, F.col("orcid_id") == F.col("__id"), "left").withColumn("harvested", F.col("harvested") | F.coalesce("__done", F.lit(False)))
-        return self.write("profiles", new.withColumn("works_harvested_at", F.when(F.col("__done"), F.current_timestamp()).otherwise(F.col("works_harvested_at"))).select(old.columns))
+        some = ids.select("orcid_id").distinct().withColumns({"harvested": F.lit(True), "works_harvested_at": F.current_timestamp()})
+        self.update("profiles", some)
+        return self.read("profiles")
 
     def reset_harvested(self) -> DataFrame:
-        old = self.read("profiles")
-        return self.write("profiles", old.withColumns({"harvested": F.lit(False), "works_harvested_at": F.lit(None).cast("timestamp"), "works_count": F.lit(None).cast("long")}).select(old.columns))
+        done = self.read("profiles").select("orcid_id").withColumns({"harvested": F.lit(False), "works_harvested_at": F.lit(None).cast("timestamp"), "works_count": F.lit(None).cast("long")})
+        self.update("profiles", done)
+        return self.read("profiles")

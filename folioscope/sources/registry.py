@@ -224,68 +224,151 @@ def batch_url(base: str, dois: list[str]) -> str:
     return f"{base}?filter=doi:{'|'.join(quote(d, safe='') for d in dois)}&per-page={len(dois)}"
 
 
+def _dealt(requests: DataFrame, rate: float | None) -> tuple[DataFrame, float]:
+    """(requests over the cluster's tasks, pause of each task between its calls), so that all tasks together keep to ``rate`` calls a second."""
+    tasks = requests.sparkSession.sparkContext.defaultParallelism
+    return requests.repartition(tasks), tasks / rate if rate else 0.0
+
+
 class Discovery:
-    """Breadth-first search of a registry by name prefixes, with its state in the catalog's ``partitions`` table."""
+    """Breadth-first search of a registry by name prefixes: the frontier is the catalog's ``partitions`` table, a depth is one job.
+
+    ``count(query)`` gives the number of results and ``fetch(query, start, rows)`` the text of one page; both run on executors.  ``save(pages)``
+    takes the (base_query, prefix, page, json) rows of a depth and stores them; it must be safe to repeat, as insert-if-absent is.
+
+    A depth takes one claim, one job for its answers, one save and one write of states and children, whatever its width.  What a
+    depth answered is stored before its states change, so a crash at any point leaves prefixes ``processing``, and ``resume`` asks those again.
+    A prefix whose answer fails stays ``processing`` too, and the others go on.
+    """
 
     KEYS = ["base_query", "prefix"]
 
-    def __init__(self, catalog, count: Callable[[Partition], int], save: Callable[[Partition], None], most: int = SPLIT):
-        self.catalog, self.count, self.save, self.most = catalog, count, save, most
+    def __init__(self, catalog, count: Callable[[str], int], fetch: Callable[[str, int, int], str], save: Callable[[DataFrame], object], most: int = SPLIT, rate: float | None = None):
+        self.catalog, self.count, self.fetch, self.save, self.most, self.rate = catalog, count, fetch, save, most, rate
 
-    def _add(self, partitions: list[Partition]) -> None:
-        rows = [(p.base, p.prefix, p.depth, "pending") for p in partitions]
+    def seed(self, base: str) -> None:
+        rows = [(base, c, 1, "pending") for c in string.ascii_lowercase]
         self.catalog.insert_new("partitions", self.catalog.spark.createDataFrame(rows, self.catalog.read("partitions").schema))
 
-    def seed(self, base: str) -> None:
-        self._add([Partition(base, c) for c in string.ascii_lowercase])
+    def resume(self) -> int:
+        """Prefixes left ``processing`` are pending again; returns their number."""
+        left = self.catalog.read("partitions").where("status = 'processing'")
+        return self.catalog.update("partitions", left.select(*self.KEYS, F.lit("pending").alias("status")))
+
+    def _answers(self, own: DataFrame) -> DataFrame:
+        """(base_query, prefix, depth, results, page, json, error): a row for each prefix, and one for each of its pages."""
+        count, fetch, most = self.count, self.fetch, self.most
+        dealt, pause = _dealt(own.select("base_query", "prefix", "depth"), self.rate)
+        columns = ["base_query", "prefix", "depth", "results", "page", "json", "error"]
+
+        def run(parts):
+            for part in parts:
+                for row in part.itertuples(index=False):
+                    p = Partition(row.base_query, row.prefix, int(row.depth))
+                    key, found = (p.base, p.prefix, p.depth), []
+                    try:
+                        n = int(count(p.query()))
+                        time.sleep(pause)
+                        for i, (start, size) in enumerate(pages(n) if n <= most else ()):
+                            found.append((*key, n, i, fetch(p.query(), start, size), None))
+                            time.sleep(pause)
+                        found.append((*key, n, None, None, None))
+                    except Exception as error:  # noqa: BLE001  one prefix that fails must not end the depth
+                        found = [(*key, None, None, None, f"{type(error).__name__}: {error}"[:500])]
+                    yield pd.DataFrame(found, columns=columns).astype({"results": "Int64", "page": "Int32"})
+
+        return dealt.mapInPandas(run, "base_query string, prefix string, depth int, results long, page int, json string, error string")
+
+    def step(self) -> int | None:
+        """One depth: the number of prefixes saved, or None if nothing is pending."""
+        pending = self.catalog.read("partitions").where("status = 'pending'")
+        depth = pending.agg(F.min("depth")).first()[0]
+        if depth is None:
+            return None
+        own = written(pending.where(F.col("depth") == depth))
+        self.catalog.update("partitions", own.select(*self.KEYS, F.lit("processing").alias("status")))
+        answers = written(self._answers(own))
+        self.save(answers.where("page IS NOT NULL").select("base_query", "prefix", "page", "json"))
+        ends = answers.where("page IS NULL AND error IS NULL")
+        done = ends.select("base_query", "prefix", "depth", F.lit("done").alias("status"))
+        letters = F.explode(F.array(*map(F.lit, string.ascii_lowercase)))
+        split = ends.where(F.col("results") > self.most).select("base_query", "prefix", "depth", letters.alias("c"))
+        children = split.select("base_query", F.concat("prefix", "c").alias("prefix"), (F.col("depth") + 1).alias("depth"), F.lit("pending").alias("status"))
+        # A child that is there already, from a run before a crash, keeps its state.
+        known = self.catalog.read("partitions").where(F.col("depth") == depth + 1)
+        self.catalog.upsert("partitions", done.unionAll(children.join(known, self.KEYS, "left_anti")))
+        return ends.where((F.col("results") > 0) & (F.col("results") <= self.most)).count()
 
     def run(self) -> int:
-        """Work until nothing is pending; returns how many partitions were saved.  A claimed one that fails stays ``processing``."""
+        """Depth by depth until nothing is pending; returns how many prefixes were saved."""
         saved = 0
-        while True:
-            own, queue = claim(self.catalog.read("partitions"), self.KEYS, ["depth"], 1)
-            row = own.first()
-            if row is None:
-                return saved
-            self.catalog.write("partitions", queue)
-            part = Partition(row.base_query, row.prefix, row.depth)
-            n = self.count(part)
-            if n > self.most:
-                self._add(part.split())
-            elif n:
-                self.save(part)
-                saved += 1
-            self.catalog.write("partitions", mark(self.catalog.read("partitions"), own, self.KEYS, "done"))
-
-
-def enrich(catalog, source: str, fetch: Callable[[list[str]], DataFrame], size: int = BATCH) -> dict:
-    """Claim batches until nothing is pending: results make their tasks done, absent ones failed; an answer that fails fails its batch.
-
-    ``fetch`` takes DOIs and returns (json) rows of results.
+        while (n := self.step()) is not None:
+            saved += n
+        return saved
+
+
+def _fetched_batches(own: DataFrame, fetch: Callable[[list[str]], list[str]], size: int, rate: float | None) -> DataFrame:
+    """(doi, json, error): a row for each result, and one for each DOI of a request that failed; requests of at most ``size`` DOIs, oldest first."""
+    pause = own.sparkSession.sparkContext.defaultParallelism / rate if rate else 0.0
+
+    def answered(dois: list[str]) -> pd.DataFrame:
+        try:
+            rows = [(None, text, None) for text in fetch(dois)]
+        except Exception as error:  # noqa: BLE001  a request that fails alone fails its own DOIs
+            rows = [(d, None, f"{type(error).__name__}: {error}"[:500]) for d in dois]
+        time.sleep(pause)
+        return pd.DataFrame(rows, columns=["doi", "json", "error"], dtype=object)
+
+    def run(parts):
+        rest: list[str] = []
+        for part in parts:
+            rest += part["doi"].tolist()
+            while len(rest) >= size:
+                yield answered(rest[:size])
+                rest = rest[size:]
+        if rest:
+            yield answered(rest)
+
+    return own.orderBy("created_at", "doi").select("doi").mapInPandas(run, "doi string, json string, error string")
+
+
+def enrich(catalog, source: str, fetch: Callable[[list[str]], list[str]], size: int = BATCH, most: int | None = None, rate: float | None = None) -> dict:
+    """Fetch metadata for all pending tasks of a source: results make their tasks done, absent ones failed; a request that fails fails its own tasks.
+
+    ``fetch`` takes DOIs and returns the texts of results; it runs on executors.  A round leases all pending tasks (``most`` of them, the
+    oldest, if given) by one write, asks in requests of ``size`` over the cluster, and stores metadata and outcomes by one write each: the number of writes
+    does not depend on that of tasks.  Metadata is stored before outcomes, so a crash leaves tasks ``processing``, which ``reopen`` gives back.
     """
     keys, done, failed = ["doi", "source"], 0, 0
     while True:
-        own, queue = claim(catalog.read("metadata_queue").where(F.col("source") == source), keys, ["created_at"], size)
-        dois = [r.doi for r in own.select("doi").collect()]  # at most ``size``
-        if not dois:
+        pending = catalog.read("metadata_queue").where((F.col("source") == source) & (F.col("status") == "pending"))
+        own = written(pending if most is None else pending.orderBy("created_at", "doi").limit(most))
+        n = own.count()
+        if not n:
             return {"done": done, "failed": failed}
-        others = catalog.read("metadata_queue").where(~F.col("source").eqNullSafe(F.lit(source)))
-        catalog.write("metadata_queue", others.unionByName(queue))
-        try:
-            rows = written(metadata(fetch(dois), source))
-            met = written(paired(own, rows))
-        except Exception:  # noqa: BLE001  the batch failed, the next one is tried
-            rows, met = None, own.select("doi", "source", F.lit("task").alias("side"))
-        if rows is not None:
-            catalog.upsert("works_metadata", rows.where("doi IS NOT NULL"))
-        good = own.join(met.where("side = 'both'").select(F.col("doi").alias("__d")), text.lookup_doi(F.col("doi")) == F.col("__d"), "left_semi")
-        n = good.count()
-        state = mark(catalog.read("metadata_queue"), good, keys, "done")
-        catalog.write("metadata_queue", mark(state, own.join(good.select("doi"), "doi", "left_anti"), keys, "failed", attempt=True))
-        done, failed = done + n, failed + len(dois) - n
-
-
-def enrich_new(catalog, works: DataFrame, source: str, fetch: Callable[[list[str]], DataFrame]) -> dict:
+        catalog.update("metadata_queue", own.select(*keys, F.lit("processing").alias("status")))
+        answers = written(_fetched_batches(own, fetch, size, rate))
+        rows = written(metadata(answers.where("json IS NOT NULL").select("json"), source).where("doi IS NOT NULL"))
+        catalog.upsert("works_metadata", rows)
+        met = rows.select(F.col("doi").alias("__d")).distinct()
+        # Whatever an answer held, the DOIs of a failed request are failed.
+        lost = answers.where("error IS NOT NULL").select(F.col("doi").alias("__l")).distinct()
+        judged = own.join(met, text.lookup_doi(F.col("doi")) == F.col("__d"), "left").join(lost, F.col("doi") == F.col("__l"), "left")
+        good = F.col("__d").isNotNull() & F.col("__l").isNull()
+        outcome = written(judged.select(*keys, F.when(good, "done").otherwise("failed").alias("status"), (F.col("attempts") + F.when(good, 0).otherwise(1)).alias("attempts")))
+        catalog.update("metadata_queue", outcome)
+        ok = outcome.where("status = 'done'").count()
+        done, failed = done + ok, failed + n - ok
+
+
+def reopen(catalog, source: str, failed: bool = False, most_attempts: int = 3) -> int:
+    """Tasks left ``processing``, and with ``failed`` those of fewer than ``most_attempts`` failures, are pending again; returns their number."""
+    back = (F.col("status") == "processing") | (F.lit(failed) & (F.col("status") == "failed") & (F.col("attempts") < most_attempts))
+    some = catalog.read("metadata_queue").where((F.col("source") == source) & back)
+    return catalog.update("metadata_queue", some.select("doi", "source", F.lit("pending").alias("status")))
+
+
+def enrich_new(catalog, works: DataFrame, source: str, fetch: Callable[[list[str]], list[str]]) -> dict:
     """Queue the DOIs of new works, then enrich; without a new one nothing is processed, even if older tasks are pending."""
     added = catalog.insert_new("metadata_queue", new_tasks(works, catalog.read("metadata_queue"), source))
     return {"queued": added} | (enrich(catalog, source, fetch) if added else {"done": 0, "failed": 0})
