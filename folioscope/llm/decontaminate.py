@@ -161,9 +161,9 @@ def candidates(docs: DataFrame, known: Filter, sizes: list[int], *, span: int =
     return docs.select(_rid().alias("rid"), "doc_id", "text").mapInArrow(run, f"rid long, doc_id {kind}, n_words long, pos long, win string")
 
 
-def _met(found: DataFrame, windows: DataFrame, sizes: DataFrame) -> DataFrame:
-    """Candidates whose words are a test window."""
-    if sizes.count() <= BROADCAST_WINDOWS:
+def _met(found: DataFrame, windows: DataFrame) -> DataFrame:
+    """Candidates whose words are a test window; ``windows`` are broadcast only if its own rows are few."""
+    if windows.count() <= BROADCAST_WINDOWS:
         return found.join(F.broadcast(windows), "win")
     salted = windows.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     return found.withColumn("salt", F.pmod(F.col("rid"), F.lit(SALTS)).cast("int")).join(salted, ["win", "salt"]).drop("salt")
@@ -175,9 +175,10 @@ def _scan(docs: DataFrame, benchmark: DataFrame, span: int, k: int) -> DataFrame
     sizes = sorted(r.size for r in windows.select(F.col("size").alias("size")).distinct().collect())  # at most ``span``
     found = written(candidates(docs, bloom(windows), sizes, span=span, k=k))
     distinct = written(windows.groupBy("win").agg(F.first("size").alias("size")), few=True)
-    met = written(_met(found.where("win IS NOT NULL").select("rid", "pos", "win"), distinct, distinct), few=True)
+    met = written(_met(found.where("win IS NOT NULL").select("rid", "pos", "win"), distinct), few=True)
     spans = met.groupBy("rid").agg(F.collect_set(F.struct("pos", "size")).alias("places"))
-    owners = _met(met.select("rid", "win").distinct(), windows.select("win", "item").distinct(), distinct)
+    # One window may be that of very many items.
+    owners = _met(met.select("rid", "win").distinct(), written(windows.select("win", "item").distinct(), few=True))
     items = owners.select("rid", F.struct("item").alias("item")).groupBy("rid").agg(F.collect_set("item").alias("items"))
     hits = spans.join(items, "rid")
     kind = docs.schema["doc_id"].dataType.simpleString()
