@@ -20,6 +20,8 @@ RAW_FILES = {"fs.file.impl": "org.apache.hadoop.fs.RawLocalFileSystem", "fs.file
 
 _shipped: set[str] = set()
 _written: list[tuple[SparkSession, str]] = []
+#: Called when written tables go: what refers to them must forget them.
+on_release: list = []
 
 
 def ship(spark: SparkSession) -> SparkSession:
@@ -72,6 +74,8 @@ def written(df: DataFrame, few: bool = False) -> DataFrame:
 
 def release() -> None:
     """Delete what ``written`` has left in the shared folder."""
+    for forget in on_release:
+        forget()
     while _written:
         spark, path = _written.pop()
         jvm = spark.sparkContext._jvm

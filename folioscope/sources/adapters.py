@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..runtime import ship, written
+from ..runtime import on_release, ship, written
 
 FOCAL_REGION = 1
 LINE = ("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate")
@@ -26,12 +26,23 @@ def profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-_works: dict[tuple[str, str], DataFrame] = {}
+_works: dict[tuple, DataFrame] = {}
+on_release.append(_works.clear)
+
+
+def _stamp(spark: SparkSession, sf_dir: str) -> tuple:
+    """Times and sizes of the files that works are made of."""
+    path, conf = spark.sparkContext._jvm.org.apache.hadoop.fs.Path, spark.sparkContext._jsc.hadoopConfiguration()
+    found = []
+    for name in ("lineitem", "orders", "part", "supplier", "nation"):
+        where = path(f"{sf_dir}/{name}.parquet")
+        found += [(name, s.getPath().getName(), s.getModificationTime(), s.getLen()) for s in where.getFileSystem(conf).listStatus(where)]
+    return tuple(sorted(found))
 
 
 def records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The works, written once for each application and folder: queries then read the columns and rows they need."""
-    key = (spark.sparkContext.applicationId, sf_dir)
+    """The works, written once for each application and state of the folder: queries then read the columns and rows they need."""
+    key = (spark.sparkContext.applicationId, sf_dir, _stamp(spark, sf_dir))
     if key not in _works:
         rows = _records(spark, sf_dir)
         _works[key] = written(rows.sortWithinPartitions("publication_year"))

@@ -263,6 +263,23 @@ def test_entry(spark):
     assert e.entry(spark).count() > 0 and set(e.oracle_sql()) <= set(e.queries())
 
 
+def test_works_after_release(spark, tmp_path):
+    import shutil
+
+    import pyarrow.parquet as pq
+
+    from folioscope import runtime
+    from folioscope.sources import adapters
+
+    for name in ("lineitem", "orders", "part", "supplier", "nation"):
+        shutil.copy(f"/root/testdata/sf0.001/{name}.parquet", tmp_path)
+    before = adapters.records(spark, str(tmp_path)).count()
+    runtime.release()
+    assert adapters.records(spark, str(tmp_path)).count() == before  # written anew
+    pq.write_table(pq.read_table(tmp_path / "lineitem.parquet").slice(0, 7), tmp_path / "lineitem.parquet")
+    assert adapters.records(spark, str(tmp_path)).count() == 7  # a changed folder is noticed
+
+
 @pytest.mark.parametrize("gathered", [0, 10**6])
 def test_components_by_rounds_and_in_one_task(spark, gathered):
     import random
