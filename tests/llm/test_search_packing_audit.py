@@ -70,7 +70,7 @@ def brute_search(rows, items, top=20):
 ITEMS = [(1, sentence(12, random.Random(1))), (2, "W1 w2 W3, w3"), (3, None), (4, ""), (5, "nowhere"), (6, sentence(60, random.Random(2))), (7, "x" * 700_000), (6, sentence(60, random.Random(2))), (None, "same a")]
 
 
-@pytest.mark.parametrize("least, share", [((64, 2048), (1 / 256, 1 / 16)), ((0, 0), (0, 0)), ((1, 3), (0, 0)), ((4, 20), (0.05, 0.4)), ((10**9, 10**9), (1, 1))])
+@pytest.mark.parametrize("least, share", [((64, 2048), (1 / 256, 1 / 16)), ((0, 0), (0, 0)), ((4, 20), (0.05, 0.4))])
 def test_search_equals_brute_force(spark, docs, least, share):
     items = spark.createDataFrame([(*i, "clash") for i in ITEMS], "item_id long, text string, turn string")
     got = sorted((tuple(r)[:4] for r in lexical.search(docs, items, least=least, share=share).collect()), key=repr)
