@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import params, text
 from ..operators import authors, graph, identity, predicates, prepare, search, stats, textindex
 from ..operators.works import collapse
-from ..runtime import shared_dir
+from ..runtime import shared_dir, written
 from ..sources import adapters, registry
 from ..sources.identities import Identities
 from ..sources.tables import KeyedTable
@@ -293,8 +293,10 @@ def author_observed_names(spark, d):
 # --- networks ---------------------------------------------------------------------------------------------
 
 
-def _network(spark, d) -> DataFrame:
-    return graph.network_records(records(spark, d), NET["start"], NET["end"], types=[NET["kind"]], subjects=[NET["topic"]])
+def _network(spark, d, *also) -> DataFrame:
+    """The network's records: who is on which work, and columns ``also``; written, as its relation is read several times."""
+    some = graph.network_records(records(spark, d), NET["start"], NET["end"], types=[NET["kind"]], subjects=[NET["topic"]])
+    return written(some.select("work_key", "orcid_id", "contributors", *also))
 
 
 def _people(spark, d) -> DataFrame:
@@ -334,27 +336,28 @@ def component_members(spark, d):
     return graph.members(_people(spark, d), IDENT)
 
 
-def _own(spark, d) -> DataFrame:
-    people = _people(spark, d)
+def _own(network: DataFrame) -> DataFrame:
+    people = graph.authorship(network)
     return people.join(graph.members(people, IDENT), "orcid_id", "left_semi").select("work_key", "orcid_id")
 
 
 @query(sql("""SELECT a.orcid_id AS source, b.orcid_id AS target, count(*) AS weight, min(year) AS first_year, max(year) AS last_year FROM common a JOIN common b
   ON a.work_key = b.work_key AND a.orcid_id < b.orcid_id LEFT JOIN years y ON a.work_key = y.work_key GROUP BY ALL""", NETWORK, COMPONENT, **NET))
 def component_pairs(spark, d):
-    return graph.pair_report(graph.shared(_own(spark, d)), graph.first_years(_network(spark, d)))
+    some = _network(spark, d, "put_code", "publication_year")
+    return graph.pair_report(graph.shared(_own(some)), graph.first_years(some))
 
 
 @query(sql("""SELECT orcid_id, count(*) AS works, count(*) FILTER (work_key IN (SELECT work_key FROM many)) AS shared_works,
   (SELECT count(*) FROM edges WHERE source = o.orcid_id OR target = o.orcid_id) AS collaborators FROM own o GROUP BY orcid_id""", NETWORK, COMPONENT, **NET))
 def component_member_activity(spark, d):
-    return graph.member_activity(_own(spark, d))
+    return graph.member_activity(_own(_network(spark, d)))
 
 
 @query(sql("""SELECT topic AS value, count(*) AS count FROM (SELECT DISTINCT work_key FROM common) JOIN (SELECT work_key, topic FROM works QUALIFY row_number() OVER (PARTITION BY work_key ORDER BY orcid_id, put_code) = 1) USING (work_key)
   GROUP BY topic ORDER BY count DESC, value LIMIT 10""", NETWORK, COMPONENT, **NET))
 def component_topics(spark, d):
-    return graph.group_values(records(spark, d), graph.shared(_own(spark, d)), "topics")
+    return graph.group_values(records(spark, d), graph.shared(_own(_network(spark, d))), "topics")
 
 
 SCOPE = ", scope AS (SELECT * FROM common UNION ALL SELECT * FROM own WHERE NOT EXISTS (SELECT 1 FROM common))"
@@ -364,7 +367,8 @@ SCOPE = ", scope AS (SELECT * FROM common UNION ALL SELECT * FROM own WHERE NOT
   SELECT s.work_key, any_value(year) AS year, string_agg(orcid_id, ';' ORDER BY orcid_id) AS members, bool_or(orcid_id = '{seed}') AS focus FROM scope s LEFT JOIN years y ON s.work_key = y.work_key GROUP BY s.work_key))
 WHERE focus OR r <= 200""", NETWORK, COMPONENT, SCOPE, **NET))
 def component_listed_works(spark, d):
-    listed = graph.listed_works(_own(spark, d), graph.first_years(_network(spark, d)), IDENT)
+    some = _network(spark, d, "put_code", "publication_year")
+    listed = graph.listed_works(_own(some), graph.first_years(some), IDENT)
     return listed.select("work_key", "year", F.array_join("members", ";").alias("members"))
 
 
@@ -372,7 +376,7 @@ def component_listed_works(spark, d):
   FROM (SELECT a.work_key, a.orcid_id AS source, b.orcid_id AS target FROM common a JOIN common b ON a.work_key = b.work_key AND a.orcid_id < b.orcid_id)
   JOIN (SELECT work_key, topic FROM works QUALIFY row_number() OVER (PARTITION BY work_key ORDER BY orcid_id, put_code) = 1) USING (work_key) GROUP BY source, target, topic) WHERE r <= 3 GROUP BY ALL""", NETWORK, COMPONENT, **NET))
 def component_pair_topics(spark, d):
-    common = graph.shared(_own(spark, d))
+    common = graph.shared(_own(_network(spark, d)))
     keyed = records(spark, d).join(common.select("work_key").distinct(), "work_key", "left_semi")
     return graph.pair_topics(common, collapse(keyed)).select("source", "target", F.array_join("topics", ";").alias("topics"))
 

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..runtime import on_release, ship, written
+from ..runtime import ship
 
 FOCAL_REGION = 1
 LINE = ("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate")
@@ -26,40 +26,29 @@ def profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-_works: dict[tuple, DataFrame] = {}
-on_release.append(_works.clear)
-
-
-def _stamp(spark: SparkSession, sf_dir: str) -> tuple:
-    """Times and sizes of the files that works are made of."""
-    path, conf = spark.sparkContext._jvm.org.apache.hadoop.fs.Path, spark.sparkContext._jsc.hadoopConfiguration()
-    found = []
-    for name in ("lineitem", "orders", "part", "supplier", "nation"):
-        where = path(f"{sf_dir}/{name}.parquet")
-        found += [(name, s.getPath().getName(), s.getModificationTime(), s.getLen()) for s in where.getFileSystem(conf).listStatus(where)]
-    return tuple(sorted(found))
+#: Suppliers that are broadcast at most.
+BROADCAST_PEOPLE = 500_000
 
 
 def records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The works, written once for each application and state of the folder: queries then read the columns and rows they need."""
-    key = (spark.sparkContext.applicationId, sf_dir, _stamp(spark, sf_dir))
-    if key not in _works:
-        rows = _records(spark, sf_dir)
-        _works[key] = written(rows.sortWithinPartitions("publication_year"))
-    return _works[key]
-
+    """The works as a plan, not a table: a query computes the columns that it reads and shuffles no others.
 
-def _records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    Line items are numbered by owner, meet their parts, and are dealt by order once, for its row and for windows over its people.  A part that is missing
+    takes its line item's record away, not the owner from the order's people.
+    """
     line, orders, part = (read(spark, sf_dir, t) for t in ("lineitem", "orders", "part"))
     s, n = read(spark, sf_dir, "supplier"), read(spark, sf_dir, "nation")
     people = s.join(n, s.s_nationkey == n.n_nationkey).select("s_suppkey", "s_name", "n_name", (F.col("n_regionkey") == FOCAL_REGION).alias("focal"))
-    linked = line.select("l_orderkey", "l_suppkey").distinct().join(people, F.col("l_suppkey") == F.col("s_suppkey"))
-    person = F.struct(F.col("s_name").alias("credit_name"), F.lower(F.regexp_replace("s_name", "#", " ")).alias("normalized_name"), F.col("s_suppkey").cast("string").alias("orcid_id"))
-    by_order = linked.groupBy(F.col("l_orderkey").alias("k")).agg(F.array_sort(F.collect_list(person)).alias("contributors"), F.bool_or("focal").alias("focal_work"))
+    if s.count() <= BROADCAST_PEOPLE:
+        people = F.broadcast(people)
     numbered = line.withColumn("put_code", F.row_number().over(Window.partitionBy("l_suppkey").orderBy(*LINE)).cast("long"))
+    person = F.struct(F.col("s_name").alias("credit_name"), F.lower(F.regexp_replace("s_name", "#", " ")).alias("normalized_name"), F.col("s_suppkey").cast("string").alias("orcid_id"))
+    of_order = Window.partitionBy("l_orderkey")
     full = (
-        numbered.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).join(part, F.col("l_partkey") == F.col("p_partkey"))
-        .join(people, F.col("l_suppkey") == F.col("s_suppkey")).join(by_order, F.col("l_orderkey") == F.col("k"))
+        numbered.select("l_orderkey", "l_partkey", "l_suppkey", "l_shipdate", "l_returnflag", "put_code")
+        .join(part, F.col("l_partkey") == F.col("p_partkey"), "left").join(orders, F.col("l_orderkey") == F.col("o_orderkey")).join(people, F.col("l_suppkey") == F.col("s_suppkey"))
+        .withColumn("contributors", F.array_sort(F.collect_set(person).over(of_order))).withColumn("focal_work", F.bool_or("focal").over(of_order))
+        .where("p_partkey IS NOT NULL")
     )
     key = F.col("l_orderkey").cast("string")
     return full.select(

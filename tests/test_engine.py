@@ -414,3 +414,36 @@ def test_links_and_times(spark):
     stamp = stats.with_computed_at(spark.range(1)).first().computed_at
     assert len(stamp) == 27 and stamp[10] == "T" and stamp.endswith("Z")
     assert stats.open_access_share(spark.createDataFrame([], "is_oa boolean")).first().percent == 0
+
+
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_works_compute_only_what_a_query_reads(spark):
+    from folioscope import runtime
+    from folioscope.plans.queries import QUERIES
+
+    runtime.release()
+    counted = _plan(QUERIES["publications_per_year"](spark, "/root/testdata/sf0.001"))
+    assert not runtime._written  # no table of all works
+    assert "row_number" not in counted and "collect_set" not in counted and "p_name" not in counted
+    assert "collect_set" not in _plan(QUERIES["work_type_counts"](spark, "/root/testdata/sf0.001"))
+
+
+def test_works_of_odd_tables(spark, tmp_path):
+    """A line item without a part is no record, but its owner is of the order; one without an order or owner counts for nothing; a repeated supplier is one person."""
+    from folioscope.sources import adapters
+
+    date = "timestamp '1997-01-02'"
+    line = lambda o, p, s, n: f"SELECT {o}L AS l_orderkey, {p}L AS l_partkey, {s}L AS l_suppkey, {n} AS l_linenumber, 1D AS l_quantity, 1D AS l_extendedprice, 0D AS l_discount, 0D AS l_tax, 'R' AS l_returnflag, 'O' AS l_linestatus, {date} AS l_shipdate"
+    lines = " UNION ALL ".join([line(1, 1, 1, 1), line(1, 9, 2, 2), line(1, 1, 8, 3), line(7, 1, 1, 1), line(2, 1, 1, 1), line(2, 1, 1, 1)])
+    tables = {
+        "lineitem": lines, "orders": "SELECT explode(array(1L, 2L)) AS o_orderkey, 'x' AS o_orderpriority", "part": "SELECT 1L AS p_partkey, 'a b' AS p_name, 'B#1' AS p_brand, 't' AS p_type",
+        "supplier": "SELECT * FROM VALUES (1L, 'S#1', 0), (2L, 'S#2', 1), (1L, 'S#1', 0) AS t(s_suppkey, s_name, s_nationkey)", "nation": "SELECT * FROM VALUES (0, 'N', 0), (1, 'M', 1) AS t(n_nationkey, n_name, n_regionkey)",
+    }
+    for name, sql in tables.items():
+        spark.sql(sql).write.parquet(f"{tmp_path}/{name}.parquet")
+    got = sorted((r.work_key, r.orcid_id, r.put_code, r.focal_work, r.author_count, [c.orcid_id for c in r.contributors]) for r in adapters.records(spark, str(tmp_path)).collect())
+    one, two = [("doi:1", "1", 1, True, 2, ["1", "2"])] * 2, [("doi:2", "1", k, False, 1, ["1"]) for k in (2, 2, 3, 3)]
+    assert got == one + two
