@@ -35,7 +35,7 @@ def query(oracle: str | None):
     return add
 
 
-records, profiles, read = adapters.records, adapters.profiles, adapters.read
+records, profiles, read = adapters.planned, adapters.profiles, adapters.read
 
 
 # --- statistics -------------------------------------------------------------------------------------------

@@ -444,6 +444,6 @@ def test_works_of_odd_tables(spark, tmp_path):
     }
     for name, sql in tables.items():
         spark.sql(sql).write.parquet(f"{tmp_path}/{name}.parquet")
-    got = sorted((r.work_key, r.orcid_id, r.put_code, r.focal_work, r.author_count, [c.orcid_id for c in r.contributors]) for r in adapters.records(spark, str(tmp_path)).collect())
+    got = sorted((r.work_key, r.orcid_id, r.put_code, r.focal_work, r.author_count, [c.orcid_id for c in r.contributors]) for r in adapters.planned(spark, str(tmp_path)).collect())
     one, two = [("doi:1", "1", 1, True, 2, ["1", "2"])] * 2, [("doi:2", "1", k, False, 1, ["1"]) for k in (2, 2, 3, 3)]
     assert got == one + two
