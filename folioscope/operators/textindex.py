@@ -1,8 +1,9 @@
-"""Free-text search by trigrams: posting lists of titles, names and DOIs, intersected, then verified.
+"""Free-text search by trigrams: posting lists of texts, intersected, then verified.
 
-A search term is found anywhere inside a text, so words cannot be looked up; but each text that has it has all its trigrams.  The index
-holds a row for each trigram of a record, in files sorted by trigram, so a query reads the row groups of its own trigrams only.  Of each term
-the rarest trigrams are read, records that have them all are candidates, and the search predicate itself decides about them.
+A search term is found anywhere inside a text, so words cannot be looked up; but each text that has it has all its trigrams.  Many records
+share a title, a name or a DOI, so the index has two levels: ``postings`` hold a row for each trigram of a distinct text, ``holders`` a row for each text of a
+record, both in files sorted by what is looked up.  Of each term the rarest trigrams are read; records that hold, for each term, a text with all of them are
+candidates, and the search predicate itself decides about them.  Texts are known by a hash, so two of one hash only make more candidates.
 
 Defined cases: terms of fewer than three characters restrict nothing, and without any longer one the records are scanned; null texts have no trigrams;
 records are known by owner and code, and all rows of a candidate are verified, so repeated ones stay; records that
@@ -26,6 +27,8 @@ SIZE, RAREST = 3, 4
 KEYS = ["orcid_id", "put_code"]
 #: Candidates that are broadcast at most.
 BROADCAST_ROWS = 200_000
+#: Texts that are given to the scan of the holders as a filter at most.
+LISTED_TEXTS = 1_000
 
 
 def grams(value: Column) -> Column:
@@ -38,12 +41,18 @@ def grams_of(term: str) -> list[str]:
     return sorted({term[i : i + SIZE] for i in range(len(term) - SIZE + 1)})
 
 
-def postings(records: DataFrame) -> DataFrame:
-    """(gram, orcid_id, put_code): the trigrams of all that a search looks at, once each."""
+def texts(records: DataFrame) -> DataFrame:
+    """(orcid_id, put_code, texts): all that a search looks at, each text of a record once."""
     none = F.array().cast("array<string>")
-    names = F.coalesce(F.transform("contributors", lambda c: F.coalesce(c["normalized_name"], F.lit(""))), none)
-    texts = F.concat(F.array(F.coalesce(plain_column(F.col("title")), F.lit("")), F.coalesce(plain_column(F.col("doi")), F.lit(""))), names)
-    return records.select(*KEYS, F.explode(F.array_distinct(F.flatten(F.transform(texts, grams)))).alias("gram")).distinct().select("gram", *KEYS)
+    names = F.coalesce(F.transform("contributors", lambda c: c["normalized_name"]), none)
+    every = F.concat(F.array(plain_column(F.col("title")), plain_column(F.col("doi"))), names)
+    return records.select(*KEYS, F.array_distinct(F.filter(every, lambda t: F.length(t) >= SIZE)).alias("texts"))
+
+
+def postings(held: DataFrame) -> DataFrame:
+    """(gram, text): the trigrams of each distinct text, once each."""
+    distinct = written(held.select(F.explode("texts").alias("t")).distinct(), few=True)  # else Spark moves the test for trigrams below, to every holder
+    return distinct.select(F.explode(grams(F.col("t"))).alias("gram"), F.xxhash64("t").alias("text"))
 
 
 def name_form(term: str) -> str:
@@ -51,20 +60,23 @@ def name_form(term: str) -> str:
 
 
 class TextIndex:
-    """Posting lists and their lengths in a folder; ``build`` writes them, a reader opens them."""
+    """Posting lists, their lengths and the texts' holders in a folder; ``build`` writes them, a reader opens them."""
 
     def __init__(self, spark, path: str):
-        self.postings, self.counts = spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/counts")
+        self.postings, self.counts, self.holders = (spark.read.parquet(f"{path}/{name}") for name in ("postings", "counts", "holders"))
         self.read = 0
 
     @classmethod
     def build(cls, records: DataFrame, path: str | None = None) -> TextIndex:
         spark = records.sparkSession
         path = path or f"{shared_dir(spark)}/textindex-{uuid.uuid4().hex}"
-        rows = written(postings(records))
-        # A frequent trigram spans several ranges, as its records are part of the order.
-        rows.repartitionByRange("gram", *KEYS).sortWithinPartitions("gram").write.mode("overwrite").option("parquet.block.size", 1 << 20).parquet(f"{path}/postings")
+        held = written(texts(records))
+        rows = written(postings(held), few=True)
+        # A frequent trigram or text spans several ranges, as what has it is part of the order.
+        rows.repartitionByRange("gram", "text").sortWithinPartitions("gram", "text").write.mode("overwrite").option("parquet.block.size", 1 << 20).parquet(f"{path}/postings")
         rows.groupBy("gram").agg(F.count("*").alias("n")).repartitionByRange("gram").sortWithinPartitions("gram").write.mode("overwrite").parquet(f"{path}/counts")
+        each = held.select(F.explode("texts").alias("t"), *KEYS).select(F.xxhash64("t").alias("text"), *KEYS)
+        each.repartitionByRange("text", *KEYS).sortWithinPartitions("text", *KEYS).write.mode("overwrite").option("parquet.block.size", 4 << 20).parquet(f"{path}/holders")
         return cls(spark, path)
 
     def candidates(self, query: str | None) -> DataFrame | None:
@@ -79,9 +91,16 @@ class TextIndex:
         picked = [[sorted(some, key=lambda g: (lengths.get(g, 0), g))[:RAREST] for some in own] for own in wanted]
         used = sorted({g for own in picked for some in own for g in some})
         self.read = sum(lengths.get(g, 0) for g in used)
-        have = self.postings.where(F.col("gram").isin(used)).groupBy(*KEYS).agg(F.collect_set("gram").alias("grams"))
+        have = self.postings.where(F.col("gram").isin(used)).groupBy("text").agg(F.collect_set("gram").alias("grams"))
         holds = lambda some: reduce(and_, [F.array_contains("grams", g) for g in some])
-        return have.where(reduce(and_, [reduce(or_, [holds(some) for some in own]) for own in picked])).select(*KEYS)
+        met = F.array_compact(F.array(*(F.when(reduce(or_, [holds(some) for some in own]), F.lit(k)) for k, own in enumerate(picked))))
+        found = written(have.select(F.col("text").alias("__text"), met.alias("met")).where("size(met) > 0"), few=True)
+        n = found.count()
+        holders = self.holders
+        if n <= LISTED_TEXTS:
+            holders = holders.where(F.col("text").isin([r[0] for r in found.select("__text").collect()]))  # row groups without them are not read
+        asked = holders.join(F.broadcast(found) if n <= BROADCAST_ROWS else found, F.col("text") == F.col("__text")).select(*KEYS, F.explode("met").alias("term"))
+        return asked.groupBy(*KEYS).agg(F.collect_set("term").alias("terms")).where(F.size("terms") == len(picked)).select(*KEYS)
 
     def matching(self, records: DataFrame, query: str | None) -> DataFrame:
         """The records that may meet the query, for the predicate to decide."""

@@ -146,3 +146,15 @@ def test_harvest_resumes_where_it_stopped(spark, tmp_path):
     got = {(r.key, r.page): json.loads(r.json)["items"] for r in make().pages.read().collect()}
     assert sorted(i for (k, _), v in got.items() if k == "a" for i in v) == list(range(25)) and len(got) == 5 + 2 + 3
     assert sum(len(v) for v in got.values()) == 25 + 7 + 12
+
+
+def test_index_holds_the_trigrams_of_a_text_once(spark):
+    """Records with the same texts add holders, not postings; a term's trigrams count within one text only, each term in any."""
+    one = [("A", 1, "red bolt", "10.1/abc", [("ana silva",)]), ("B", 1, "red bolt", "10.1/abc", [("ana silva",)]), (None, 2, "redbo olt", None, None)]
+    small, large = textindex.TextIndex.build(works(spark, one)), textindex.TextIndex.build(works(spark, one + [(f"C{i}", i, *one[0][2:]) for i in range(50)]))
+    assert small.postings.count() == large.postings.count()
+    assert large.holders.count() == small.holders.count() + 150
+    some = works(spark, one)
+    for asked, want in (("bolt", ["A", "B"]), ("silva red", ["A", "B"]), ("redbo", [None]), ("red", ["A", "B", None]), ("silva redbo", [])):
+        assert sorted((r.orcid_id for r in small.candidates(asked).collect()), key=str) == want, asked
+        assert sorted((r.orcid_id for r in small.search(some, asked).collect()), key=str) == want, asked
