@@ -10,6 +10,8 @@ from ..runtime import written
 
 #: Links that one task contracts by itself at most; more go by rounds over the cluster.
 GATHERED = 200_000
+#: Links of one task, about, where they go by rounds.
+TASK_LINKS = 500_000
 
 
 def _gathered(links: DataFrame) -> DataFrame:
@@ -45,22 +47,25 @@ def components(edges: DataFrame, *, most_rounds: int = 200, gathered: int = GATH
     smaller ones.  Links are kept distinct, so their number does not grow; the number of rounds
     grows with the logarithm of the longest path.  Round results are written tables: a lost executor
     costs a round at most.  Up to ``gathered`` links are contracted in one task, without rounds.  ``most_rounds`` only guards against an endless loop: it is far above what 2^64 nodes take.
+
+    Tasks grow in number with the links, so that none holds more than some TASK_LINKS of them.
     """
-    links = written(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), few=True)
-    if links.count() <= gathered:
-        return written(_gathered(links))
+    links = written(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
     for _ in range(most_rounds):
+        size = links.count()
+        if size <= gathered:
+            return written(_gathered(links))
+        tasks = max(links.sparkSession.sparkContext.defaultParallelism, -(-size // TASK_LINKS))
+        # Of each node with a smaller neighbour the smallest one.  It is written, so that the join below reads both sides anew and Spark can split what a hub draws to one task.
+        low = written(links.groupBy("u").agg(F.min("v").alias("m"))).select(F.col("u").alias("n"), "m")
         # Stars: a node with a smaller neighbour has one only, and is nobody's smaller neighbour.
-        ends = links.select(F.explode(F.array(F.struct(F.col("u").alias("n"), F.lit(1).alias("up")), F.struct(F.col("v").alias("n"), F.lit(0).alias("up")))).alias("e")).select("e.*")
-        if ends.groupBy("n").agg(F.sum("up").alias("ups"), F.min("up").alias("least")).where("ups > 1 OR (ups = 1 AND least = 0)").isEmpty():
+        if low.count() == size and links.join(low, F.col("v") == F.col("n"), "left_semi").isEmpty():
             roots = links.select(F.col("v").alias("node")).distinct().select("node", F.col("node").alias("root"))
             return links.select(F.col("u").alias("node"), F.col("v").alias("root")).unionAll(roots)
-        # Large star: for each node, neighbours above it go to the smallest of its neighbourhood.
-        both = links.select("u", "v").unionAll(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        # Large star: for each node, neighbours above it go to the smallest of its neighbourhood, which is the node itself if it has none below.
+        large = links.join(low, F.col("v") == F.col("n"), "left").select("u", F.coalesce("m", "v").alias("v")).repartition(tasks, "u").distinct()
         # Small star: for each node, its smaller neighbours and itself go to the smallest of them.
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e")).select("e.*")
-        links = written(small.where("u <> v").distinct(), few=True)
+        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = large.join(least, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e")).select("e.*")
+        links = written(small.where("u <> v").repartition(tasks, "u").distinct())
     raise RuntimeError("components did not settle")

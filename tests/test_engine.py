@@ -297,6 +297,37 @@ def test_components_by_rounds_and_in_one_task(spark, gathered):
     assert components.components(spark.createDataFrame([], "a long, b long"), gathered=gathered).count() == 0
 
 
+def test_rounds_of_components_take_more_tasks_for_more_links(spark, monkeypatch):
+    """A round's table is not gathered into a fixed number of tasks, each of which would grow with the links."""
+    from folioscope.operators import components
+    from folioscope.runtime import written
+
+    seen = []
+
+    def noted(df, few=False):
+        if df.columns == ["u", "v"]:
+            seen.append((few, df.rdd.getNumPartitions()))
+        return written(df, few)
+
+    monkeypatch.setattr(components, "written", noted)
+    monkeypatch.setattr(components, "TASK_LINKS", 100)
+    links = spark.range(4000).select(F.col("id").alias("a"), (F.col("id") - F.col("id") % 40 + (F.col("id") * 7 + 3) % 40).alias("b"))
+    got = {(r.node, r.root) for r in components.components(links, gathered=0).collect()}
+    parent = {}
+
+    def top(x):
+        while parent.setdefault(x, x) != x:
+            x = parent[x]
+        return x
+
+    for i in range(4000):
+        a, b = sorted((top(i), top(i - i % 40 + (i * 7 + 3) % 40)))
+        parent[b] = a
+    alone = {i for i in range(4000) if (i * 7 + 3) % 40 == i % 40 and not any((j * 7 + 3) % 40 == i % 40 for j in range(40) if j != i % 40)}
+    assert got == {(i, top(i)) for i in range(4000) if i not in alone}
+    assert len(seen) > 1 and not any(few for few, _ in seen) and all(n >= 30 for _, n in seen[1:])
+
+
 def test_components_of_whole_relation(spark, tmp_path):
     from folioscope.plans import queries as plans
 
