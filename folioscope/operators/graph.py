@@ -37,8 +37,10 @@ def work_pairs(people: DataFrame) -> DataFrame:
     return a.join(b, "work_key").where("source < target")
 
 
-def edges(people: DataFrame) -> DataFrame:
-    return work_pairs(people).groupBy("source", "target").agg(F.count("*").alias("weight"))
+def edges(people: DataFrame, tasks: int | None = None) -> DataFrame:
+    """(source, target, weight).  With ``tasks`` the pairs are dealt over so many tasks: a pair seldom meets itself before, so little is summed earlier."""
+    pairs = work_pairs(people)
+    return (pairs.repartition(tasks, "source", "target") if tasks else pairs).groupBy("source", "target").agg(F.count("*").alias("weight"))
 
 
 def solo(node_table: DataFrame, edge_table: DataFrame) -> DataFrame:

@@ -55,10 +55,15 @@ def collapse(records: DataFrame, *, own_key: bool = False, journal: str = "max",
     )
 
 
-def authorship(records: DataFrame) -> DataFrame:
-    """Distinct (work_key, orcid_id): owners and linked contributors of keyed works."""
+def authorship(records: DataFrame, tasks: int | None = None) -> DataFrame:
+    """Distinct (work_key, orcid_id): owners and linked contributors of keyed works.
+
+    With ``tasks`` the records are dealt by work over so many tasks; what is then done by work needs no other deal.
+    """
     people = F.array_union(F.array("orcid_id"), F.coalesce(F.transform("contributors", lambda c: c["orcid_id"]), F.array().cast("array<string>")))
-    return records.where("work_key IS NOT NULL").select("work_key", F.explode(people).alias("orcid_id")).where("orcid_id IS NOT NULL AND orcid_id <> ''").distinct()
+    each = records.where("work_key IS NOT NULL").select("work_key", people.alias("people"))
+    each = each.repartition(tasks, "work_key") if tasks else each
+    return each.select("work_key", F.explode("people").alias("orcid_id")).where("orcid_id IS NOT NULL AND orcid_id <> ''").distinct()
 
 
 def linked_to(ident: str) -> Column:

@@ -328,7 +328,8 @@ def network_solo_authors(spark, d):
 
 @query(sql("SELECT source, target, count(*) AS weight FROM (SELECT a.id AS source, b.id AS target FROM linked a JOIN linked b ON a.k = b.k AND a.id < b.id WHERE a.k IN (SELECT k FROM fw)) GROUP BY ALL"))
 def network_edges_all(spark, d):
-    return graph.edges(graph.authorship(records(spark, d).where(predicates.works())))
+    n = adapters.dealt(spark, d)
+    return graph.edges(graph.authorship(records(spark, d).where(predicates.works()), n), n)
 
 
 @query(sql("SELECT id AS orcid_id FROM reach", NETWORK, COMPONENT, **NET))

@@ -18,6 +18,9 @@ ARROW_BYTES = "4m"
 #: with a process; passing tables do without both.  Other stores do not read these settings.
 RAW_FILES = {"fs.file.impl": "org.apache.hadoop.fs.RawLocalFileSystem", "fs.file.impl.disable.cache": "true"}
 
+#: Rows that one task sorts or groups, about, where a query gives its shuffles a number of tasks itself.
+TASK_ROWS = 250_000
+
 _shipped: set[str] = set()
 _written: list[tuple[SparkSession, str]] = []
 #: Called when written tables go: what refers to them must forget them.
@@ -54,6 +57,13 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
+def tasks(spark: SparkSession, rows: int) -> int:
+    """How many tasks so many rows are dealt over: a task's share, and so its memory, does not grow with the input, whatever the application's
+    number of shuffle partitions is, and however large adaptive execution makes them.
+    """
+    return max(spark.sparkContext.defaultParallelism, -(-rows // TASK_ROWS))
+
+
 def written(df: DataFrame, few: bool = False) -> DataFrame:
     """Cut the lineage: write ``df`` to the shared folder and read it back.
 

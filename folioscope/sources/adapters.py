@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..runtime import on_release, ship, written
+from ..runtime import on_release, ship, tasks, written
 
 FOCAL_REGION = 1
 LINE = ("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate")
@@ -26,8 +26,8 @@ def profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-#: Suppliers that are broadcast at most.
-BROADCAST_PEOPLE = 500_000
+#: Suppliers and parts that are broadcast at most.
+BROADCAST_PEOPLE, BROADCAST_PARTS = 500_000, 200_000
 
 
 _works: dict[tuple, DataFrame] = {}
@@ -53,23 +53,33 @@ def records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _works[key]
 
 
+def dealt(spark: SparkSession, sf_dir: str) -> int:
+    """Tasks that the line items are dealt over."""
+    return tasks(spark, read(spark, sf_dir, "lineitem").count())
+
+
 def planned(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The works as a plan, not a table: a query computes the columns that it reads and shuffles no others.
 
     Line items are numbered by owner, meet their parts, and are dealt by order once, for its row and for windows over its people.  A part that is missing
-    takes its line item's record away, not the owner from the order's people.
+    takes its line item's record away, not the owner from the order's people.  Each deal is over ``dealt`` tasks, so that none grows with the tables.
     """
     line, orders, part = (read(spark, sf_dir, t) for t in ("lineitem", "orders", "part"))
-    s, n = read(spark, sf_dir, "supplier"), read(spark, sf_dir, "nation")
-    people = s.join(n, s.s_nationkey == n.n_nationkey).select("s_suppkey", "s_name", "n_name", (F.col("n_regionkey") == FOCAL_REGION).alias("focal"))
+    s, nation = read(spark, sf_dir, "supplier"), read(spark, sf_dir, "nation")
+    people = s.join(nation, s.s_nationkey == nation.n_nationkey).select("s_suppkey", "s_name", "n_name", (F.col("n_regionkey") == FOCAL_REGION).alias("focal"))
     if s.count() <= BROADCAST_PEOPLE:
         people = F.broadcast(people)
-    numbered = line.withColumn("put_code", F.row_number().over(Window.partitionBy("l_suppkey").orderBy(*LINE)).cast("long"))
+    n = dealt(spark, sf_dir)
+    numbered = line.repartition(n, "l_suppkey").withColumn("put_code", F.row_number().over(Window.partitionBy("l_suppkey").orderBy(*LINE)).cast("long"))
     person = F.struct(F.col("s_name").alias("credit_name"), F.lower(F.regexp_replace("s_name", "#", " ")).alias("normalized_name"), F.col("s_suppkey").cast("string").alias("orcid_id"))
     of_order = Window.partitionBy("l_orderkey")
+    items = numbered.select("l_orderkey", "l_partkey", "l_suppkey", "l_shipdate", "l_returnflag", "put_code")
+    if part.count() <= BROADCAST_PARTS:
+        part = F.broadcast(part)
+    else:
+        items, part = items.repartition(n, "l_partkey"), part.hint("merge")
     full = (
-        numbered.select("l_orderkey", "l_partkey", "l_suppkey", "l_shipdate", "l_returnflag", "put_code")
-        .join(part, F.col("l_partkey") == F.col("p_partkey"), "left").join(orders, F.col("l_orderkey") == F.col("o_orderkey")).join(people, F.col("l_suppkey") == F.col("s_suppkey"))
+        items.join(part, F.col("l_partkey") == F.col("p_partkey"), "left").repartition(n, "l_orderkey").join(orders.hint("merge"), F.col("l_orderkey") == F.col("o_orderkey")).join(people, F.col("l_suppkey") == F.col("s_suppkey"))
         .withColumn("contributors", F.array_sort(F.collect_set(person).over(of_order))).withColumn("focal_work", F.bool_or("focal").over(of_order))
         .where("p_partkey IS NOT NULL")
     )

@@ -478,3 +478,20 @@ def test_works_of_odd_tables(spark, tmp_path):
     got = sorted((r.work_key, r.orcid_id, r.put_code, r.focal_work, r.author_count, [c.orcid_id for c in r.contributors]) for r in adapters.planned(spark, str(tmp_path)).collect())
     one, two = [("doi:1", "1", 1, True, 2, ["1", "2"])] * 2, [("doi:2", "1", k, False, 1, ["1"]) for k in (2, 2, 3, 3)]
     assert got == one + two
+
+
+def test_deals_follow_the_rows(spark, monkeypatch):
+    """Few shuffle partitions, joined into fewer, do not make few tasks of many rows: neither where works are made, nor where a network's pairs are summed."""
+    from folioscope import runtime
+    from folioscope.plans import queries
+    from folioscope.sources import adapters
+
+    folder = "/root/testdata/sf0.001"
+    plain = works.authorship(adapters.planned(spark, folder).where(predicates.works()))
+    expected = sorted(map(tuple, graph.edges(plain).collect()))
+    monkeypatch.setattr(runtime, "TASK_ROWS", 500)
+    least = spark.read.parquet(f"{folder}/lineitem.parquet").count() // 500
+    assert least > int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert adapters.planned(spark, folder).rdd.getNumPartitions() >= least
+    got = queries.network_edges_all(spark, folder)
+    assert got.rdd.getNumPartitions() >= least and sorted(map(tuple, got.collect())) == expected
