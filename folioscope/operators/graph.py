@@ -138,10 +138,21 @@ def focus_first(rows: DataFrame, is_focus, order: list, most: int) -> DataFrame:
     return rows.where(is_focus).unionAll(rows.where(~is_focus).orderBy(*order).limit(most))
 
 
-def group_values(records: DataFrame, keys: DataFrame, field: str, limit: int = TOP_VALUES) -> DataFrame:
+def of_works(records: DataFrame, keys: DataFrame, tasks: int | None = None) -> DataFrame:
+    """The records of the works of ``keys``.
+
+    Up to BROADCAST_KEYS keys are looked up in place, before the plan of the records shuffles other works' rows.  Of more, records meet their
+    keys by work, over ``tasks`` tasks if given; keys are distinct, so a join keeps each record once (a semi join would slip below the deal).
+    """
+    some = written(keys.select("work_key").where("work_key IS NOT NULL").distinct())
+    if some.count() <= BROADCAST_KEYS:
+        return records.join(F.broadcast(some), "work_key", "left_semi")
+    return (records.repartition(tasks, "work_key") if tasks else records).join(some, "work_key")
+
+
+def group_values(records: DataFrame, keys: DataFrame, field: str, limit: int = TOP_VALUES, tasks: int | None = None) -> DataFrame:
     """Topics or types of the works, each work once; filters and flags do not matter here."""
-    works = collapse(records.where("work_key IS NOT NULL").join(keys.select("work_key").distinct(), "work_key", "left_semi"))
-    return authors.breakdown(works, field, limit)
+    return authors.breakdown(collapse(of_works(records, keys, tasks)), field, limit)
 
 
 def pair_topics(people: DataFrame, works: DataFrame, top: int = PAIR_TOPICS) -> DataFrame:

@@ -55,6 +55,12 @@ def collapse(records: DataFrame, *, own_key: bool = False, journal: str = "max",
     )
 
 
+def work_topics(records: DataFrame) -> DataFrame:
+    """(work_key, topics) as ``collapse`` has them; the other columns are neither computed nor shuffled."""
+    names = F.transform("topics", lambda t: t["display_name"])
+    return unique_works(records, ["topics"]).select("work_key", F.array_distinct(F.coalesce(names, F.array().cast("array<string>"))).alias("topics"))
+
+
 def authorship(records: DataFrame, tasks: int | None = None) -> DataFrame:
     """Distinct (work_key, orcid_id): owners and linked contributors of keyed works.
 

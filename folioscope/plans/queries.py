@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import params, text
 from ..operators import authors, graph, identity, predicates, prepare, search, stats, textindex
-from ..operators.works import collapse
+from ..operators.works import collapse, work_topics
 from ..runtime import shared_dir, written
 from ..sources import adapters, registry
 from ..sources.identities import Identities
@@ -358,7 +358,7 @@ def component_member_activity(spark, d):
 @query(sql("""SELECT topic AS value, count(*) AS count FROM (SELECT DISTINCT work_key FROM common) JOIN (SELECT work_key, topic FROM works QUALIFY row_number() OVER (PARTITION BY work_key ORDER BY orcid_id, put_code) = 1) USING (work_key)
   GROUP BY topic ORDER BY count DESC, value LIMIT 10""", NETWORK, COMPONENT, **NET))
 def component_topics(spark, d):
-    return graph.group_values(records(spark, d), graph.shared(_own(_network(spark, d))), "topics")
+    return graph.group_values(records(spark, d), graph.shared(_own(_network(spark, d))), "topics", tasks=adapters.dealt(spark, d))
 
 
 SCOPE = ", scope AS (SELECT * FROM common UNION ALL SELECT * FROM own WHERE NOT EXISTS (SELECT 1 FROM common))"
@@ -378,8 +378,8 @@ def component_listed_works(spark, d):
   JOIN (SELECT work_key, topic FROM works QUALIFY row_number() OVER (PARTITION BY work_key ORDER BY orcid_id, put_code) = 1) USING (work_key) GROUP BY source, target, topic) WHERE r <= 3 GROUP BY ALL""", NETWORK, COMPONENT, **NET))
 def component_pair_topics(spark, d):
     common = graph.shared(_own(_network(spark, d)))
-    keyed = records(spark, d).join(common.select("work_key").distinct(), "work_key", "left_semi")
-    return graph.pair_topics(common, collapse(keyed)).select("source", "target", F.array_join("topics", ";").alias("topics"))
+    keyed = graph.of_works(records(spark, d), common, adapters.dealt(spark, d))
+    return graph.pair_topics(common, work_topics(keyed)).select("source", "target", F.array_join("topics", ";").alias("topics"))
 
 
 @query(sql("""SELECT count(*) AS total, count(*) FILTER (is_oa) AS open_access, CAST(CASE WHEN count(*) > 0 THEN floor(100.0 * count(*) FILTER (is_oa) / count(*) + 0.5) ELSE 0 END AS INTEGER) AS percent FROM mine""", AUTHOR, ident=IDENT))

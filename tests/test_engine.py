@@ -495,3 +495,21 @@ def test_deals_follow_the_rows(spark, monkeypatch):
     assert adapters.planned(spark, folder).rdd.getNumPartitions() >= least
     got = queries.network_edges_all(spark, folder)
     assert got.rdd.getNumPartitions() >= least and sorted(map(tuple, got.collect())) == expected
+
+
+def test_topics_of_listed_works(spark, data, monkeypatch):
+    """Keys looked up in place and keys met by a join keep the same records, each once; topics are those of the merged works, and nobody's people are gathered for them."""
+    from folioscope.plans import queries
+
+    one = [r.work_key for r in data.where("work_key IS NOT NULL").select("work_key").distinct().orderBy("work_key").limit(2).collect()]
+    keys = spark.createDataFrame([(k,) for k in (*one, *one, None, "none")], "work_key string")
+    expected = sorted((r.work_key, r.orcid_id, r.put_code) for r in data.collect() if r.work_key in one)
+    for most in (graph.BROADCAST_KEYS, 0):
+        monkeypatch.setattr(graph, "BROADCAST_KEYS", most)
+        for tasks in (None, 3):
+            some = graph.of_works(data, keys, tasks)
+            assert sorted((r.work_key, r.orcid_id, r.put_code) for r in some.collect()) == expected and len(expected) > 2
+    same = lambda df: sorted((r.work_key or "", r.topics) for r in df.select("work_key", "topics").collect())
+    assert same(works.work_topics(data)) == same(works.collapse(data))
+    plan = queries.component_pair_topics(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "collect_set" not in plan
