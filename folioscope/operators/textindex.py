@@ -2,7 +2,8 @@
 
 A search term is found anywhere inside a text, so words cannot be looked up; but each text that has it has all its trigrams.  Many records
 share a title, a name or a DOI, so the index has two levels: ``postings`` hold a row for each trigram of a distinct text, ``holders`` a row for each text of a
-record, both in files sorted by what is looked up.  Of each term the rarest trigrams are read; records that hold, for each term, a text with all of them are
+record.  Both are in segments: each task sorts its own rows by what is looked up and writes a file, and a reader skips what its row groups cannot hold.  Neither
+trigrams nor holders are shuffled, only distinct texts.  Of each term the rarest trigrams are read; records that hold, for each term, a text with all of them are
 candidates, and the search predicate itself decides about them.  Texts are known by a hash, so two of one hash only make more candidates.
 
 Defined cases: terms of fewer than three characters restrict nothing, and without any longer one the records are scanned; null texts have no trigrams;
@@ -20,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.params import plain, plain_column, terms
-from ..runtime import shared_dir, written
+from ..runtime import RAW_FILES, shared_dir, tasks, written
 from . import predicates
 
 SIZE, RAREST = 3, 4
@@ -42,17 +43,19 @@ def grams_of(term: str) -> list[str]:
 
 
 def texts(records: DataFrame) -> DataFrame:
-    """(orcid_id, put_code, texts): all that a search looks at, each text of a record once."""
+    """(text, t, orcid_id, put_code): all that a search looks at, each text of a record once, and its hash."""
     none = F.array().cast("array<string>")
     names = F.coalesce(F.transform("contributors", lambda c: c["normalized_name"]), none)
     every = F.concat(F.array(plain_column(F.col("title")), plain_column(F.col("doi"))), names)
-    return records.select(*KEYS, F.array_distinct(F.filter(every, lambda t: F.length(t) >= SIZE)).alias("texts"))
+    # An outer explode: else Spark tests every record's texts twice.
+    return records.select(*KEYS, F.explode_outer(F.array_distinct(F.filter(every, lambda t: F.length(t) >= SIZE))).alias("t")).where("t IS NOT NULL").select(F.xxhash64("t").alias("text"), "t", *KEYS)
 
 
-def postings(held: DataFrame) -> DataFrame:
-    """(gram, text): the trigrams of each distinct text, once each."""
-    distinct = written(held.select(F.explode("texts").alias("t")).distinct(), few=True)  # else Spark moves the test for trigrams below, to every holder
-    return distinct.select(F.explode(grams(F.col("t"))).alias("gram"), F.xxhash64("t").alias("text"))
+def postings(held: DataFrame, n: int) -> DataFrame:
+    """(gram, text): the trigrams of each distinct text, once each, over ``n`` tasks."""
+    # Each text has a trigram; an outer explode, else Spark moves the test for one below, to every holder.
+    distinct = held.select("text", "t").distinct().repartition(n, "text")
+    return distinct.select(F.explode_outer(grams(F.col("t"))).alias("gram"), "text")
 
 
 def name_form(term: str) -> str:
@@ -70,13 +73,12 @@ class TextIndex:
     def build(cls, records: DataFrame, path: str | None = None) -> TextIndex:
         spark = records.sparkSession
         path = path or f"{shared_dir(spark)}/textindex-{uuid.uuid4().hex}"
-        held = written(texts(records))
-        rows = written(postings(held), few=True)
-        # A frequent trigram or text spans several ranges, as what has it is part of the order.
-        rows.repartitionByRange("gram", "text").sortWithinPartitions("gram", "text").write.mode("overwrite").option("parquet.block.size", 1 << 20).parquet(f"{path}/postings")
-        rows.groupBy("gram").agg(F.count("*").alias("n")).repartitionByRange("gram").sortWithinPartitions("gram").write.mode("overwrite").parquet(f"{path}/counts")
-        each = held.select(F.explode("texts").alias("t"), *KEYS).select(F.xxhash64("t").alias("text"), *KEYS)
-        each.repartitionByRange("text", *KEYS).sortWithinPartitions("text", *KEYS).write.mode("overwrite").option("parquet.block.size", 4 << 20).parquet(f"{path}/holders")
+        segment = lambda rows, name, size, *by: rows.sortWithinPartitions(*by).write.mode("overwrite").option("parquet.block.size", size).options(**RAW_FILES).parquet(f"{path}/{name}")
+        segment(texts(records), "holders", 4 << 20, "text", *KEYS)
+        held = spark.read.parquet(f"{path}/holders")
+        segment(postings(held, tasks(spark, held.count())), "postings", 1 << 20, "gram", "text")
+        counts = spark.read.parquet(f"{path}/postings").groupBy("gram").agg(F.count("*").alias("n"))
+        counts.repartitionByRange("gram").sortWithinPartitions("gram").write.mode("overwrite").parquet(f"{path}/counts")
         return cls(spark, path)
 
     def candidates(self, query: str | None) -> DataFrame | None:

@@ -158,3 +158,18 @@ def test_index_holds_the_trigrams_of_a_text_once(spark):
     for asked, want in (("bolt", ["A", "B"]), ("silva red", ["A", "B"]), ("redbo", [None]), ("red", ["A", "B", None]), ("silva redbo", [])):
         assert sorted((r.orcid_id for r in small.candidates(asked).collect()), key=str) == want, asked
         assert sorted((r.orcid_id for r in small.search(some, asked).collect()), key=str) == want, asked
+
+
+def test_index_is_written_without_tables_between(spark, monkeypatch):
+    """Each task writes its own rows' part of the index: neither texts of records nor trigrams are written or shuffled first."""
+
+    def never(*_, **__):
+        raise AssertionError("written")
+
+    some = works(spark, [(f"o{i}", i, f"red bolt {i % 7}", f"10.1/{i // 4}", [("ana silva",), (f"bo li {i // 4}",)]) for i in range(200)]).repartition(3)
+    with monkeypatch.context() as m:
+        m.setattr(textindex, "written", never)
+        index = textindex.TextIndex.build(some)
+    assert index.holders.count() == 800 and index.postings.count() == index.postings.distinct().count()
+    assert len(index.holders.inputFiles()) == 3
+    assert rows_of(index.search(some, "bolt 10.1/7")) == rows_of(some.where(predicates.works(query="bolt 10.1/7")))
